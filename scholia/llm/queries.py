@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import q_langid, q_ngram_join
+from . import q_decontaminate, q_langid, q_ngram_join
 
-MODULES = [q_langid, q_ngram_join]
+MODULES = [q_langid, q_ngram_join, q_decontaminate]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
