@@ -35,6 +35,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a ``stored`` table that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """A row's key, from its content alone, so that a recomputed task gives the same. Rows equal in id and text are one document."""
     return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\x00null")), F.coalesce(F.col(text_col), F.lit("")))
