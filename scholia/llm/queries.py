@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import q_audio, q_decontaminate, q_langid, q_mixing, q_ngram_join, q_sharding, q_spans, q_token_counts, q_token_store
+from . import q_audio, q_decontaminate, q_html, q_langid, q_mixing, q_ngram_join, q_sharding, q_spans, q_token_counts, q_token_store
 
-MODULES = [q_langid, q_audio, q_token_counts, q_spans, q_sharding, q_token_store, q_mixing, q_ngram_join, q_decontaminate]
+MODULES = [q_langid, q_audio, q_token_counts, q_spans, q_sharding, q_token_store, q_html, q_mixing, q_ngram_join, q_decontaminate]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
