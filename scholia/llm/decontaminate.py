@@ -36,8 +36,6 @@ class _Words(dict):
     """(typed token's hash, is a slot) of a word not at the start of a sentence, and whether a sentence ends after it."""
 
     def __missing__(self, word: str) -> tuple[int, int, bool]:
-        if len(self) > 300_000:
-            self.clear()
         core = word.strip(EDGE)
         low = core.lower()
         if NUMBER.fullmatch(word.rstrip(".,;:!?")) or NUMBER.fullmatch(core) or low in NUMBER_WORDS:
@@ -48,7 +46,9 @@ class _Words(dict):
             kind, slot = "\x00name", 3
         else:
             kind, slot = low, 0
-        self[word] = found = (xxhash.xxh3_64_intdigest(kind), slot, word.rstrip("\"')]”’»")[-1:] in (".", "!", "?"))
+        found = (xxhash.xxh3_64_intdigest(kind), slot, word.rstrip("\"')]”’»")[-1:] in (".", "!", "?"))
+        if len(self) < 100_000:
+            self[word] = found
         return found
 
 

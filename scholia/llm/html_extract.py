@@ -328,18 +328,22 @@ def host_of(url: Column) -> Column:
 
 def main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", constant_share: float = 0.5, least_pages: int = 4) -> DataFrame:
     """``pages`` without the html, with ``__text``."""
-    marked = pages.withColumns({"__host": host_of(F.col(url_col)), "__u": F.monotonically_increasing_id(), "__p": _blocks_column()(html_col)}).drop(html_col)
+    marked = pages.withColumns({"__host": host_of(F.col(url_col)), "__p": _blocks_column()(html_col)}).drop(html_col)
     marked = stored(marked.withColumns({"__skeleton": F.col("__p.skeleton"), "__shape": F.xxhash64("__p.skeleton"), "__content": F.col("__p.content"), "__blocks": F.col("__p.blocks")}).drop("__p"), "blocks")
     shapes = marked.groupBy("__host", "__shape").agg(F.count("*").alias("n"), F.min("__skeleton").alias("skeleton"))
     shapes = stored(shapes, "shapes")
     wrappers = shapes.groupBy("__host").agg(F.max_by("skeleton", F.struct("n", "__shape")).alias("wrapper"))
     slots = stored(shapes.join(wrappers, "__host").select("__host", "__shape", _aligned_column()("skeleton", "wrapper").alias("slots")), "slots")
-    cells = marked.select("__u", "__host", "__shape", "__content", F.posexplode("__blocks").alias("__at", "b")).join(slots, ["__host", "__shape"])
-    cells = cells.select("__u", "__host", "__content", "__at", F.element_at("slots", F.col("b.node") + 1).alias("slot"), F.xxhash64("b.text").alias("h"), F.col("b.text").alias("t"))
-    # the distinct pages of a host, and of those that hold a text in a slot: both by distinct content, pre-aggregated
+    cells = marked.select("__host", "__shape", "__content", F.explode("__blocks").alias("b")).join(slots, ["__host", "__shape"])
+    cells = cells.select("__host", "__content", F.element_at("slots", F.col("b.node") + 1).alias("slot"), F.xxhash64("b.text").alias("h"))
+    # the distinct pages of a host, and of those that hold a text in a slot: both by distinct content, pre-aggregated; texts stay where they are
     many = marked.select("__host", "__content").distinct().groupBy("__host").agg(F.count("*").alias("pages"))
-    held = cells.where("slot >= 0").select("__host", "slot", "h", "__content").distinct().groupBy("__host", "slot", "h").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    template = stored(held.join(many, "__host").where(F.col("n") >= constant_share * F.col("pages")).select("__host", "slot", "h"), "template")
-    content = cells.join(template, ["__host", "slot", "h"], "left_anti").groupBy("__u").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__at", "t"))), lambda x: x["t"]), "\n\n").alias("__text"))
+    held = cells.where("slot >= 0").distinct().groupBy("__host", "slot", "h").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    template = held.join(many, "__host").where(F.col("n") >= constant_share * F.col("pages"))
+    # a host's template holds no more texts than 1 / constant_share pages do
+    template = stored(template.groupBy("__host").agg(F.collect_list(F.struct("slot", "h")).alias("template")), "template")
+    out = marked.join(slots, ["__host", "__shape"], "left").join(template, "__host", "left")
+    varies = lambda b: F.col("template").isNull() | ~F.array_contains("template", F.struct(F.element_at("slots", b["node"] + 1).alias("slot"), F.xxhash64(b["text"]).alias("h")))
+    text = F.array_join(F.transform(F.filter("__blocks", varies), lambda b: b["text"]), "\n\n")
     rest = [c for c in marked.columns if c not in ("__host", "__skeleton", "__shape", "__content", "__blocks")]
-    return marked.select(*rest).join(content, "__u", "left").withColumn("__text", F.coalesce("__text", F.lit(""))).drop("__u")
+    return out.select(*rest, text.alias("__text"))

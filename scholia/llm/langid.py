@@ -52,10 +52,8 @@ class LanguageModel:
     def __getstate__(self):
         return self.__dict__ | {"_words": {}, "_rows": None}
 
-    def rows_of(self, words: list[str], keep: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers of ``words`` in the score table, and that table. Scores of words seen before are kept, up to ``keep`` words."""
-        if len(self._words) > keep:
-            self._words, self._rows = {}, None
+    def rows_of(self, words: list[str], keep: int = 120_000) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers of ``words`` in the score table, and that table. Scores of the first ``keep`` words are remembered."""
         known = self._words
         new = [w for w in dict.fromkeys(words) if w not in known]
         if new:
@@ -68,7 +66,11 @@ class LanguageModel:
                 self._rows = grown
             self._rows[start : start + len(new)] = scores
             known.update(zip(new, range(start, start + len(new))))
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words)), self._rows
+        rows = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        if len(known) > keep:
+            for w in new:
+                del known[w]
+        return rows, self._rows
 
     def _score(self, words: list[str]) -> np.ndarray:
         get, flat, ends = self.trigrams.get, [], []

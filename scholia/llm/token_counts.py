@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import most_frequent_rows, stored
 
 #: Where a pre-token starts: at a space that follows another character.
 SPACES = re.compile("[ ▁]")
@@ -122,7 +122,7 @@ def token_counts(docs: DataFrame, model_file: str, text_col: str = "text", id_co
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     seen = texts.select("t").mapInArrow(_counted(flush), "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
     vocabulary = stored(seen.withColumn("tokens", _pieces(model_file)("piece")), "vocabulary")
-    top = vocabulary.where(F.length("piece") <= 40).orderBy(F.desc("n"), "piece").limit(most_sent).select("piece", "tokens").toPandas()
+    top = most_frequent_rows(vocabulary.where(F.length("piece") <= 40), "n", most_sent).select("piece", "tokens").toPandas()
     known = dict(zip(top["piece"], top["tokens"].tolist()))
     id_type = docs.schema[id_col].dataType.simpleString()
     parts = stored(texts.mapInArrow(_summed(known), f"row bigint, id {id_type}, n_bytes bigint, known bigint, piece string, n bigint"), "frequencies")

@@ -43,7 +43,7 @@ class Encoder:
 
     CUT, ODD = re.compile(r"(?= \S)"), re.compile(r" (?:\s|\Z)")
 
-    def __init__(self, file: str, remember: int = 600_000):
+    def __init__(self, file: str, remember: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
@@ -64,12 +64,14 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         whole = [bool(t) and any(s in t for s in self.specials) for t in texts]
         cut = [[] if w or not t else self._pieces(t) for t, w in zip(texts, whole)]
-        if len(self.known) > self.remember:
-            self.known.clear()
         known = self.known
         new = list({p for ps in cut for p in ps if p not in known})
         known.update(zip(new, self._raw(new)))
-        return [self._raw([t])[0] if w else b"".join(map(known.__getitem__, ps)) for t, w, ps in zip(texts, whole, cut)]
+        out = [self._raw([t])[0] if w else b"".join(map(known.__getitem__, ps)) for t, w, ps in zip(texts, whole, cut)]
+        if len(known) > self.remember:
+            for p in new:
+                del known[p]
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
