@@ -23,6 +23,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +40,13 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 class Encoder:
     """Ids by the tokenizers library for a byte-level BPE without prefix space. A space before other than white space always starts a pre-token,
-    so texts are cut there and each distinct piece is encoded once while it is remembered. A text with a special token's string is encoded whole."""
+    so texts are cut there and each distinct piece is encoded once while it is remembered. A text with a special token's string or a NUL is encoded whole."""
 
+    #: ASCII marks but the apostrophe: after an ASCII letter they always start a pre-token
+    MARKS, LETTERS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
     CUT, ODD = re.compile(r"(?= \S)"), re.compile(r" (?:\s|\Z)")
 
-    def __init__(self, file: str, remember: int = 250_000):
+    def __init__(self, file: str, remember: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
@@ -55,21 +58,47 @@ class Encoder:
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _raw_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of many short pieces by one call: special tokens part a text into segments that are encoded on their own."""
+        if not self.specials or len(pieces) < 2:
+            return self._raw(pieces) if pieces else []
+        mark = self.specials[0]
+        ids = np.array(self.tokenizer.encode_batch_fast([mark.join(pieces)], add_special_tokens=False)[0].ids, self.dtype)
+        cuts = [-1, *np.flatnonzero(ids == self.tokenizer.token_to_id(mark)).tolist(), len(ids)]
+        raw, w = ids.tobytes(), self.dtype.itemsize
+        return [raw[(a + 1) * w : b * w] for a, b in zip(cuts, cuts[1:])]
+
     def _pieces(self, text: str) -> list[str]:
+        """The text's pieces without the space that opens them; one that no space opens has a NUL before it."""
         if self.ODD.search(text):
-            return [x for x in self.CUT.split(text) if x]
-        first, *rest = text.split(" ")
-        return ([first] if first else []) + [" " + x for x in rest]
+            return [x[1:] if x[0] == " " and len(x) > 1 else "\0" + x for x in self.CUT.split(text) if x]
+        words = text.split(" ")
+        if words[0]:
+            words[0] = "\0" + words[0]
+        else:
+            del words[0]
+        return words
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        whole = [bool(t) and any(s in t for s in self.specials) for t in texts]
+        whole = [bool(t) and ("\0" in t or any(s in t for s in self.specials)) for t in texts]
         cut = [[] if w or not t else self._pieces(t) for t, w in zip(texts, whole)]
         known = self.known
-        new = list({p for ps in cut for p in ps if p not in known})
-        known.update(zip(new, self._raw(new)))
-        out = [self._raw([t])[0] if w else b"".join(map(known.__getitem__, ps)) for t, w, ps in zip(texts, whole, cut)]
+        new = set(chain.from_iterable(cut)).difference(known)
+        ends, need = {}, set()
+        for p in new:
+            core = p.rstrip(self.MARKS)
+            if len(core) < len(p) and core[-1:] in self.LETTERS:
+                ends[p] = core, "\0" + p[len(core) :]
+            else:
+                need.add(p)
+        need.update(x for pair in ends.values() for x in pair if x not in known)
+        encoded = list(need)
+        known.update(zip(encoded, self._raw_pieces([p[1:] if p[0] == "\0" else " " + p for p in encoded])))
+        get = known.__getitem__
+        known.update((p, get(a) + get(b)) for p, (a, b) in ends.items())
+        out = [self._raw([t])[0] if w else b"".join(map(get, ps)) for t, w, ps in zip(texts, whole, cut)]
         if len(known) > self.remember:
-            for p in new:
+            for p in new | need:
                 del known[p]
         return out
 
