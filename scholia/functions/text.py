@@ -125,9 +125,9 @@ def check_sentences(c: Column) -> Column:
 
 
 def split_sentences(c: Column) -> Column:
-    """Sentences for chunking: cut after 。！？!?；;…. but not inside decimals; single line ends are blanks."""
+    """Sentences for chunking: cut after 。！？；.!? but not inside decimals; single line ends are blanks."""
     t = F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"(\d)\.(?=\d)", "$1\u0001")
-    found = F.regexp_extract_all(F.regexp_replace(t, "\n", " "), F.lit(r"[^。！？!?；;….]*[。！？!?；;….]|[^。！？!?；;….]+"), F.lit(0))
+    found = F.regexp_extract_all(F.regexp_replace(t, "\n", " "), F.lit(r"[^。！？；.!?]*[。！？；.!?]|[^。！？；.!?]+"), F.lit(0))
     return F.filter(F.transform(found, lambda s: strip(F.regexp_replace(s, "\u0001", "."))), lambda s: F.length(s) > 0)
 
 

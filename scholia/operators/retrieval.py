@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_type
 
 from scholia.functions import text as T
 
@@ -73,7 +74,7 @@ def vector_topk(index: DataFrame, queries: DataFrame, most: int, id_col: str = "
     blocks = max(1, -(-number // block))
     keyed = queries.select("query_id", F.col("embedding").alias("v"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("b"))
     id_type, query_type = index.schema[id_col].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    out = None
+    query_kind, out = to_arrow_type(queries.schema["query_id"].dataType), None
     for i in range(blocks):
         part = keyed.where(F.col("b") == i).collect()
         if not part:
@@ -98,7 +99,7 @@ def vector_topk(index: DataFrame, queries: DataFrame, most: int, id_col: str = "
                     best, ids = np.take_along_axis(best, order, 1), np.take_along_axis(ids, order, 1)
             if best.shape[1]:
                 width = best.shape[1]
-                yield pa.RecordBatch.from_pydict({"query_id": [n for n in names for _ in range(width)], "id": ids.reshape(-1).tolist(), "score": best.reshape(-1)})
+                yield pa.record_batch([pa.array([n for n in names for _ in range(width)], query_kind), pa.array(ids.reshape(-1).tolist(), b.column(0).type), pa.array(best.reshape(-1))], ["query_id", "id", "score"])
 
         hits = index.select(F.col(id_col).alias("id"), vector_col).mapInArrow(scored, f"query_id {query_type}, id {id_type}, score double")
         out = hits if out is None else out.unionByName(hits)

@@ -63,7 +63,7 @@ def text_fixed_chunks(spark, sf_dir):
 
 
 @R.add(r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '(\d)\.(\d)', '\1' || chr(1) || '\2', 'g'), '(\d)\.(\d)', '\1' || chr(1) || '\2', 'g'), '\n', ' ', 'g') AS t FROM documents),
-s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(t, '[^。！？!?；;….]*[。！？!?；;….]|[^。！？!?；;….]+'), lambda x: trim(replace(x, chr(1), '.'))), lambda x: x <> '') AS s FROM t)
+s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(t, '[^。！？；.!?]*[。！？；.!?]|[^。！？；.!?]+'), lambda x: trim(replace(x, chr(1), '.'))), lambda x: x <> '') AS s FROM t)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_sentences, md5(array_to_string(s, '|')) AS sentences_md5 FROM s""")
 def text_sentences(spark, sf_dir):
     return documents(spark, sf_dir).withColumn("s", T.split_sentences(F.col("text"))).select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.md5(F.array_join("s", "|")).alias("sentences_md5"))
