@@ -150,6 +150,7 @@ def label_texts(model: LanguageModel, texts: list[str | None], penalty: float, w
     languages, out = model.languages, []
     lower = [(t or "").lower() for t in texts]
     found = [WORD.findall(t) for t in lower]
+    found = [ws if any(c.isalpha() for w in ws for c in w) else [] for ws in found]  # some signs count as word characters but are no letters
     lengths = np.array([len(w) for w in found], np.int64)
     flat = [w for ws in found for w in ws]
     if not languages or not flat:
