@@ -56,7 +56,7 @@ def decision_grades(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", g.alias("g")).select("vec_id", *[F.round(f"g.{c}", 6).alias(c) for c in ("score", "normalized", "confidence")])
 
 
-@R.add("""SELECT doc_id, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS label, 0.8 AS confidence, round(0.8 * CASE WHEN quality = 1 THEN 1 ELSE 0 END + 0.1 * CASE WHEN quality = 1 THEN 0 ELSE 1 END, 6) AS p_good FROM labels""")
+@R.add("""SELECT doc_id, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS label, 0.8::DOUBLE AS confidence, CASE WHEN quality = 1 THEN 0.8::DOUBLE ELSE 0.1::DOUBLE END AS p_good FROM labels""")
 def decision_choice(spark, sf_dir):
     c = D.choice(["good", "bad", "unclear"], F.when(F.col("quality") == 1, "good").otherwise("bad"), F.lit(0.8))
     return table(spark, sf_dir, "labels").select("doc_id", c.alias("c")).select("doc_id", "c.label", F.round("c.confidence", 6).alias("confidence"), F.round(F.element_at("c.probabilities", F.lit("good")), 6).alias("p_good"))

@@ -213,7 +213,7 @@ def _answers(spark, sf_dir):
 
 @R.add(f"""WITH {ANSWERS}, tk AS (SELECT kp.query_id, k, regexp_extract_all(p, '[A-Za-z0-9]+|[一-鿿]') AS own, list_distinct(regexp_extract_all(regexp_replace(content, '\\s+', '', 'g'), '[A-Za-z0-9]+|[一-鿿]')) AS ref FROM kp JOIN cx ON cx.query_id = kp.query_id AND cx.idx = kp.idx),
 gr AS (SELECT query_id, count(*) FILTER (WHERE len(own) > 0 AND len(ref) > 0 AND len(list_filter(own, lambda x: list_contains(ref, x))) / len(own) < 0.6) AS bad FROM tk GROUP BY query_id)
-SELECT query_id, false AS refused, 1.0 AS cited_sentence_ratio, 0 AS n_invalid, bad AS n_ungrounded, CASE WHEN bad >= 2 THEN 'unverified' WHEN bad = 1 THEN 'partial' ELSE 'verified' END AS status FROM gr""")
+SELECT query_id, false AS refused, 1.0::DOUBLE AS cited_sentence_ratio, 0 AS n_invalid, bad AS n_ungrounded, CASE WHEN bad >= 2 THEN 'unverified' WHEN bad = 1 THEN 'partial' ELSE 'verified' END AS status FROM gr""")
 def answer_verification(spark, sf_dir):
     """The check is made for scripts without spaces: words of the context are compared with white space taken out, so that spaced scripts often fail it."""
     v = A.verified(_answers(spark, sf_dir))
