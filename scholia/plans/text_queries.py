@@ -78,12 +78,12 @@ def text_check_sentences(spark, sf_dir):
 
 @R.add(r"""WITH l AS (SELECT source, array_to_string(list_transform(list(doc_id ORDER BY doc_id), lambda d, i: '[' || i || '] ' || d), chr(10)) AS t FROM documents GROUP BY source),
 n AS (SELECT source, list_distinct(list_transform(regexp_extract_all(t, '(?m)^\[(\d{1,3})\]', 1), lambda x: CAST(x AS INTEGER))) AS n FROM l)
-SELECT source, CAST(CASE WHEN len(n) >= 5 AND list_max(n) - list_min(n) + 1 = len(n) THEN len(n) END AS INTEGER) AS entries FROM n""")
+SELECT source, CAST(CASE WHEN len(n) >= 5 AND list_max(n) - list_min(n) + 1 = len(n) THEN len(n) ELSE -1 END AS INTEGER) AS entries FROM n""")
 def text_entry_count(spark, sf_dir):
     """Numbered lists made of each source's documents."""
     listed = documents(spark, sf_dir).groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("d"))
     text = F.array_join(F.transform("d", lambda d, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), d.cast("string"))), "\n")
-    return listed.select("source", T.entry_count(text).cast("int").alias("entries"))
+    return listed.select("source", F.coalesce(T.entry_count(text), F.lit(-1)).cast("int").alias("entries"))
 
 
 @R.add(r"""SELECT doc_id, 'Doc ' || doc_id AS title, CASE lang WHEN 'en' THEN 'hr,it' WHEN 'de' THEN '*' ELSE lang END AS acl, CASE doc_id % 10 WHEN 0 THEN 'draft' WHEN 1 THEN 'expired' ELSE 'active' END AS status,
