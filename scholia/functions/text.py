@@ -79,11 +79,12 @@ def _grams(run: Column, n: int) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Distinct search tokens in order: ASCII words in lower case; characters and bigrams of CJK runs but for stop words."""
-    runs = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("[A-Za-z0-9]+|[一-鿿]+"), F.lit(0))
+    """Distinct search tokens: ASCII words in lower case, then characters and bigrams of CJK runs but for stop words."""
+    t = F.coalesce(c, F.lit(""))
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    cjk = lambda r: F.filter(F.concat(_grams(r, 1), _grams(r, 2)), lambda t: ~F.array_contains(stop, t))
-    return F.array_distinct(F.flatten(F.transform(runs, lambda r: F.when(r.rlike("^[A-Za-z0-9]"), F.array(F.lower(r))).otherwise(cjk(r)))))
+    cjk = lambda r: F.filter(F.concat(_grams(r, 1), _grams(r, 2)), lambda x: ~F.array_contains(stop, x))
+    words = F.transform(F.regexp_extract_all(t, F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower)
+    return F.array_distinct(F.concat(words, F.flatten(F.transform(F.regexp_extract_all(t, F.lit("[一-鿿]+"), F.lit(0)), cjk))))
 
 
 def query_terms(c: Column) -> Column:
