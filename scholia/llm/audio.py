@@ -154,12 +154,17 @@ def digest_of(tensors: bytes, a: Audio) -> str:
     return f"{n}f;{int(seg.sum())}s;{round(1000 * int(spans[seg].sum()) / max(1, n))}m;" + ",".join(str(round(4 * v)) for v in storage.mean(0))
 
 
+def _by_parts(rows: pa.Array, f, many: int = 500) -> pa.Array:
+    """``f`` over slices of a batch, so that Python objects of few rows are held at once."""
+    return pa.concat_arrays([f(rows.slice(i, many)) for i in range(0, max(1, len(rows)), many)])
+
+
 def to_media(text, a: Audio = Audio()):
     """WAV bytes of a text column."""
 
     @F.arrow_udf("binary")
     def media(texts: pa.Array) -> pa.Array:
-        return pa.array([wav_of(payload_of(t), a.rate) for t in texts.to_pylist()], pa.binary())
+        return _by_parts(texts, lambda part: pa.array([wav_of(payload_of(t), a.rate) for t in part.to_pylist()], pa.binary()))
 
     return media(text)
 
@@ -168,8 +173,7 @@ def features(media, a: Audio = Audio()):
     """Of a column of media: the payload's length, hash and tail checksum, the media's length and hash, and the tensors."""
     kind = pa.struct([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("n_frames", pa.int32()), ("n_segments", pa.int32()), ("tensors", pa.binary())])
 
-    @F.arrow_udf("payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, n_frames int, n_segments int, tensors binary")
-    def read(wavs: pa.Array) -> pa.Array:
+    def part_of(wavs: pa.Array) -> pa.Array:
         out = []
         for w in wavs:
             wav = w.as_py()
@@ -180,6 +184,10 @@ def features(media, a: Audio = Audio()):
             out.append({"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-32:]), "media_bytes": len(wav), "media_sha256": hashlib.sha256(wav).hexdigest(), "n_frames": len(rows), "n_segments": len(segments), "tensors": tensors_of(rows, segments, a)})
         return pa.array(out, kind)
 
+    @F.arrow_udf("payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, n_frames int, n_segments int, tensors binary")
+    def read(wavs: pa.Array) -> pa.Array:
+        return _by_parts(wavs, part_of)
+
     return read(media)
 
 
