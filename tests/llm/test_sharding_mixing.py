@@ -52,9 +52,9 @@ def test_raking_meets_marginals(spark):
         for k, v in shares.items():
             assert abs(got[k] - v) < 1e-4
     # raking keeps the cross ratios of the table
-    w = {(r.__source, r.__language, r.__topic) if False else (r[0], r[1], r[2]): (r[3], r[4]) for r in out.itertuples(index=False)}
-    ratio = lambda i: (w["a", "x", "p"][i] * w["b", "y", "p"][i]) / (w["a", "y", "p"][i] * w["b", "x", "p"][i])
-    assert abs(ratio(0) / ratio(1) - 1) < 1e-6
+    w = out.set_index(["__source", "__language", "__topic"])
+    ratio = lambda c: (w[c]["a", "x", "p"] * w[c]["b", "y", "p"]) / (w[c]["a", "y", "p"] * w[c]["b", "x", "p"])
+    assert abs(ratio("tokens") / ratio("weight") - 1) < 1e-6
 
 
 def test_sample_follows_the_fit(spark):
