@@ -13,6 +13,7 @@ LEAST_LANGUAGE_SHARE = 0.35
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with an identified language. Null texts, texts without a letter, and texts of no learned script go."""
+    common.small_batches(spark)
     model = q_langid.fitted(docs)
     found = docs.withColumn("__lang", langid.identify(model, "text", with_spans=False))
     return found.where((F.col("__lang.lang_pred") != "und") & (F.col("__lang.score") >= LEAST_LANGUAGE_SHARE)).select(*docs.columns)
@@ -20,6 +21,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of linked documents the one of the smallest id."""
+    common.small_batches(spark)
     return ngram_join.first_of_each(docs)
 
 

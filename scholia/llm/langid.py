@@ -52,7 +52,7 @@ class LanguageModel:
     def __getstate__(self):
         return self.__dict__ | {"_words": {}, "_rows": None}
 
-    def rows_of(self, words: list[str], keep: int = 120_000) -> tuple[np.ndarray, np.ndarray]:
+    def rows_of(self, words: list[str], keep: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers of ``words`` in the score table, and that table. Scores of the first ``keep`` words are remembered."""
         known = self._words
         new = [w for w in dict.fromkeys(words) if w not in known]
@@ -187,7 +187,7 @@ def label_texts(model: LanguageModel, texts: list[str | None], penalty: float, w
     return out
 
 
-def identify(model: LanguageModel, text: Column | str = "text", switch_penalty: float = 6.0, with_spans: bool = True, rows_at_once: int = 1000) -> Column:
+def identify(model: LanguageModel, text: Column | str = "text", switch_penalty: float = 6.0, with_spans: bool = True, rows_at_once: int = 250) -> Column:
     """A struct per text: lang_pred, score (share of its letters in spans of that language), n_spans, and spans (character
     offsets into the lower-cased text; words of no learned script are ``und``)."""
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("n_spans", pa.int32()), ("spans", pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))])
