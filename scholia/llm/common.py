@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +74,30 @@ def most_frequent_rows(df: DataFrame, count: str, most: int) -> DataFrame:
             break
         least = r.s
     return df.where(F.lit(False)) if least is None else df.where(step >= least)
+
+
+def may_hold(keys: DataFrame, key: str, bits: int = 21):
+    """A condition on a bigint column that holds for all ``keys`` and, while they are far fewer than 2 to the ``bits``, for few others: rows can be left out before a shuffle.
+    Only the low bits of keys go to the driver and the tasks, a quarter of a megabyte at most; with very many keys it leaves nothing out."""
+    low = keys.select(F.pmod(F.col(key), F.lit(1 << bits)).cast("int").alias("b")).distinct().toPandas()["b"].to_numpy(np.int64)
+    marks = np.zeros(1 << bits, bool)
+    marks[low] = True
+    packed = np.packbits(marks)
+
+    @F.arrow_udf("boolean")
+    def held(k: pa.Array) -> pa.Array:
+        at = np.mod(k.to_numpy(zero_copy_only=False).astype(np.int64), 1 << bits)
+        return pa.array((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+
+    return held
+
+
+def without_keys(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """``rows`` whose ``key`` isn't in ``gone``; those that surely aren't stay where they are."""
+    held = may_hold(gone, key)
+    return rows.where(~held(key)).unionByName(rows.where(held(key)).join(gone, key, "left_anti").select(*rows.columns))
+
+
+def with_keys(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` joined to ``wanted`` by ``key``; those that surely have no partner are left out before the shuffle."""
+    return rows.where(may_hold(wanted, key)(key)).join(wanted, key)

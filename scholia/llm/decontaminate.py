@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, stored
+from .common import row_key, stored, without_keys
 
 #: Units of measure, currency signs and words of quantity that stand for one another in a question.
 UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg gram grams t ton tons lb lbs oz ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years % percent usd eur gbp dollar dollars euro euros pound pounds cent cents mph kmh kph hz khz mhz ghz w kw mw v a j kj cal kcal".split())
@@ -155,4 +155,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 def clean_documents(docs: DataFrame, found: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` without those in ``found``; all columns stay."""
     key = "__row_key"
-    return docs.withColumn(key, row_key(id_col, text_col)).join(found.select(F.col("k").alias(key)).distinct(), key, "left_anti").select(*docs.columns)
+    gone = stored(found.select(F.col("k").alias(key)).distinct(), "gone")
+    return without_keys(docs.withColumn(key, row_key(id_col, text_col)), key, gone).select(*docs.columns)
