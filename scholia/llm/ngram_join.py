@@ -286,7 +286,7 @@ def similarity_components(docs: DataFrame, text_col: str = "text", id_col: str =
     members = listed.join(known.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     members = stored(members, "members")
     mixed = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min("n").alias("low")).where("a <> b").select("key", "low")
-    members = members.join(stored(mixed, "mixed"), "key").where(_may_share(F.col("n"), F.col("pos"), F.col("low"), F.lit(0), percent)).drop("low")
+    members = members.join(stored(mixed, "mixed"), "key").where(_may_share(F.col("n"), F.col("pos"), F.greatest("low", F.col("n") - F.col("pos")), F.lit(0), percent)).drop("low")  # the best partner that a list may hold
     pairs = stored(_crossing(stored(members, "members"), percent).distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
     more = stored(linked(pairs), "links")
     if not more.isEmpty():

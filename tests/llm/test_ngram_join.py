@@ -73,6 +73,30 @@ def test_components_equal_brute_force(spark):
     assert sorted(map(sorted, groups.values())) == sorted(sorted(i for i, w in enumerate(want) if w == k) for k in set(want))
 
 
+def passage_texts(rng, groups=30):
+    """Pairs of texts that share a passage of 56 shingles, beside smaller sets cut from it that are like none of them, and texts of other sizes with parts of it."""
+    out = []
+    for g in range(groups):
+        passage = [f"p{g}x{i}" for i in range(60)]
+        alone = lambda n: [f"u{g}x{len(out)}x{i}" for i in range(n)]  # noqa: B023, E731
+        for _ in range(2):
+            out.append(alone(6) + passage)
+        out += [passage[:49], passage[11:]]
+        for k in rng.integers(20, 61, 2):
+            out.append(alone(int(rng.integers(0, 12))) + passage[-int(k) :])
+    return [" ".join(w) for w in out]
+
+
+def test_larger_sets_meet_beside_smaller_ones(spark):
+    texts = passage_texts(np.random.default_rng(11))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    want, _ = brute(texts)
+    groups = {}
+    for r in similarity_components(df, frequent_from=2).collect():
+        groups.setdefault(r.component, []).append(r.doc_id)
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(i for i, w in enumerate(want) if w == k) for k in set(want))
+
+
 def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     out = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
