@@ -78,15 +78,15 @@ def stream_rate_limit(spark, sf_dir):
 @R.add("""WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS n FROM events) SELECT CAST(user_id AS VARCHAR) AS key, max(CASE WHEN n = 1 THEN event_type END) AS last_message FROM r GROUP BY user_id""")
 def stream_recent(spark, sf_dir):
     """The state of each user's window after the stream: here its last message."""
-    out = run.settled(E.recent_messages(run.stream(spark, sf_dir, "events", 100), "user_id", "ts", "event_type"), "update")
+    out = run.settled(E.recent_messages(run.stream(spark, sf_dir, "events", 100, "ts"), "user_id", "ts", "event_type"), "update", "key")
     return out.select("key", F.element_at("messages", -1).alias("last_message"))
 
 
 @R.add()
 def stream_circuit_breaker(spark, sf_dir):
     """Calls of each kind, where large values fail."""
-    calls = run.stream(spark, sf_dir, "events", 100).withColumn("ok", F.col("value") < 50)
-    return run.settled(E.circuit_breaker(calls, "event_type", "ts", "ok"), "update")
+    calls = run.stream(spark, sf_dir, "events", 100, "ts").withColumn("ok", F.col("value") < 50)
+    return run.settled(E.circuit_breaker(calls, "event_type", "ts", "ok"), "update", "key")
 
 
 @R.add("SELECT event_type, le, count FROM (SELECT event_type, 10.0::DOUBLE AS le, count(*) FILTER (WHERE value / 100 <= 10.0) AS count FROM events GROUP BY event_type)")

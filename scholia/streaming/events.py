@@ -39,12 +39,11 @@ def recent_messages(messages: DataFrame, key: str, ts: str, text: str, keep: int
             return
         held, last = state.get if state.exists else ([], 0)
         held = list(held)
-        for pdf in batches:
-            for t, m in pdf.sort_values("t")[["t", "m"]].itertuples(index=False):
-                now = int(t.timestamp() * 1000)
-                if last and now - last > ttl_seconds * 1000:
-                    held = []
-                held, last = [*held, m][-keep:], max(last, now)
+        for t, m in pd.concat(batches).sort_values("t")[["t", "m"]].itertuples(index=False):
+            now = int(t.timestamp() * 1000)
+            if last and now - last > ttl_seconds * 1000:
+                held = []
+            held, last = [*held, m][-keep:], max(last, now)
         state.update((held, last))
         state.setTimeoutTimestamp(max(last + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": [str(k[0])], "messages": [held]})
@@ -78,10 +77,9 @@ def circuit_breaker(calls: DataFrame, key: str, ts: str, ok: str, late: str = "1
     def update(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         name, bad, good, last, total, rejected = state.get if state.exists else ("closed", 0, 0, 0.0, 0, 0)
         now = (name, bad, good, last)
-        for pdf in batches:
-            for t, good_call in pdf.sort_values("t")[["t", "ok"]].itertuples(index=False):
-                now, through = breaker_step(now, t.timestamp(), bool(good_call), **options)
-                total, rejected = total + 1, rejected + (not through)
+        for t, good_call in pd.concat(batches).sort_values("t")[["t", "ok"]].itertuples(index=False):
+            now, through = breaker_step(now, t.timestamp(), bool(good_call), **options)
+            total, rejected = total + 1, rejected + (not through)
         state.update((*now, total, rejected))
         yield pd.DataFrame({"key": [str(k[0])], "state": [now[0]], "calls": [total], "rejected": [rejected]})
 
