@@ -144,6 +144,17 @@ def entry_count(c: Column, least: int = 5) -> Column:
     return F.when((n >= least) & (F.array_max(numbers) - F.array_min(numbers) + 1 == n), n)
 
 
+def entry_number(line: Column) -> Column:
+    """The number of a line that is an entry [n]; else null."""
+    return F.nullif(F.regexp_extract(line, r"^\[(\d{1,3})\]", 1), F.lit("")).cast("int")
+
+
+def entries_of_lines(number: Column, least: int = 5) -> Column:
+    """``entry_count`` as an aggregate over the entry numbers of lines."""
+    n = F.count_distinct(number)
+    return F.when((n >= least) & (F.max(number) - F.min(number) + 1 == n), n)
+
+
 def markdown_to_text(c: Column) -> Column:
     """Links become their text, tags and code marks go, code keeps its lines, headings stay."""
     for pattern, to in ((r"(?s)```[^\n]*\n(.*?)```", "\n$1\n"), (r"`([^`]+)`", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"<[^>]+>", "")):

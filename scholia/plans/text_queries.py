@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from scholia.functions import queries as Q
 from scholia.functions import text as T
-from scholia.sources.tables import table
+from scholia.sources.tables import checkpointed, table
 
 from .registry import Registry
 
@@ -21,6 +21,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def numbered(df: DataFrame, group: str, order: str) -> DataFrame:
+    """(group, order, number) of each row: its number from 1 in its group by ``order``, nulls last. A group is spread over ranges, counted apart."""
+    checkpointed(df.sparkSession)
+    rows = df.select(group, order).repartitionByRange(group, F.col(order).asc_nulls_last()).withColumn("part", F.spark_partition_id()).checkpoint()
+    ahead = W.partitionBy("g").orderBy("p").rowsBetween(W.unboundedPreceding, -1)
+    before = rows.groupBy(F.col(group).alias("g"), F.col("part").alias("p")).count().select("g", "p", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("before"))
+    inside = rows.withColumn("i", F.row_number().over(W.partitionBy("part", group).orderBy(F.col(order).asc_nulls_last())))
+    return inside.join(before, (F.col("part") == F.col("p")) & F.col(group).eqNullSafe(F.col("g"))).select(group, order, (F.col("before") + F.col("i")).alias("number"))
+
+
 @R.add(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS clean_md5 FROM documents""")
 def text_clean(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.md5(T.clean(F.col("text"))).alias("clean_md5"))
@@ -80,10 +90,11 @@ def text_check_sentences(spark, sf_dir):
 n AS (SELECT source, list_distinct(list_transform(regexp_extract_all(t, '(?m)^\[(\d{1,3})\]', 1), lambda x: CAST(x AS INTEGER))) AS n FROM l)
 SELECT source, CAST(CASE WHEN len(n) >= 5 AND list_max(n) - list_min(n) + 1 = len(n) THEN len(n) ELSE -1 END AS INTEGER) AS entries FROM n""")
 def text_entry_count(spark, sf_dir):
-    """Numbered lists made of each source's documents."""
-    listed = documents(spark, sf_dir).groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("d"))
-    text = F.array_join(F.transform("d", lambda d, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), d.cast("string"))), "\n")
-    return listed.select("source", F.coalesce(T.entry_count(text), F.lit(-1)).cast("int").alias("entries"))
+    """Numbered lists made of each source's documents, a line a document."""
+    lines = numbered(documents(spark, sf_dir), "source", "doc_id")
+    line = F.concat(F.lit("["), F.col("number").cast("string"), F.lit("] "), F.col("doc_id").cast("string"))
+    counts = lines.select("source", T.entry_number(line).alias("entry")).groupBy("source").agg(T.entries_of_lines(F.col("entry")).alias("entries"))
+    return counts.select("source", F.coalesce("entries", F.lit(-1)).cast("int").alias("entries"))
 
 
 @R.add(r"""SELECT doc_id, 'Doc ' || doc_id AS title, CASE lang WHEN 'en' THEN 'hr,it' WHEN 'de' THEN '*' ELSE lang END AS acl, CASE doc_id % 10 WHEN 0 THEN 'draft' WHEN 1 THEN 'expired' ELSE 'active' END AS status,
