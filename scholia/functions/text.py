@@ -210,7 +210,9 @@ def text_stats(c: Column) -> Column:
 
 
 def bigram_counts(c: Column) -> Column:
-    return let(strip(F.coalesce(c, F.lit(""))), lambda t: _grams(t, 2))
+    """Each pair of neighbouring characters of the stripped text, as often as it stands there."""
+    pairs = lambda t: F.when(F.size(t) >= 2, F.transform(F.sequence(F.lit(1), F.size(t) - 1), lambda i: F.concat(F.element_at(t, i), F.element_at(t, i + 1)))).otherwise(F.array().cast("array<string>"))
+    return let(F.regexp_extract_all(strip(F.coalesce(c, F.lit(""))), F.lit("(?s)."), F.lit(0)), pairs)  # characters once, as taking each by its place would read a long text over and over
 
 
 def preview(c: Column, n: int = 80) -> Column:

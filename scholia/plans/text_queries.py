@@ -157,6 +157,21 @@ def text_bigram_cosine(spark, sf_dir):
     return sums.select("doc_id", F.round(F.col("d") / (F.sqrt("p") * F.sqrt("q")), 6).alias("similarity"))
 
 
+@R.add()
+def text_bigram_cosine_whole(spark, sf_dir):
+    """Cosine of the bigram counts of the whole texts of neighbouring documents of a source; null where either has no bigram."""
+    d = documents(spark, sf_dir)
+    n = numbered(d, "source", "doc_id")
+    after = n.select(F.col("source").alias("s"), F.col("doc_id").alias("other"), (F.col("number") - 1).alias("m"))
+    pairs = n.join(after, F.col("source").eqNullSafe(F.col("s")) & (F.col("number") == F.col("m"))).select("doc_id", "other")
+    counts = d.select("doc_id", F.explode(T.bigram_counts(F.col("text"))).alias("g")).groupBy("doc_id", "g").count()
+    own = counts.join(pairs, "doc_id").select("doc_id", "g", F.col("count").alias("x"), F.lit(0).cast("long").alias("y"))
+    others = counts.withColumnRenamed("doc_id", "other").join(pairs, "other").select("doc_id", "g", F.lit(0).cast("long").alias("x"), F.col("count").alias("y"))
+    both = own.union(others).groupBy("doc_id", "g").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    sums = both.groupBy("doc_id").agg(F.sum(F.col("x") * F.col("y")).alias("d"), F.sum(F.col("x") * F.col("x")).alias("p"), F.sum(F.col("y") * F.col("y")).alias("q")).where("p > 0 and q > 0")
+    return pairs.select("doc_id").join(sums, "doc_id", "left").select("doc_id", F.round(F.col("d") / (F.sqrt("p") * F.sqrt("q")), 6).alias("similarity"))
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations")
 

@@ -1,5 +1,8 @@
 """Queries over whole texts against brute force."""
 
+import random
+from collections import Counter
+
 from scholia.functions import text as T
 from scholia.plans import text_queries as Q
 
@@ -28,3 +31,19 @@ def test_entries_are_counted_per_line(spark, tmp_path):
     lines = [("a", f"[{i}] x") for i in (3, 4, 5, 6, 7, 7)] + [("b", f"[{i}] x") for i in (1, 2, 3, 4, 6)] + [("c", x) for x in ("[1]", "[2]", " [3]", "[4444]", "x [5]")]
     counts = spark.createDataFrame(lines, "k string, line string").groupBy("k").agg(T.entries_of_lines(T.entry_number("line")).alias("n"))
     assert {r.k: r.n for r in counts.collect()} == {"a": 5, "b": None, "c": None}
+
+
+def test_bigram_cosine_of_whole_texts(spark, tmp_path):
+    rng = random.Random(2)
+    texts = [None, " ", "a", "ab", "\U0001f600\U0001f600 \u00e9", *["x" * 300 + "".join(rng.choice("abcd \u4e00\n") for _ in range(rng.randrange(2, 900))) for _ in range(20)]]
+    rows = [(i, t, "st"[i % 7 == 0]) for i, t in enumerate(texts)]
+    want = {}
+    for s in "st":
+        own = [r for r in rows if r[2] == s]
+        for (i, a, _), (_, b, _) in zip(own, own[1:]):
+            x, y = (Counter(map("".join, zip(t, t[1:]))) for t in ((a or "").strip(), (b or "").strip()))
+            norm = sum(v * v for v in x.values()) ** 0.5 * sum(v * v for v in y.values()) ** 0.5
+            want[i] = round(sum(v * y[g] for g, v in x.items()) / norm, 5) if norm else None
+    got = {r.doc_id: r.similarity and round(r.similarity, 5) for r in Q.text_bigram_cosine_whole(spark, saved(spark, tmp_path, rows)).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i] == w if w is None else abs(got[i] - w) < 2e-5 for i, w in want.items())
