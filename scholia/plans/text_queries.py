@@ -157,6 +157,18 @@ def text_bigram_cosine(spark, sf_dir):
     return sums.select("doc_id", F.round(F.col("d") / (F.sqrt("p") * F.sqrt("q")), 6).alias("similarity"))
 
 
+@R.add()
+def text_strip_markers_whole(spark, sf_dir):
+    """Every text as it is; a null stays null."""
+    return documents(spark, sf_dir).select("doc_id", T.strip_markers(F.col("text")).alias("bare"))
+
+
+@R.add()
+def text_markdown_whole(spark, sf_dir):
+    """Every text as it is, with the markup it has; a null is empty."""
+    return documents(spark, sf_dir).select("doc_id", F.md5(T.markdown_to_text(F.col("text"))).alias("plain_md5"))
+
+
 @R.add()
 def text_bigram_cosine_whole(spark, sf_dir):
     """Cosine of the bigram counts of the whole texts of neighbouring documents of a source; null where either has no bigram."""

@@ -1,6 +1,8 @@
 """Queries over whole texts against brute force."""
 
+import hashlib
 import random
+import re
 from collections import Counter
 
 from scholia.functions import text as T
@@ -47,3 +49,25 @@ def test_bigram_cosine_of_whole_texts(spark, tmp_path):
     got = {r.doc_id: r.similarity and round(r.similarity, 5) for r in Q.text_bigram_cosine_whole(spark, saved(spark, tmp_path, rows)).collect()}
     assert got.keys() == want.keys()
     assert all(got[i] == w if w is None else abs(got[i] - w) < 2e-5 for i, w in want.items())
+
+
+def bare(t):
+    for _ in range(3):
+        for p in (r"^\s*[（(][^）)]{0,24}[）)]\s*", r"^\s*(?:[-•·*]\s*)+", r"^\s*\d{1,2}[.、．)]\s*"):
+            t = re.sub(p, "", t)
+    return t.strip()
+
+
+def plain(t):
+    for p, to in ((r"(?s)```[^\n]*\n(.*?)```", r"\n\1\n"), (r"`([^`]+)`", r"\1"), (r"\[([^\]]+)\]\([^)]+\)", r"\1"), (r"<[^>]+>", "")):
+        t = re.sub(p, to, t)
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", t.strip()))
+
+
+def test_markers_and_markup_of_whole_texts(spark, tmp_path):
+    rng = random.Random(6)
+    heads = ["（一） ", "(a) ", "- ", "• * ", "1. ", "12、", "123. ", "  3) - 2. ", "[x](http://y/z) ", "<b>q</b> ", "```py\na < b\n\n\n\nc\n```", "`k` ", "# h\n", "[1] ", "plain "]
+    texts = [None, "", " \n", *[rng.choice(heads) + rng.choice(heads) + "word <i>y</i> `z`\n- (b) 4. last " * rng.randrange(1, 90) for _ in range(60)], *heads]
+    folder = saved(spark, tmp_path, [(i, t, "s") for i, t in enumerate(texts)])
+    assert {r.doc_id: r.bare for r in Q.text_strip_markers_whole(spark, folder).collect()} == {i: None if t is None else bare(t) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.plain_md5 for r in Q.text_markdown_whole(spark, folder).collect()} == {i: hashlib.md5(plain(t or "").encode()).hexdigest() for i, t in enumerate(texts)}
