@@ -1,32 +1,36 @@
 """Token ids in binary shards with a minimal perfect hash index.
 
 Format, in one folder: ``shard-*.ids`` holds the ids of its documents one after another as little-endian unsigned integers (16 bits while
-all ids are under 65536, else 32), nothing else; ``shard-*.index`` (a NumPy archive) maps a document key to its
-place: levels of bits whose rank is the key's slot (a minimal perfect hash), a 32-bit fingerprint per slot that tells foreign
-keys, the first record and the number of records of a key, and the records' offsets in ids. Shards and the documents within them are in ascending order of
-the key. Reading one key takes a few bit tests and one ranged read, whatever the size.
+all ids are under 65536, else 32), nothing else; ``shard-*.index`` maps a document key to its place by sections of fixed-width entries: a head of
+``HEAD`` bytes (counts, and the sizes of the levels), blocks of 512 bits with the number of set bits before each (the rank of a key's bit is its slot: a minimal perfect
+hash), slots (a 32-bit fingerprint that tells foreign keys, the number of records of the key, the first of them), and the records' offsets in ids. Shards and the documents
+within them are in ascending order of the key.
+
+Reading one key takes the head (once, while its shard stays open), one block a level tried (two on the mean), one slot, two offsets a record and the ids: ranged reads of
+fixed lengths, the same for every size of the shard. Which shard holds a key is found by bisection in the driver's list of shards.
 
 A task writes files under names of its own and reports them in a row; only rows of tasks that succeeded are read, so lost executors and
 repeated attempts leave at most files that nothing refers to. The folder is opened by its URI (local, object store, HDFS).
 
 Defined cases: null and empty texts are one end id; a null key comes first and is found as any other; rows that share a key are records of one
-slot, ordered by a hash of their text; an empty table gives an empty store.
+slot, ordered by a hash of their text (ties in it, so equal texts, in any order); very long texts are encoded whole, a batch of texts at a time; an empty table
+gives an empty store; columns besides the id and the text, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
 import bisect
-import io
 import os
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyarrow import fs
 from pyspark import TaskContext
@@ -40,11 +44,13 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 class Encoder:
     """Ids by the tokenizers library for a byte-level BPE without prefix space. A space before other than white space always starts a pre-token,
-    so texts are cut there and each distinct piece is encoded once while it is remembered. A text with a special token's string or a NUL is encoded whole."""
+    so texts are cut there, and each distinct piece of a batch is looked up once and encoded once while it is remembered. A text with a special token's string or a NUL is encoded whole."""
 
     #: ASCII marks but the apostrophe: after an ASCII letter they always start a pre-token
     MARKS, LETTERS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    CUT, ODD = re.compile(r"(?= \S)"), re.compile(r" (?:\s|\Z)")
+    CUT = re.compile(r"(?= \S)")
+    #: a space before white space or at the end
+    ODD = r" (?:[\x09-\x0d \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)"
 
     def __init__(self, file: str, remember: int = 600_000):
         from tokenizers import Tokenizer
@@ -52,6 +58,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(file)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65536 else np.dtype("<u4")
+        self.opens = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)  # ids that begin with a space
+        self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
         self.known: dict[str, bytes] = {}
         self.remember = remember
 
@@ -59,48 +67,92 @@ class Encoder:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _raw_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of many short pieces by one call: special tokens part a text into segments that are encoded on their own."""
-        if not self.specials or len(pieces) < 2:
-            return self._raw(pieces) if pieces else []
-        mark = self.specials[0]
-        ids = np.array(self.tokenizer.encode_batch_fast([mark.join(pieces)], add_special_tokens=False)[0].ids, self.dtype)
-        cuts = [-1, *np.flatnonzero(ids == self.tokenizer.token_to_id(mark)).tolist(), len(ids)]
-        raw, w = ids.tobytes(), self.dtype.itemsize
-        return [raw[(a + 1) * w : b * w] for a, b in zip(cuts, cuts[1:])]
+        """Ids of pieces. Those that a space opens are encoded in one call as one text: each starts at an id that begins with a space, as no piece has another before
+        other than white space."""
+        spaced = [p for p in pieces if p[:1] != "\0" and not p[:1].isspace() and " " not in p and p]
+        rest = list(set(pieces).difference(spaced))
+        out = dict(zip(rest, self._raw([p[1:] if p[:1] == "\0" else " " + p for p in rest]))) if rest else {}
+        if spaced:
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(spaced)], add_special_tokens=False)[0].ids, self.dtype)
+            cuts, raw, w = [*np.flatnonzero(self.opens[ids]).tolist(), len(ids)], ids.tobytes(), self.dtype.itemsize
+            if len(cuts) != len(spaced) + 1:
+                raise ValueError("this tokenizer's ids don't show where pieces start; encode whole texts instead")
+            out.update((p, raw[a * w : b * w]) for p, a, b in zip(spaced, cuts, cuts[1:]))
+        return [out[p] for p in pieces]
 
     def _pieces(self, text: str) -> list[str]:
         """The text's pieces without the space that opens them; one that no space opens has a NUL before it."""
-        if self.ODD.search(text):
-            return [x[1:] if x[0] == " " and len(x) > 1 else "\0" + x for x in self.CUT.split(text) if x]
-        words = text.split(" ")
-        if words[0]:
-            words[0] = "\0" + words[0]
-        else:
-            del words[0]
-        return words
+        return [x[1:] if x[0] == " " and len(x) > 1 else "\0" + x for x in self.CUT.split(text) if x]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        whole = [bool(t) and ("\0" in t or any(s in t for s in self.specials)) for t in texts]
-        cut = [[] if w or not t else self._pieces(t) for t, w in zip(texts, whole)]
+    def _looked_up(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces; the first ``remember`` are kept."""
         known = self.known
-        new = set(chain.from_iterable(cut)).difference(known)
-        ends, need = {}, set()
+        found = list(map(known.get, pieces))
+        new = [p for p, f in zip(pieces, found) if f is None]
+        if not new:
+            return found
+        ends, need = {}, dict.fromkeys(p for p in new)
         for p in new:
             core = p.rstrip(self.MARKS)
             if len(core) < len(p) and core[-1:] in self.LETTERS:
                 ends[p] = core, "\0" + p[len(core) :]
-            else:
-                need.add(p)
-        need.update(x for pair in ends.values() for x in pair if x not in known)
-        encoded = list(need)
-        known.update(zip(encoded, self._raw_pieces([p[1:] if p[0] == "\0" else " " + p for p in encoded])))
-        get = known.__getitem__
-        known.update((p, get(a) + get(b)) for p, (a, b) in ends.items())
-        out = [self._raw([t])[0] if w else b"".join(map(get, ps)) for t, w, ps in zip(texts, whole, cut)]
-        if len(known) > self.remember:
-            for p in new | need:
-                del known[p]
-        return out
+                del need[p]
+        need.update((x, None) for pair in ends.values() for x in pair if x not in known)
+        made = dict(zip(need, self._raw_pieces(list(need))))
+        get = lambda p: known[p] if p in known else made[p]
+        made.update([(p, get(a) + get(b)) for p, (a, b) in ends.items()])
+        room = self.remember - len(known)
+        if room > 0:
+            known.update(made if len(made) <= room else islice(made.items(), room))
+        return [made[p] if f is None else f for p, f in zip(pieces, found)]
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and the number of each text's."""
+        texts = texts.fill_null("")
+        whole = pc.match_substring(texts, "\0")
+        for s in self.specials:
+            whole = pc.or_(whole, pc.match_substring(texts, s))
+        odd = pc.or_(whole, pc.match_substring_regex(texts, self.ODD)).to_numpy(zero_copy_only=False)
+        cut = pc.split_pattern(pc.binary_join_element_wise("\0", texts.filter(pa.array(~odd)), ""), " ")
+        sizes, words = np.diff(cut.offsets.to_numpy()), [cut.flatten()]
+        plain, extra, extra_sizes = np.flatnonzero(~odd), [], []
+        wholes = whole.to_numpy(zero_copy_only=False)
+        for t in texts.filter(pa.array(odd & ~wholes)).to_pylist():
+            ps = self._pieces(t)
+            extra += ps
+            extra_sizes.append(len(ps))
+        words = pa.chunked_array([*words, pa.array(extra, pa.string())]).combine_chunks().dictionary_encode()
+        distinct = words.dictionary
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct), " \0")[0].as_py() if len(distinct) else None
+        ids = self._looked_up(joined.split(" \0") if joined is not None else [])
+        raw = self._raw(texts.filter(whole).to_pylist())  # texts as pieces of their own
+        at = words.indices.to_numpy()
+        order = np.concatenate([plain, np.flatnonzero(odd & ~wholes)])
+        many = np.concatenate([sizes, np.array(extra_sizes, np.int64)]).astype(np.int64)
+        table = ids + raw
+        at = np.concatenate([at, np.arange(len(ids), len(table))]).astype(np.int64)
+        order, many = np.concatenate([order, np.flatnonzero(wholes)]), np.concatenate([many, np.ones(len(raw), np.int64)])
+        # the pieces in the order of the texts
+        begins = np.concatenate([[0], np.cumsum(many)[:-1]]).astype(np.int64)
+        rank = np.argsort(order, kind="stable")
+        at = at[_ranges(begins[rank], many[rank])]
+        lengths = np.fromiter(map(len, table), np.int64, len(table)) // self.dtype.itemsize
+        flat = np.frombuffer(b"".join(table), self.dtype)
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64) if len(lengths) else np.zeros(0, np.int64)
+        sums = np.concatenate([[0], np.cumsum(lengths[at])])
+        edges = np.concatenate([[0], np.cumsum(many[rank])])
+        return flat[_ranges(starts[at], lengths[at])], np.diff(sums[edges])
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        flat, counts = self.encode_batch(pa.array(texts, pa.string()))
+        ends = np.cumsum(counts)
+        return [flat[e - n : e].tobytes() for e, n in zip(ends, counts)]
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of each range, one range after another."""
+    before = np.concatenate([[0], np.cumsum(lengths)])
+    return np.repeat(starts - before[:-1], lengths) + np.arange(before[-1])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -134,7 +186,7 @@ class PerfectHash:
     def build(cls, h: np.ndarray, room: float = 1.5) -> PerfectHash:
         sizes, parts, rest, level = [], [], h, 0
         while len(rest):
-            if level > 200:
+            if level == LEVELS:
                 raise ValueError("two keys have the same 64-bit hash")
             size = max(1, int(room * len(rest)))
             at = _level(rest, level, size)
@@ -161,51 +213,100 @@ def _fingerprints(h: np.ndarray) -> np.ndarray:
     return ((h * np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32)).astype(np.uint32)
 
 
+#: The index file: a head of fixed length, then blocks, slots and offsets, each of fixed width.
+LEVELS, HEAD = 200, 2048
+BLOCK = np.dtype([("rank", "<u8"), ("bits", "u1", 64)])
+SLOT = np.dtype([("print", "<u4"), ("many", "<u4"), ("first", "<u8")])
+
+
 def index_bytes(keys: list, lengths: list[int]) -> bytes:
     """The index of records in order; equal keys stand together."""
     firsts = [i for i, k in enumerate(keys) if i == 0 or k != keys[i - 1]]
     h = key_hash([keys[i] for i in firsts])
     mph = PerfectHash.build(h)
     slot = mph.slots(h)
-    n = len(firsts)
-    prints, first, many = np.zeros(n, np.uint32), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    prints[slot], first[slot], many[slot] = _fingerprints(h), firsts, np.diff([*firsts, len(keys)])
-    out = io.BytesIO()
-    np.savez(out, sizes=np.array(mph.sizes, np.int64), bits=np.packbits(mph.bits), n_bits=len(mph.bits), prints=prints, first=first, many=many, offsets=np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64))
-    return out.getvalue()
+    n_blocks = -(-len(mph.bits) // 512)
+    blocks, slots = np.zeros(n_blocks, BLOCK), np.zeros(len(firsts), SLOT)
+    blocks["bits"] = np.packbits(np.pad(mph.bits, (0, n_blocks * 512 - len(mph.bits)))).reshape(n_blocks, 64)
+    blocks["rank"] = mph.rank[np.arange(n_blocks) * 512]
+    slots["print"][slot], slots["first"][slot], slots["many"][slot] = _fingerprints(h), firsts, np.diff([*firsts, len(keys)])
+    head = np.zeros(HEAD // 8, "<u8")
+    head[: 4 + len(mph.sizes)] = [len(firsts), len(keys), n_blocks, len(mph.sizes), *mph.sizes]
+    return head.tobytes() + blocks.tobytes() + slots.tobytes() + np.concatenate([[0], np.cumsum(lengths)]).astype("<u8").tobytes()
 
 
 class Shard:
-    """Keyed access to one shard."""
+    """Keyed access to one shard: ``find`` and ``ids`` by ranged reads, ``records`` for many keys with the whole index in memory. ``bytes_read`` counts."""
 
     def __init__(self, uri: str, dtype: str):
         self.fs, self.path = fs.FileSystem.from_uri(uri)
-        self.dtype = np.dtype(dtype)
-        with self.fs.open_input_file(f"{self.path}.index") as f:
-            a = np.load(io.BytesIO(f.read()))
-        self.mph = PerfectHash(a["sizes"].tolist(), np.unpackbits(a["bits"], count=int(a["n_bits"])).astype(bool))
-        self.prints, self.first, self.many, self.offsets = a["prints"], a["first"], a["many"], a["offsets"]
+        self.dtype, self.bytes_read = np.dtype(dtype), 0
+        head = np.frombuffer(self._read("index", 0, HEAD), "<u8")
+        self.n_keys, self.n_records, self.n_blocks, levels = (int(x) for x in head[:4])
+        self.sizes = head[4 : 4 + levels].astype(np.int64).tolist()
+        self.slots_at = HEAD + self.n_blocks * BLOCK.itemsize
+        self.offsets_at = self.slots_at + self.n_keys * SLOT.itemsize
+        self._whole: tuple | None = None
+
+    def _read(self, part: str, start: int, length: int) -> bytes:
+        with self.fs.open_input_file(f"{self.path}.{part}") as f:
+            f.seek(start)
+            out = f.read(length)
+        self.bytes_read += len(out)
+        return out
+
+    def find(self, key) -> range:
+        """The records of ``key``; none if it isn't here."""
+        h, start = key_hash([key]), 0
+        for level, size in enumerate(self.sizes):
+            at = int(_level(h, level, size)[0]) + start
+            block = np.frombuffer(self._read("index", HEAD + at // 512 * BLOCK.itemsize, BLOCK.itemsize), BLOCK)[0]
+            bits = np.unpackbits(block["bits"])
+            if bits[at % 512]:
+                slot = int(block["rank"]) + int(bits[: at % 512].sum())
+                s = np.frombuffer(self._read("index", self.slots_at + slot * SLOT.itemsize, SLOT.itemsize), SLOT)[0]
+                return range(int(s["first"]), int(s["first"]) + int(s["many"])) if s["print"] == _fingerprints(h)[0] else range(0)
+            start += size
+        return range(0)
+
+    def ids(self, record: int) -> np.ndarray:
+        a, b = np.frombuffer(self._read("index", self.offsets_at + record * 8, 16), "<u8").astype(int).tolist()
+        return np.frombuffer(self._read("ids", a * self.dtype.itemsize, (b - a) * self.dtype.itemsize), self.dtype)
+
+    def whole(self) -> tuple[PerfectHash, np.ndarray, np.ndarray]:
+        """The index in memory: the hash, its slots and the records' offsets."""
+        if self._whole is None:
+            raw = self._read("index", HEAD, self.offsets_at + 8 * (self.n_records + 1) - HEAD)
+            blocks = np.frombuffer(raw, BLOCK, self.n_blocks)
+            mph = PerfectHash(self.sizes, np.unpackbits(blocks["bits"].reshape(-1), count=sum(self.sizes)).astype(bool))
+            self._whole = mph, np.frombuffer(raw, SLOT, self.n_keys, self.slots_at - HEAD), np.frombuffer(raw, "<u8", self.n_records + 1, self.offsets_at - HEAD).astype(np.int64)
+        return self._whole
 
     def records(self, keys: list) -> Iterator[tuple[int, int]]:
         """(number of the key, record) of each record of ``keys`` here; keys that aren't here give none."""
+        mph, slots, _ = self.whole()
         h = key_hash(keys)
-        slots = self.mph.slots(h)
-        here = (slots >= 0) & (self.prints[np.maximum(slots, 0)] == _fingerprints(h)) if len(self.prints) else np.zeros(len(h), bool)
+        at = mph.slots(h)
+        here = (at >= 0) & (slots["print"][np.maximum(at, 0)] == _fingerprints(h)) if len(slots) else np.zeros(len(h), bool)
         for i in np.flatnonzero(here):
-            s = slots[i]
-            yield from ((int(i), r) for r in range(self.first[s], self.first[s] + self.many[s]))
-
-    def ids(self, record: int, payload: np.ndarray | None = None) -> np.ndarray:
-        a, b = int(self.offsets[record]), int(self.offsets[record + 1])
-        if payload is not None:
-            return payload[a:b]
-        with self.fs.open_input_file(f"{self.path}.ids") as f:
-            f.seek(a * self.dtype.itemsize)
-            return np.frombuffer(f.read((b - a) * self.dtype.itemsize), self.dtype)
+            s = slots[at[i]]
+            yield from ((int(i), r) for r in range(int(s["first"]), int(s["first"]) + int(s["many"])))
 
     def payload(self) -> np.ndarray:
-        with self.fs.open_input_file(f"{self.path}.ids") as f:
-            return np.frombuffer(f.read(), self.dtype)
+        return np.frombuffer(self._read("ids", 0, -1), self.dtype)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], column: int, least_bytes: int = 4_000_000) -> Iterator[pa.Table]:
+    """Batches put together until a text column has so many bytes: words repeat more in them."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column(column).nbytes
+        if size >= least_bytes:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _written(folder: str, tokenizer_file: str, end_id: int):
@@ -213,28 +314,26 @@ def _written(folder: str, tokenizer_file: str, end_id: int):
         keys: list = []
         lengths: list[int] = []
         number, out, path = TaskContext.get().partitionId(), None, ""
-        for b in batches:
-            for at in range(0, b.num_rows, 300):
-                part = b.slice(at, 300)
-                if out is None:
-                    enc = encoder(tokenizer_file)
-                    store, root = fs.FileSystem.from_uri(folder)
-                    store.create_dir(root)
-                    name = f"shard-{number:06d}-{uuid.uuid4().hex[:12]}"
-                    path = f"{folder}/{name}"
-                    out = store.open_output_stream(f"{root}/{name}.ids")
-                    end = np.array([end_id], enc.dtype).tobytes()
-                keys += part.column(0).to_pylist()
-                for x in enc.encode(part.column(1).to_pylist()):
-                    out.write(x + end)
-                    lengths.append(len(x) // enc.dtype.itemsize + 1)
+        for t in _gathered((b for b in batches if b.num_rows), 1):
+            if out is None:
+                enc = encoder(tokenizer_file)
+                store, root = fs.FileSystem.from_uri(folder)
+                store.create_dir(root)
+                name = f"shard-{number:06d}-{uuid.uuid4().hex[:12]}"
+                path = f"{folder}/{name}"
+                out = store.open_output_stream(f"{root}/{name}.ids")
+            keys += t.column(0).to_pylist()
+            ids, counts = enc.encode_batch(t.column(1).combine_chunks())
+            out.write(np.insert(ids, np.cumsum(counts), end_id).tobytes())  # each text's ids, then the end id
+            lengths += (counts + 1).tolist()
         if out is not None:
             out.close()
             with store.open_output_stream(f"{root}/{name}.index") as f:
                 f.write(index_bytes(keys, lengths))
             real = [k for k in keys if k is not None]
             low, high = (real[0], real[-1]) if real else (None, None)
-            yield pa.record_batch([pa.array([number], pa.int32()), pa.array([path]), pa.array([enc.dtype.str]), pa.array([len(keys)]), pa.array([sum(lengths)]), pa.array([low], b.column(0).type), pa.array([high], b.column(0).type), pa.array([keys[0] is None])], ["shard", "uri", "dtype", "n_docs", "n_ids", "low", "high", "has_null"])
+            kind = t.column(0).type
+            yield pa.record_batch([pa.array([number], pa.int32()), pa.array([path]), pa.array([enc.dtype.str]), pa.array([len(keys)]), pa.array([sum(lengths)]), pa.array([low], kind), pa.array([high], kind), pa.array([keys[0] is None])], ["shard", "uri", "dtype", "n_docs", "n_ids", "low", "high", "has_null"])
 
     return run
 
@@ -244,6 +343,18 @@ class TokenStore:
     """Shards in key order: uri, dtype, low and high key, whether they hold the null key, and the number of ids before."""
 
     shards: list[dict]
+    most_open: int = 64
+
+    def __post_init__(self):
+        self._open: dict[int, Shard] = {}
+
+    def _shard(self, i: int) -> Shard:
+        """An open shard; the last ``most_open`` used stay open."""
+        shard = self._open.pop(i, None) or Shard(self.shards[i]["uri"], self.shards[i]["dtype"])
+        self._open[i] = shard
+        if len(self._open) > self.most_open:
+            del self._open[next(iter(self._open))]
+        return shard
 
     def holding(self, key) -> list[int]:
         if key is None:
@@ -258,21 +369,17 @@ class TokenStore:
 
     def get(self, key) -> list[np.ndarray]:
         """Ids of each record of ``key``, by ranged reads."""
-        out = []
-        for i in self.holding(key):
-            shard = Shard(self.shards[i]["uri"], self.shards[i]["dtype"])
-            out += [shard.ids(r) for _, r in shard.records([key])]
-        return out
+        return [shard.ids(r) for shard in map(self._shard, self.holding(key)) for r in shard.find(key)]
 
     def read(self, keys: DataFrame) -> DataFrame:
         """(key, start, n_tokens, ids_crc32) of every record of the distinct keys in the one column of ``keys``. ``start`` counts the ids of all documents before; the checksum is over little-endian
         unsigned 32-bit ids. Keys go to the tasks of their shards."""
-        name, shards = keys.columns[0], self.shards
+        name, shards, holding = keys.columns[0], self.shards, TokenStore(self.shards).holding
         kind = keys.schema[name].dataType.simpleString()
 
         def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                found = [(i, j) for j, k in enumerate(b.column(0).to_pylist()) for i in self.holding(k)]
+                found = [(i, j) for j, k in enumerate(b.column(0).to_pylist()) for i in holding(k)]
                 yield pa.record_batch([pa.array([i for i, _ in found], pa.int32()), b.column(0).take(pa.array([j for _, j in found], pa.int64()))], ["shard", "key"])
 
         def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,9 +395,10 @@ class TokenStore:
                         shard = Shard(shards[now]["uri"], shards[now]["dtype"])
                         payload = shard.payload()
                     got = list(shard.records(b.column(1).slice(lo, hi - lo).to_pylist()))
-                    ids = [shard.ids(r, payload) for _, r in got]
+                    offsets = shard.whole()[2]
+                    ids = [payload[offsets[r] : offsets[r + 1]] for _, r in got]
                     yield pa.record_batch(
-                        [b.column(1).slice(lo, hi - lo).take(pa.array([i for i, _ in got], pa.int64())), pa.array([shards[now]["before"] + int(shard.offsets[r]) for _, r in got], pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())],
+                        [b.column(1).slice(lo, hi - lo).take(pa.array([i for i, _ in got], pa.int64())), pa.array([shards[now]["before"] + int(offsets[r]) for _, r in got], pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())],
                         [name, "start", "n_tokens", "ids_crc32"],
                     )
 

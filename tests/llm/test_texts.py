@@ -63,6 +63,27 @@ def test_perfect_hash_is_minimal_and_perfect():
     assert PerfectHash.build(h[:0]).slots(h[:3]).tolist() == [-1, -1, -1]
 
 
+def test_bytes_read_for_a_key_are_independent_of_the_shards_size(spark):
+    """Every document has one token, so a key's ids are 4 bytes."""
+    read = {}
+    for n in (50, 20_000):
+        store = write_store(spark.range(n).selectExpr("id AS doc_id", "'a' AS text"), BPE, shard_bytes=1 << 30)
+        assert len(store.shards) == 1 and all(len(store.get(k)) == 1 for k in (0, n - 1, n // 2))
+        shard = store._shard(0)
+        before, most = shard.bytes_read, 0
+        for k in range(0, n, max(1, n // 50)):
+            shard.bytes_read = 0
+            assert store.get(k)[0].tolist() == t_ids("a")
+            most = max(most, shard.bytes_read)
+        read[n] = most
+        assert store.get(n + 5) == [] and before <= 2048 + 3 * most
+    assert max(read.values()) <= 12 * 72 + 16 + 16 + 4  # one block a level tried, slot, offsets, ids; shard and index of the large store have over 500 KB
+
+
+def t_ids(text):
+    return [*Tokenizer.from_file(BPE).encode(text, add_special_tokens=False).ids, 0]
+
+
 def test_store_round_trip(spark, docs, odd, none):
     t = Tokenizer.from_file(BPE)
     store = write_store(docs, BPE, shard_bytes=60_000)
@@ -75,6 +96,7 @@ def test_store_round_trip(spark, docs, odd, none):
         start += len(ids)
     one = docs.first()
     assert store.get(one.doc_id)[0][:-1].tolist() == t.encode(one.text, add_special_tokens=False).ids
+    assert store.get(one.doc_id)[0][:-1].tolist() == t.encode(one.text, add_special_tokens=False).ids
     assert store.get(10**9) == []
     odd_store = write_store(odd, BPE)
     rows = odd_store.read(odd.select("doc_id")).collect()
