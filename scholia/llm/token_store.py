@@ -251,7 +251,7 @@ class Shard:
     def _read(self, part: str, start: int, length: int) -> bytes:
         with self.fs.open_input_file(f"{self.path}.{part}") as f:
             f.seek(start)
-            out = f.read(length)
+            out = f.read() if length < 0 else f.read(length)
         self.bytes_read += len(out)
         return out
 
