@@ -1,23 +1,33 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
-Each page is parsed into a tree, and its path summary (one node for each distinct path of labels, children in first-seen order) is its
-skeleton. The most frequent skeleton of a host is the host's wrapper; skeletons are aligned with it by simple tree matching, so that
-each node gets a slot of the wrapper. A text that stands in one slot on at least ``constant_share`` of a host's distinct pages (and on
-``least_pages``) is template; the other texts of a slot vary and are content, unless the slot lies in a region that never is content by its element, role
-or name (menus, headers, footers, sidebars, notices, adverts, forms, comments) or is a list of links. Hosts of few pages rest on regions alone.
+Each page is parsed into its DOM tree. The tree of its block elements is the page's shape; inline elements belong to their block, and like leaf blocks
+of one parent (paragraphs, headings, items, cells) are one repeated node, as their number follows the content. The most frequent shape of a host is its wrapper; the other shapes are
+aligned with it by simple tree matching, so that each block gets a slot of the wrapper (a node that the wrapper lacks: the slot of what is around it).
+
+1. A text that stands in one slot on at least ``constant_share`` of a host's distinct pages, two at least, is constant: template. Pages that would lose over
+   half of their letters in slots that hold varying texts too, or over four fifths of all outside links, are copies of one another rather than pages of one template; they count as no evidence. Nor is a text constant
+   that stands on pages of other hosts too, so that chance explains its number here (with more than ``most_chance``): it belongs to what is written.
+2. The other texts vary. From the wrapper's root the way leads down to the part that holds more than half of the varying letters outside links, while such a part exists, no
+   varying main heading stands outside it, and it isn't itself named as something else. The slots below are the content; varying menus, adverts and footers stand outside.
+3. Inside the content only what can't belong to an article by its element, role or name goes: menus, forms, footers, asides, notices, adverts, reader comments.
+
+Where this leaves it open (one page on a host, a page of another build, no part with most of the letters), a page decides for itself: by its article or main element, else by step 2 over its own
+letters, with element, role and name lists and lists of links as the tie-break.
 
 Blocks end at block elements; white space inside a block becomes one space; blocks are joined by two line feeds.
 
-Defined cases: null and empty html give ''; a null or odd url is the host ''; unclosed and stray tags are repaired; copies of a page count once for the template; repeated
-rows each give a row; pages without an article or main region use the body.
+Defined cases: null and empty html give ''; a null or odd url is the host ''; unclosed and stray tags are repaired; any depth of nesting; very long pages are
+kept whole; copies of a page count once for the template; repeated rows each give a row; of shapes equally frequent the longest, then the one of the largest hash is the wrapper; of alignments
+equally good the one that matches later siblings; an empty table gives an empty result. Columns of the input besides the html are returned as they are; names that start with two underscores are the operator's own.
 """
 
 from __future__ import annotations
 
 import html as entities
+import math
 import re
-from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -30,12 +40,20 @@ ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noframes xmp".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Blocks of text and of rows: like ones of a parent are one repeated node.
+LEAVES = frozenset("address blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 legend li p pre summary td th tr".split())
+LISTS = frozenset("ul ol dl div section p table nav".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "option": {"select"}}
-NEVER = frozenset("head title script style noscript template iframe nav footer aside form button select option input textarea svg canvas object embed audio video menu dialog label fieldset noframes xmp math map".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar note tooltip".split())
-NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advert\w+|adbox|adslot|sponsor\w*|promo\w*|banner|menu|nav|navbar|navigation|sidebar|side|rail|footer|foot|header|masthead|topbar|cookies?|cookie\w+|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|comments?|commentlist|disqus|respond|reply|replies|discussion|share|sharing|social|related|recommended|recommendations|breadcrumbs?|pagination|pager|paging|widget|toolbar|search|skip|copyright|disclaimer|paywall|tags?|byline)(?=$|[\s_-]|\d)", re.I)
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose text is never shown as text.
+NEVER = frozenset("head title script style noscript template iframe button select option input textarea svg canvas object embed audio video noframes xmp map".split())
+#: Elements, roles and words of class and id names that stand for something other than an article.
+APART = frozenset("nav footer aside form menu dialog".split())
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+NAMED = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner menu nav navbar navigation sidebar rail footer header masthead topbar cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login comment comments commentlist respond reply replies share sharing breadcrumb breadcrumbs pagination pager toolbar skip".split())
+FILLERS = frozenset("box area wrapper container bar block section list slot unit site page global top bottom left right main primary secondary inner outer col column links buttons form widget container thread body item".split())
+PARTS = re.compile(r"[-_\d]+")
+HEADER, IN_APART, LINKED, TITLE, ALONE = 1, 2, 4, 8, 16  # marks of a block
 
 
 class Node:
@@ -102,222 +120,337 @@ def parsed(page: str) -> Node:
     return root
 
 
-def _label(n: Node) -> str:
-    return f"{n.tag}.{n.name.split()[0]}" if n.name else n.tag
-
-
-def never_content(n: Node, inside: bool) -> bool:
-    """Whether the region is none of the article's. ``inside``: within the article, where a header holds the title."""
-    if n.hidden or n.tag in NEVER or n.role in ROLES:
+def named_apart(n: Node) -> bool:
+    """Whether element, role or name say that this is no part of an article. A class or id counts only as a whole: each of its words must be a known one."""
+    if n.tag in APART or n.role in ROLES:
         return True
-    if n.tag == "header":
-        return not inside
-    return bool(n.name and n.tag not in ("html", "body", "article", "main") and NAMES.search(n.name))
-
-
-def _links(n: Node) -> tuple[int, int, int]:
-    """Letters, letters in links, links."""
-    letters = linked = links = 0
-    stack = [(c, n.tag == "a") for c in n.children]
-    while stack:
-        c, inside = stack.pop()
-        if isinstance(c, str):
-            k = len(c.strip())
-            letters += k
-            linked += k * inside
-        else:
-            links += c.tag == "a"
-            stack += [(x, inside or c.tag == "a") for x in c.children]
-    return letters, linked, links
-
-
-def _is_link_list(n: Node) -> bool:
-    if n.tag not in ("ul", "ol", "dl", "div", "section", "p", "table"):
+    if not n.name or n.tag in ("html", "body", "article", "main"):
         return False
-    letters, linked, links = _links(n)
-    return links >= 3 and linked >= 0.8 * letters
+    for token in n.name.lower().split():
+        words = [w for w in PARTS.split(token) if w]
+        if words and any(w in NAMED for w in words) and all(w in NAMED or w in FILLERS for w in words):
+            return True
+    return False
+
+
+class Shape:
+    """The tree of a page's block elements: labels, parents and children by number, in preorder."""
+
+    def __init__(self, labels: list[str], parents: list[int]):
+        self.labels, self.parents = labels, parents
+        self.kids: list[list[int]] = [[] for _ in labels]
+        for i, p in enumerate(parents):
+            if p >= 0:
+                self.kids[p].append(i)
+
+    @classmethod
+    def read(cls, text: str) -> Shape:
+        labels, parents, path = [], [], []
+        for i, line in enumerate(text.split("\n")):
+            depth, label = line.split(" ", 1)
+            del path[int(depth) :]
+            parents.append(path[-1] if path else -1)
+            labels.append(label)
+            path.append(i)
+        return cls(labels, parents)
+
+    def write(self) -> str:
+        depth, lines = [0] * len(self.labels), []
+        for i, (label, p) in enumerate(zip(self.labels, self.parents)):
+            depth[i] = depth[p] + 1 if p >= 0 else 0
+            lines.append(f"{depth[i]} {label}")
+        return "\n".join(lines)
+
+    def apart(self, i: int) -> bool:
+        return self.labels[i].endswith("!")
+
+
+def main_part(shape: Shape, letters: list[float], titles: list[float], share: float = 0.5) -> int:
+    """The node that holds most of the varying letters: down from the root to the child with more than ``share`` of its parent's, unless a title stands outside it or it is named
+    as something else. 0 where there is no such way."""
+    mass, held = list(letters), list(titles)
+    for i in range(len(mass) - 1, 0, -1):
+        mass[shape.parents[i]] += mass[i]
+        held[shape.parents[i]] += held[i]
+    now = 0
+    while shape.kids[now]:
+        best = max(shape.kids[now], key=mass.__getitem__)
+        if mass[best] <= share * mass[now] or held[best] < held[now] or shape.apart(best) or shape.labels[best].split(".")[0].rstrip("!") in LEAVES:
+            break
+        now = best
+    return now if shape.labels[now].split(".")[0] not in ("#page", "html", "body") else 0
 
 
-def blocks_of(page: str) -> tuple[str, list[tuple[int, str]]]:
-    """The skeleton, and the blocks of the article in order, each with its node of the skeleton."""
+def blocks_of(page: str) -> tuple[str, list[tuple[int, str, int, int]]]:
+    """The page's shape, and its blocks in order: node of the shape, text, marks, letters in links."""
     root = parsed(page)
-    # the path summary: (depth, label) in preorder
-    summary: list[tuple[int, str]] = []
-    order: dict[int, int] = {}
-
-    class Path:
-        __slots__ = ("label", "kids", "nodes")
-
-        def __init__(self, label):
-            self.label, self.kids, self.nodes = label, {}, []
-
-    top = Path("#")
-    stack = [(root, top)]
-    mains: list[Node] = []
-    while stack:
-        n, p = stack.pop()
-        p.nodes.append(n)
-        nexts = []
-        for c in n.children:
-            if not isinstance(c, str):
-                label = _label(c)
-                kid = p.kids.get(label)
-                if kid is None:
-                    kid = p.kids[label] = Path(label)
-                nexts.append((c, kid))
-        stack += reversed(nexts)
-        if n.tag in ("article", "main") or n.role in ("main", "article"):
-            mains.append(n)
-    todo = [(top, 0)]
-    while todo:
-        p, depth = todo.pop()
-        for n in p.nodes:
-            order[id(n)] = len(summary)
-        summary.append((depth, p.label))
-        todo += [(k, depth + 1) for k in reversed(p.kids.values())]
-    skeleton = "\n".join(f"{d} {label}" for d, label in summary)
-
-    def lies_in(n: Node, kinds) -> bool:
-        up = n.parent
-        while up is not None:
-            if kinds(up):
-                return True
-            up = up.parent
-        return False
-
-    dropped = lambda n: never_content(n, False) and n.tag not in ("article", "main")
-    articles = [n for n in mains if (n.tag == "article" or n.role == "article") and not never_content(n, False) and not lies_in(n, dropped)]
-    chosen = articles or [n for n in mains if not n.hidden]
-    tops = [n for n in chosen if not lies_in(n, lambda u: any(u is x for x in chosen))]
-    inside = bool(tops)
-    if not tops:
-        bodies = [c for c in root.children if not isinstance(c, str)]
-        tops = [root] if bodies or root.children else []
-    out: list[tuple[int, str]] = []
+    labels, parents = ["#page"], [-1]
+    found: list[list] = []  # node, pieces, marks, letters in links, element
+    leaves: dict[tuple[int, str], int] = {}
+    counts: dict[int, list[int]] = {}  # of each element: letters, those in links, links
+    order: list[Node] = []
     held: list[str] = []
-    owner = -1
+    linked = 0
+    owner, marks, element = 0, 0, root
 
     def flush() -> None:
-        nonlocal held, owner
-        text = " ".join(entities.unescape("".join(held)).split())
+        nonlocal held, linked
+        text = " ".join(entities.unescape("".join(held)).split()) if held else ""
         if text:
-            out.append((owner, text))
-        held, owner = [], -1
-
-    for t in tops:
-        work: list = [(t, 0, False)]
-        while work:
-            item, state, heads = work.pop()
-            if isinstance(item, str):
-                held.append(item)
-                continue
-            if state == 1:
+            found.append([owner, text, marks, min(linked, len(text)), element])
+        held, linked = [], 0
+
+    work: list = [(root, 0, 0, False)]
+    while work:
+        item, node, flags, in_link = work.pop()
+        if isinstance(item, str):
+            held.append(item)
+            k = len(item.strip())
+            c = counts[id(order_of[-1])]
+            c[0] += k
+            if in_link:
+                linked += k
+                c[1] += k
+            continue
+        if item is None:  # the end of a block: what follows belongs to the block around it
+            flush()
+            order_of.pop()
+            owner, marks, element = stack.pop()
+            continue
+        if item.hidden or item.tag in NEVER:
+            if item.tag in BLOCKS:
                 flush()
-                continue
-            if item is not t and (never_content(item, inside) or _is_link_list(item)):
-                if item.tag in BLOCKS:
-                    flush()
-                continue
-            if item.tag == "br":
-                held.append(" ")
-                continue
-            block = item.tag in BLOCKS or item is t
+            continue
+        if item.tag == "br":
+            held.append(" ")
+            continue
+        in_link = in_link or item.tag == "a"
+        if item is root:
+            order_of, stack = [root], []
+            counts[id(root)] = [0, 0, 0]
+            order.append(root)
+        else:
+            if item.tag == "a":
+                counts[id(order_of[-1])][2] += 1
+            apart = named_apart(item)
+            block = apart or item.tag in BLOCKS
+            flags |= (IN_APART if apart else 0) | (HEADER if item.tag == "header" else 0) | (TITLE if item.tag == "h1" else 0)
             if block:
                 flush()
-                work.append((item, 1, heads))
-            heads = heads or (inside and item.tag == "header")
-            for c in reversed(item.children):
-                if isinstance(c, str):
-                    if not heads or any(u.tag in HEADINGS for u in _chain(item, t)):
-                        work.append((c, 0, heads))
+                label = (f"{item.tag}.{item.name.split()[0]}" if item.name else item.tag) + ("!" if apart else "")
+                leaf = (node, label) if item.tag in LEAVES else None
+                if leaf in leaves:
+                    node = leaves[leaf]
                 else:
-                    work.append((c, 0, heads))
-            if owner < 0 or block:
-                owner = order[id(item)]
-        flush()
-    return skeleton, out
-
-
-def _chain(n: Node, top: Node) -> Iterator[Node]:
-    while n is not None:
-        yield n
-        if n is top:
-            return
-        n = n.parent
-
-
-def tree_of(skeleton: str) -> tuple[list[str], list[list[int]]]:
-    labels, kids, path = [], [], []
-    for i, line in enumerate(skeleton.split("\n")):
-        depth, label = line.split(" ", 1)
-        labels.append(label)
-        kids.append([])
-        path = path[: int(depth)]
-        if path:
-            kids[path[-1]].append(i)
-        path.append(i)
-    return labels, kids
+                    labels.append(label)
+                    parents.append(node)
+                    node = len(labels) - 1
+                    if leaf:
+                        leaves[leaf] = node
+                stack.append((owner, marks, element))
+                owner, marks, element = node, flags, item
+                order_of.append(item)
+                order.append(item)
+                counts[id(item)] = [0, 0, 0]
+                work.append((None, 0, 0, False))
+        work += [(c, node, flags, in_link) for c in reversed(item.children)]
+    flush()
+    # a node that repeats may get children late: number the shape in preorder
+    shape, number = _in_preorder(labels, parents)
+    for n in reversed(order):  # sums over all below
+        up = n.parent
+        while up is not None and id(up) not in counts:
+            up = up.parent
+        if up is not None:
+            for j in range(3):
+                counts[id(up)][j] += counts[id(n)][j]
+    lists = {id(n) for n in order if n.tag in LISTS and counts[id(n)][2] >= 3 and counts[id(n)][1] >= 0.8 * counts[id(n)][0]}
+    within: dict[int, tuple[bool, bool]] = {}  # of each element: in a list of links, in an article
+    for n in order:
+        up = n.parent
+        while up is not None and id(up) not in within:
+            up = up.parent
+        a, b = within[id(up)] if up is not None else (False, False)
+        within[id(n)] = (a or id(n) in lists, b or n.tag in ("article", "main") or n.role in ("article", "main"))
+    for b in found:
+        b[0] = number[b[0]]
+        b[2] |= LINKED if within[id(b[4])][0] else 0
+    _decided_alone(shape, found, [within[id(b[4])][1] for b in found])
+    return shape.write(), [(n, t, m, k) for n, t, m, k, _ in found]
+
+
+def _in_preorder(labels: list[str], parents: list[int]) -> tuple[Shape, list[int]]:
+    kids: list[list[int]] = [[] for _ in labels]
+    for i, p in enumerate(parents[1:], 1):
+        kids[p].append(i)
+    number, out, ups, todo = [0] * len(labels), [], [], [(0, -1)]
+    while todo:
+        i, up = todo.pop()
+        number[i] = len(out)
+        out.append(labels[i])
+        ups.append(up)
+        todo += [(k, number[i]) for k in reversed(kids[i])]
+    return Shape(out, ups), number
+
+
+def _decided_alone(shape: Shape, found: list[list], in_article: list[bool]) -> None:
+    """Marks the blocks that the page would keep by itself."""
+    fits = [not b[2] & IN_APART for b in found]
+    if any(a and f for a, f in zip(in_article, fits)):
+        keep = [a and f for a, f in zip(in_article, fits)]
+    else:
+        letters, titles = [0.0] * len(shape.labels), [0.0] * len(shape.labels)
+        for b, f in zip(found, fits):
+            if f and not b[2] & LINKED:
+                letters[b[0]] += len(b[1]) - b[3]
+                titles[b[0]] += bool(b[2] & TITLE)
+        part = inside(shape, main_part(shape, letters, titles))
+        deep = not all(part)
+        keep = [f and part[b[0]] and (deep or not b[2] & (LINKED | HEADER)) for b, f in zip(found, fits)]
+    for b, k in zip(found, keep):
+        b[2] |= ALONE if k else 0
+
+
+def inside(shape: Shape, top: int) -> list[bool]:
+    """For each node whether it is ``top`` or below it."""
+    out = [False] * len(shape.labels)
+    for i, p in enumerate(shape.parents):
+        out[i] = i == top or (p >= 0 and out[p])
+    return out
 
 
 def aligned(page: str, wrapper: str) -> list[int]:
-    """For each node of the skeleton ``page`` its slot in ``wrapper`` or -1, by simple tree matching: the most nodes matched in order, parents with parents."""
+    """For each node of the shape ``page`` its slot in ``wrapper`` or -1, by simple tree matching: the most nodes matched in order, parents with parents."""
     if page == wrapper:
         return list(range(page.count("\n") + 1))
-    (la, ka), (lb, kb) = tree_of(page), tree_of(wrapper)
-    known: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
-
-    def best(a: int, b: int) -> tuple[int, list[tuple[int, int]]]:
-        if la[a] != lb[b]:
-            return 0, []
-        if (a, b) in known:
-            return known[a, b]
-        x, y = ka[a], kb[b]
-        score = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i, p in enumerate(x, 1):
-            for j, q in enumerate(y, 1):
-                w = best(p, q)[0] if la[p] == lb[q] else 0
-                score[i][j] = max(score[i - 1][j], score[i][j - 1], score[i - 1][j - 1] + w)
-        pairs, i, j = [], len(x), len(y)
-        while i and j:
-            w = best(x[i - 1], y[j - 1])[0]
-            if w and score[i][j] == score[i - 1][j - 1] + w:
-                pairs.append((x[i - 1], y[j - 1]))
-                i, j = i - 1, j - 1
-            elif score[i][j] == score[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-        known[a, b] = found = (1 + score[len(x)][len(y)], pairs)
-        return found
-
-    out = [-1] * len(la)
-    todo = [(0, 0)] if la[0] == lb[0] else []
+    a, b = Shape.read(page), Shape.read(wrapper)
+    known: dict[tuple[int, int], int] = {}
+    kinds: dict[tuple, int] = {}
+
+    def kinds_of(t: Shape) -> list[int]:
+        """Equal numbers for equal subtrees."""
+        out = [0] * len(t.labels)
+        for i in range(len(out) - 1, -1, -1):
+            out[i] = kinds.setdefault((t.labels[i], *[out[k] for k in t.kids[i]]), len(kinds))
+        return out
+
+    ka, kb = kinds_of(a), kinds_of(b)
+    sizes = [1] * len(a.labels)
+    for i in range(len(sizes) - 1, 0, -1):
+        sizes[a.parents[i]] += sizes[i]
+
+    def score(x: int, y: int) -> int | None:
+        if a.labels[x] != b.labels[y]:
+            return 0
+        return sizes[x] if ka[x] == kb[y] else known.get((ka[x], kb[y]))
+
+    out = [-1] * len(a.labels)
+    todo = [(0, 0)]
+    while todo:  # scores of all pairs that can meet, children before parents, without recursion
+        x, y = todo[-1]
+        if score(x, y) is not None:
+            todo.pop()
+            continue
+        need = [(p, q) for p in a.kids[x] for q in b.kids[y] if score(p, q) is None]
+        if need:
+            todo += need
+            continue
+        known[ka[x], kb[y]] = 1 + sum(score(p, q) for p, q in _matched(a.kids[x], b.kids[y], score))
+        todo.pop()
+    todo = [(0, 0)] if score(0, 0) else []
     while todo:
-        a, b = todo.pop()
-        out[a] = b
-        todo += best(a, b)[1]
+        x, y = todo.pop()
+        out[x] = y
+        todo += _matched(a.kids[x], b.kids[y], score)
+    return out
+
+
+def _matched(xs: list[int], ys: list[int], score, most_cells: int = 1_000_000) -> list[tuple[int, int]]:
+    """Pairs of the best matching in order. With more than ``most_cells`` cells the first list is halved at the best cut of the second (as Hirschberg does), so that only rows are held."""
+    if not xs or not ys:
+        return []
+    if len(xs) > 1 and len(xs) * len(ys) > most_cells:
+        half = len(xs) // 2
+        left = _rows(xs[:half], ys, score)[-1]
+        right = _rows(xs[half:][::-1], ys[::-1], score)[-1][::-1]
+        cut = int(np.argmax(left + right))
+        return _matched(xs[:half], ys[:cut], score, most_cells) + _matched(xs[half:], ys[cut:], score, most_cells)
+    rows = list(_rows(xs, ys, score, True))
+    pairs, i, j = [], len(xs), len(ys)
+    while i and j:
+        w = score(xs[i - 1], ys[j - 1])
+        if w and rows[i][j] == rows[i - 1][j - 1] + w:
+            pairs.append((xs[i - 1], ys[j - 1]))
+            i, j = i - 1, j - 1
+        elif rows[i][j] == rows[i - 1][j]:
+            i -= 1
+        else:
+            j -= 1
+    return pairs[::-1]
+
+
+def _rows(xs: list[int], ys: list[int], score, every: bool = False) -> list[np.ndarray]:
+    """Rows of the best sums over prefixes: all of them, or the last."""
+    row = np.zeros(len(ys) + 1, np.int64)
+    out = [row]
+    for x in xs:
+        w = np.fromiter((score(x, y) for y in ys), np.int64, len(ys))
+        row = np.concatenate([[0], np.maximum.accumulate(np.maximum(row[1:], row[:-1] + w))])
+        if every:
+            out.append(row)
+        else:
+            out = [row]
+    return out
+
+
+def slots_of(page: str, wrapper: str) -> list[int]:
+    """As ``aligned``, but a node without a partner has -2 minus the slot of the nearest one around it that has one (the root always has)."""
+    out, parents = aligned(page, wrapper), Shape.read(page).parents
+    for i, p in enumerate(parents):
+        if out[i] < 0:
+            out[i] = out[p] if p >= 0 and out[p] <= -2 else -2 - (out[p] if p >= 0 else 0)
     return out
 
 
 def _blocks_column():
-    kind = pa.struct([("skeleton", pa.string()), ("content", pa.int64()), ("blocks", pa.list_(pa.struct([("node", pa.int32()), ("text", pa.string())])))])
+    block = pa.struct([("node", pa.int32()), ("text", pa.string()), ("marks", pa.int32()), ("linked", pa.int32())])
+    kind = pa.struct([("shape", pa.string()), ("content", pa.int64()), ("blocks", pa.list_(block))])
 
-    @F.arrow_udf("skeleton string, content bigint, blocks array<struct<node:int,text:string>>")
+    @F.arrow_udf("struct<shape:string,content:bigint,blocks:array<struct<node:int,text:string,marks:int,linked:int>>>")
     def udf(pages: pa.Array) -> pa.Array:
         out = []
         for page in pages.to_pylist():
-            skeleton, blocks = blocks_of(page or "")
-            h = xxhash.xxh3_64_intdigest("\n".join(t for _, t in blocks))
-            out.append({"skeleton": skeleton, "content": h - (1 << 63), "blocks": [{"node": n, "text": t} for n, t in blocks]})
+            shape, blocks = blocks_of(page or "")
+            h = xxhash.xxh3_64_intdigest("\n".join(b[1] for b in blocks))
+            out.append({"shape": shape, "content": h - (1 << 63), "blocks": [dict(zip(("node", "text", "marks", "linked"), b)) for b in blocks]})
         return pa.array(out, kind)
 
     return udf
 
 
-def _aligned_column():
+def _slots_column():
     @F.arrow_udf("array<int>")
     def udf(pages: pa.Array, wrappers: pa.Array) -> pa.Array:
-        return pa.array([aligned(p, w) for p, w in zip(pages.to_pylist(), wrappers.to_pylist())], pa.list_(pa.int32()))
+        return pa.array([slots_of(p, w) for p, w in zip(pages.to_pylist(), wrappers.to_pylist())], pa.list_(pa.int32()))
+
+    return udf
+
+
+def _part_column():
+    """The slots of the wrapper's main part; none where it has none."""
+
+    @F.arrow_udf("array<int>")
+    def udf(wrappers: pa.Array, masses: pa.Array) -> pa.Array:
+        out = []
+        for w, ms in zip(wrappers.to_pylist(), masses.to_pylist()):
+            shape = Shape.read(w)
+            letters, titles = [0.0] * len(shape.labels), [0.0] * len(shape.labels)
+            for m in ms or ():
+                letters[m["slot"]] += m["letters"]
+                titles[m["slot"]] += m["titles"]
+            top = main_part(shape, letters, titles)
+            out.append([i for i, k in enumerate(inside(shape, top)) if k] if top else [])
+        return pa.array(out, pa.list_(pa.int32()))
 
     return udf
 
@@ -326,24 +459,60 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", constant_share: float = 0.5, least_pages: int = 4) -> DataFrame:
-    """``pages`` without the html, with ``__text``."""
-    marked = pages.withColumns({"__host": host_of(F.col(url_col)), "__p": _blocks_column()(html_col)}).drop(html_col)
-    marked = stored(marked.withColumns({"__skeleton": F.col("__p.skeleton"), "__shape": F.xxhash64("__p.skeleton"), "__content": F.col("__p.content"), "__blocks": F.col("__p.blocks")}).drop("__p"), "blocks")
-    shapes = marked.groupBy("__host", "__shape").agg(F.count("*").alias("n"), F.min("__skeleton").alias("skeleton"))
-    shapes = stored(shapes, "shapes")
-    wrappers = shapes.groupBy("__host").agg(F.max_by("skeleton", F.struct("n", "__shape")).alias("wrapper"))
-    slots = stored(shapes.join(wrappers, "__host").select("__host", "__shape", _aligned_column()("skeleton", "wrapper").alias("slots")), "slots")
-    cells = marked.select("__host", "__shape", "__content", F.explode("__blocks").alias("b")).join(slots, ["__host", "__shape"])
-    cells = cells.select("__host", "__content", F.element_at("slots", F.col("b.node") + 1).alias("slot"), F.xxhash64("b.text").alias("h"))
-    # the distinct pages of a host, and of those that hold a text in a slot: both by distinct content, pre-aggregated; texts stay where they are
-    many = marked.select("__host", "__content").distinct().groupBy("__host").agg(F.count("*").alias("pages"))
-    held = cells.where("slot >= 0").distinct().groupBy("__host", "slot", "h").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    template = held.join(many, "__host").where(F.col("n") >= constant_share * F.col("pages"))
+def main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", constant_share: float = 0.5, most_chance: float = 1e-4, induce: bool = True) -> DataFrame:
+    """``pages`` without the html, with ``__text``. Without ``induce`` every page decides for itself."""
+    rest = [c for c in pages.columns if c != html_col]
+    marked = pages.withColumns({"__host": F.xxhash64(host_of(F.col(url_col))), "__p": _blocks_column()(html_col)}).drop(html_col)
+    marked = stored(marked.withColumns({"__shape": F.col("__p.shape"), "__kind": F.xxhash64("__p.shape"), "__content": F.col("__p.content"), "__blocks": F.col("__p.blocks")}).drop("__p"), "blocks")
+    alone = F.filter("__blocks", lambda b: b["marks"].bitwiseAND(ALONE) > 0)
+    joined = lambda blocks: F.array_join(F.transform(blocks, lambda b: b["text"]), "\n\n")
+    if not induce:
+        return marked.select(*rest, joined(alone).alias("__text"))
+    shapes = stored(marked.groupBy("__host", "__kind").agg(F.count("*").alias("n"), F.min("__shape").alias("shape")), "shapes")
+    wrappers = stored(shapes.groupBy("__host").agg(F.max_by("shape", F.struct("n", F.length("shape"), "__kind")).alias("wrapper")), "wrappers")
+    slots = stored(shapes.join(wrappers, "__host").select("__host", "__kind", _slots_column()("shape", "wrapper").alias("__slots")), "slots")
+    slot_at = lambda node: F.element_at("__slots", node + 1)
+    around = lambda slot: F.when(slot >= 0, slot).otherwise(-2 - slot)
+    cell = lambda b: F.struct(b["node"].alias("node"), F.xxhash64(b["text"]).alias("h"), F.length(b["text"]).alias("letters"), b["linked"].alias("linked"), (b["marks"].bitwiseAND(TITLE) > 0).cast("int").alias("title"))
+    placed = lambda c: F.struct(around(slot_at(c["node"])).alias("slot"), c["h"].alias("h"), c["letters"].alias("letters"), c["linked"].alias("linked"), c["title"].alias("title"))
+    # one row for each distinct page of a host, with hashes and lengths of its blocks; texts stay where they are
+    digests = marked.select("__host", "__kind", "__content", F.transform("__blocks", cell).alias("cells")).join(slots, ["__host", "__kind"])
+    digests = digests.select("__host", "__content", F.array_distinct(F.transform("cells", placed)).alias("cells")).groupBy("__host", "__content").agg(F.first("cells").alias("cells"))
+    digests = stored(digests, "digests")
+    cells = digests.select("__host", "__content", F.explode("cells").alias("c")).select("__host", "__content", "c.*")
+    keys = ["__host", "slot", "h"]
+    pages_of = lambda rows: rows.groupBy("__host").agg(F.count("*").alias("pages"))
+    texts_of = lambda rows: rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    many = stored(pages_of(digests), "pages")
+    whole = many.agg(F.sum("pages")).first()[0] or 0
+    often = (F.col("n") > 1) & (F.col("n") >= constant_share * F.col("pages"))
+    first = stored(texts_of(cells).where("n > 1").join(many, "__host").where(often), "constant")
+    own = F.greatest(F.col("letters") - F.col("linked"), F.lit(0))
+    same = F.sum(F.when(F.col("same"), own).otherwise(0))
+    weighed = cells.join(first.select(*keys, F.lit(True).alias("same")), keys, "left").groupBy("__host", "__content", "slot").agg(F.sum(own).alias("all"), same.alias("same"))
+    both = F.when((F.col("same") > 0) & (F.col("same") < F.col("all")), F.lit(1)).otherwise(0)
+    weighed = weighed.groupBy("__host", "__content").agg(*[F.sum(x).alias(n) for n, x in (("all", F.col("all")), ("same", F.col("same")), ("mixed", F.col("all") * both), ("same_mixed", F.col("same") * both))])
+    copies = stored(weighed.where("2 * same_mixed > mixed or 5 * same > 4 * all").select("__host", "__content"), "copies")
+    # a text of other hosts too belongs to what is written, unless it stands on far more of this host's pages than chance from its rate elsewhere allows (Chernoff's bound on the log of the chance)
+    elsewhere = cells.join(first.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.count("*").alias("anywhere"))
+    rate = (F.col("anywhere") - F.col("here") + 0.5) / (F.lit(float(whole)) - F.col("all_pages") + 50)
+    by_chance = F.col("n") * (1 + F.log(F.col("pages") * rate / F.col("n")))
+    others = digests.join(copies, ["__host", "__content"], "left_anti")
+    recount = texts_of(cells.join(copies, ["__host", "__content"], "left_anti").join(first.select(*keys), keys, "left_semi"))
+    told = recount.join(first.select(*keys, F.col("n").alias("here"), F.col("pages").alias("all_pages")), keys).join(pages_of(others), "__host").join(elsewhere, "h")
+    template = stored(told.where(often & ((by_chance < math.log(most_chance)) | (rate >= constant_share))).select(*keys), "template")
+    varying = cells.join(template, keys, "left_anti").groupBy("__host", "slot").agg(F.sum(own).cast("double").alias("letters"), F.sum("title").cast("double").alias("titles"))
+    several = many.where("pages > 1").select("__host")
+    # a wrapper has no more slots than a page has nodes
+    masses = varying.groupBy("__host").agg(F.collect_list(F.struct("slot", "letters", "titles")).alias("masses")).join(several, "__host")
+    parts = stored(wrappers.join(masses, "__host").select("__host", _part_column()("wrapper", "masses").alias("__part")).where(F.size("__part") > 0), "parts")
     # a host's template holds no more texts than 1 / constant_share pages do
-    template = stored(template.groupBy("__host").agg(F.collect_list(F.struct("slot", "h")).alias("template")), "template")
-    out = marked.join(slots, ["__host", "__shape"], "left").join(template, "__host", "left")
-    varies = lambda b: F.col("template").isNull() | ~F.array_contains("template", F.struct(F.element_at("slots", b["node"] + 1).alias("slot"), F.xxhash64(b["text"]).alias("h")))
-    text = F.array_join(F.transform(F.filter("__blocks", varies), lambda b: b["text"]), "\n\n")
-    rest = [c for c in marked.columns if c not in ("__host", "__skeleton", "__shape", "__content", "__blocks")]
-    return out.select(*rest, text.alias("__text"))
+    known = stored(template.groupBy("__host").agg(F.collect_list(F.struct("slot", "h")).alias("__template")).join(parts, "__host", "full"), "known")
+    out = marked.join(slots, ["__host", "__kind"], "left").join(known, "__host", "left")
+    # the main part is on the page if a node of it has a partner in it
+    on_page = F.coalesce(F.arrays_overlap("__slots", "__part"), F.lit(False))
+    slot = lambda b: around(slot_at(b["node"]))
+    varies = lambda b: F.col("__template").isNull() | ~F.array_contains("__template", F.struct(slot(b).alias("slot"), F.xxhash64(b["text"]).alias("h")))
+    is_content = lambda b: F.array_contains("__part", slot(b)) & (b["marks"].bitwiseAND(IN_APART) == 0)
+    kept = F.when(on_page, F.filter("__blocks", lambda b: is_content(b) & varies(b))).otherwise(F.filter(alone, varies))
+    return out.select(*rest, joined(kept).alias("__text"))

@@ -8,11 +8,9 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from scholia.llm import audio, decontaminate, spans
-from scholia.llm.html_extract import aligned, blocks_of, main_text
 from scholia.llm.token_counts import independent, pre_tokens, token_counts
 from scholia.llm.token_store import Encoder, PerfectHash, key_hash, write_store
 
@@ -218,41 +216,3 @@ def test_hysteresis_holds_between_thresholds():
 def test_foreign_bytes_raise():
     with pytest.raises(ValueError):
         audio.payload_in(b"\x00" * 100)
-
-
-# ---- pages
-
-PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p><p>no</p>";</script></head><body>
-<header>Site</header><nav><ul><li><a href=x>Home</a></ul></nav><div class="cookie-notice">We use cookies</div><div class=ad>Buy {i}</div>
-<article><h1>Title&nbsp;{i} &amp; more</h1><p>First  {i}
- para<br>goes on<p>Second <b>bold</b> {i}<form><p>Mail</p></form><p>Share this story with friends</p><aside>Side</aside><section class="comments"><p>Reader {i}</p></section></article>
-<div id="sidebar">Links</div><footer>&copy; Site</footer></body></html>"""
-
-
-def test_blocks_of_a_page():
-    _, blocks = blocks_of(PAGE.format(i=7))
-    assert [t for _, t in blocks] == ["Title 7 & more", "First 7 para goes on", "Second bold 7", "Share this story with friends"]
-
-
-def test_template_texts_go_on_hosts_with_many_pages(spark, none):
-    rows = [(i, f"http://h.example/{i}", PAGE.format(i=i)) for i in range(12)] + [(20, "http://one.example/", PAGE.format(i=20)), (21, None, None), (22, "http://h.example/x", ""), (23, "bad", "plain <b>text</b>")]
-    out = {r.page_id: r["__text"] for r in main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
-    assert out[3] == "Title 3 & more\n\nFirst 3 para goes on\n\nSecond bold 3"
-    assert out[20].endswith("Share this story with friends")
-    assert (out[21], out[22], out[23]) == ("", "", "plain text")
-    empty = none.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url"), F.col("text").alias("html"))
-    assert main_text(empty).count() == 0
-
-
-def test_alignment_matches_in_order():
-    a, _ = blocks_of("<html><body><div class=x><p>1</p></div><article><h1>a</h1><p>b</p></article></body></html>")
-    b, _ = blocks_of("<html><body><article><h1>a</h1><ul><li>z</li></ul><p>b</p></article></body></html>")
-    got = aligned(a, b)
-    labels = lambda s: [x.split(" ", 1)[1] for x in s.split("\n")]
-    assert [labels(b)[j] if j >= 0 else None for j in got] == ["#", "html", "body", None, None, "article", "h1", "p"]
-    assert aligned(a, a) == list(range(len(labels(a))))
-
-
-def test_broken_markup_does_not_crash():
-    for t in ["<", "<p", "</p>", "<a href='x", "<!-- never", "<script>x", "<b><i></b>", "&#x;&amp", "<p>" * 2000, "<div>" * 3000 + "x"]:
-        blocks_of(t)
