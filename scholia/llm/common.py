@@ -54,8 +54,8 @@ def discard(df: DataFrame) -> None:
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """A row's key, from its content alone, so that a recomputed task gives the same. Rows equal in id and text are one document."""
-    return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\x00null")), F.coalesce(F.col(text_col), F.lit("")))
+    """A row's key of 128 bits, from its content alone, so that a recomputed task gives the same. Rows equal in id and text are one document; a null text is the empty one."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("\x00null")), F.lit("\x00"), F.coalesce(F.col(text_col), F.lit("")))))
 
 
 def text_bytes(text_col: str = "text") -> Column:
@@ -76,28 +76,63 @@ def most_frequent_rows(df: DataFrame, count: str, most: int) -> DataFrame:
     return df.where(F.lit(False)) if least is None else df.where(step >= least)
 
 
-def may_hold(keys: DataFrame, key: str, bits: int = 21):
-    """A condition on a bigint column that holds for all ``keys`` and, while they are far fewer than 2 to the ``bits``, for few others: rows can be left out before a shuffle.
-    Only the low bits of keys go to the driver and the tasks, a quarter of a megabyte at most; with very many keys it leaves nothing out."""
-    low = keys.select(F.pmod(F.col(key), F.lit(1 << bits)).cast("int").alias("b")).distinct().toPandas()["b"].to_numpy(np.int64)
-    marks = np.zeros(1 << bits, bool)
-    marks[low] = True
-    packed = np.packbits(marks)
+#: A filter of keys is never larger than this (8 MB), which is enough for some seven million keys.
+MOST_BITS = 1 << 26
 
+
+class KeyFilter:
+    """A Bloom filter: four bits for each key among ten bits a key or more, a power of two of them."""
+
+    def __init__(self, packed: np.ndarray):
+        self.packed, self.bits = packed, 8 * len(packed)
+
+    def holds(self, x: np.ndarray) -> np.ndarray:
+        """Whether each of the unsigned 64-bit hashes may be a key: true for all keys and for some two in a hundred others."""
+        x = np.ascontiguousarray(x, np.uint64)
+        found = np.arange(len(x))
+        for i in range(4):
+            at = (x[found] >> np.uint64(32)) * np.uint64(i) + x[found]
+            at &= np.uint64(self.bits - 1)
+            found = found[(self.packed[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+        out = np.zeros(len(x), bool)
+        out[found] = True
+        return out
+
+
+def key_filter(hashes: DataFrame, most_bits: int = MOST_BITS) -> KeyFilter | None:
+    """The filter of a table of one bigint column, made on the executors; None where the keys are too many for ``most_bits``. Only the set bits go to the driver."""
+    name = hashes.columns[0]
+    n = hashes.count()
+    bits = max(1 << 10, 1 << (10 * n).bit_length())
+    if bits > most_bits:
+        return None
+    low = F.pmod(F.col(name), F.lit(bits))
+    high = F.pmod(F.shiftrightunsigned(name, 32), F.lit(bits))
+    places = hashes.select(F.explode(F.array(*[F.pmod(low + i * high, F.lit(bits)) for i in range(4)])).alias("at"))
+    words = places.groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(at, 32) AS int))")).alias("ones")).toPandas()
+    packed = np.zeros(bits >> 5, "<u4")
+    packed[words["word"].to_numpy(np.int64)] = words["ones"].to_numpy(np.int64).astype(np.uint32)
+    return KeyFilter(packed.view(np.uint8))
+
+
+def _held(keys: KeyFilter):
     @F.arrow_udf("boolean")
-    def held(k: pa.Array) -> pa.Array:
-        at = np.mod(k.to_numpy(zero_copy_only=False).astype(np.int64), 1 << bits)
-        return pa.array((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+    def held(h: pa.Array) -> pa.Array:
+        return pa.array(keys.holds(h.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
 
     return held
 
 
-def without_keys(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
-    """``rows`` whose ``key`` isn't in ``gone``; those that surely aren't stay where they are."""
-    held = may_hold(gone, key)
-    return rows.where(~held(key)).unionByName(rows.where(held(key)).join(gone, key, "left_anti").select(*rows.columns))
+def without_keys(rows: DataFrame, key: str, gone: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """``rows`` whose ``key`` isn't in ``gone``. Those that a filter of the keys tells at once aren't shuffled; where the keys are too many for it, all rows are."""
+    keys = key_filter(gone.select(F.xxhash64(key)), most_bits)
+    if keys is None:
+        return rows.join(gone, key, "left_anti").select(*rows.columns)
+    held = _held(keys)(F.xxhash64(key))
+    return rows.where(~held).unionByName(rows.where(held).join(gone, key, "left_anti").select(*rows.columns))
 
 
-def with_keys(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """``rows`` joined to ``wanted`` by ``key``; those that surely have no partner are left out before the shuffle."""
-    return rows.where(may_hold(wanted, key)(key)).join(wanted, key)
+def with_keys(rows: DataFrame, key: str, wanted: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """``rows`` joined to ``wanted`` by ``key``. Rows that a filter of the keys tells to have no partner aren't shuffled; where the keys are too many for it, all rows are."""
+    keys = key_filter(wanted.select(F.xxhash64(key)), most_bits)
+    return (rows if keys is None else rows.where(_held(keys)(F.xxhash64(key)))).join(wanted, key)

@@ -1,15 +1,19 @@
 """Benchmark decontamination by template canonicalisation.
 
-A text becomes typed tokens: numbers, units, and names (capitalised words inside a sentence) turn into placeholders and keep
-their spelling as the slot's value; other words are lower-cased without outer punctuation. Windows of ``window`` typed tokens
-of the benchmark are joined by hash to those of the documents. Joined windows on one diagonal (document position minus item
-position) are one alignment. Its slots must be consistent: one item value maps to one document value and the reverse.
-So a copied question is found, and so is one whose numbers, names or units were changed throughout. A document is
-contaminated when consistent alignments cover ``min_cover`` of an item's windows.
-
-Defined cases: null, empty and blank texts are clean; items shorter than a window make one window of their whole length,
-but none under ``min_tokens`` tokens or with fewer than ``min_words`` plain words; repeated items and rows are treated
-alike; an empty benchmark leaves all clean. Rows equal in id and text are one document.
+A text becomes typed tokens. Numbers (digits or words), units beside a number ("5 km", "5km"), names (a run of capitalised words inside a sentence is one) and the opening of a
+sentence (its first word if it has a capital, with the names that follow it) turn into placeholders and keep their spelling as the slot's value; other words are lower-cased without outer
+punctuation. Windows of ``window`` typed tokens of the benchmark are joined by hash to those of the documents: hashes and places first; the values of slots are
+fetched for matches alone. Joined windows on one diagonal (document place minus item place) are one alignment. Its slots must be consistent: one item value
+maps to one document value and the reverse. Windows that hold a slot against this don't count, unless all their values are word for word the item's. So a copied question is found, and so is one whose
+numbers, names or units were changed throughout. A document is contaminated when windows of consistent alignments cover ``min_cover`` of an item's windows.
+
+An item's first word also counts as it would inside a sentence, as a copy may stand anywhere. Windows with fewer plain words than half of their tokens tell nothing and are left out;
+items without others, or with fewer than ``min_tokens`` tokens or ``min_words`` plain words, are compared word for word instead, by windows of ``window`` words (or their whole
+length, ``min_exact`` words at least; shorter items are ignored).
+
+Defined cases: null, empty and blank texts are clean; very long texts are cut into windows whole; two equal values of an item that become different ones are inconsistent, as are two that become
+one; repeated items and rows are treated alike; of several contaminating items all are reported; an empty benchmark leaves all clean; an empty table gives an empty result. Rows
+equal in id and text are one document. Other columns, whatever their names, are returned as they are; names that start with two underscores are the operator's own.
 """
 
 from __future__ import annotations
@@ -20,135 +24,237 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, stored, without_keys
+from .common import KeyFilter, key_filter, row_key, stored, with_keys, without_keys
 
-#: Units of measure, currency signs and words of quantity that stand for one another in a question.
-UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg gram grams t ton tons lb lbs oz ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years % percent usd eur gbp dollar dollars euro euros pound pounds cent cents mph kmh kph hz khz mhz ghz w kw mw v a j kj cal kcal".split())
+#: Units of measure and of quantity that stand for one another in a question, beside a number.
+UNITS = frozenset("mm cm m km inch inches ft foot feet yd yard yards mile miles mg g kg gram grams t ton tons lb lbs oz ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years % percent usd eur gbp dollar dollars euro euros pound pounds cent cents mph kmh kph hz khz mhz ghz w kw mw v j kj cal kcal".split())
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
 NUMBER = re.compile(r"[$€£]?[+-]?\d[\d,.]*(?:/\d+)?%?")
+GLUED = re.compile(r"([$€£]?[+-]?\d[\d,.]*)([A-Za-z%]+)")
 EDGE = ".,;:!?\"'()[]{}<>«»“”‘’…*#$&%_-"
+PLAIN, NUMERAL, UNIT, NAME, OPENING = range(5)
+_KINDS = np.array([0, *[xxhash.xxh3_64_intdigest(f"\x00{k}") for k in ("number", "unit", "name", "opening")]], np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_LINE = "\x02"
 
 
 class _Words(dict):
-    """(typed token's hash, is a slot) of a word not at the start of a sentence, and whether a sentence ends after it."""
+    """Numbers of words in tables: kind, hash of the plain word, whether a sentence ends after it, whether a mark follows it, and the number of the unit glued to it or -1."""
+
+    def __init__(self, remember: int = 200_000):
+        super().__init__()
+        self.remember = remember
+        self.rows: list[tuple] = []
+        self.tables: tuple[np.ndarray, ...] = ()
 
-    def __missing__(self, word: str) -> tuple[int, int, bool]:
+    def __missing__(self, word: str) -> int:
         core = word.strip(EDGE)
         low = core.lower()
-        if NUMBER.fullmatch(word.rstrip(".,;:!?")) or NUMBER.fullmatch(core) or low in NUMBER_WORDS:
-            kind, slot = "\x00number", 1
-        elif low in UNITS or word in "%$€£":
-            kind, slot = "\x00unit", 2
+        glued, kind = -1, PLAIN
+        bare = word.rstrip(".,;:!?")
+        parts = GLUED.fullmatch(bare.lstrip("(\"'“‘").rstrip(")\"'”’"))
+        if word == _LINE:
+            kind = -1
+        elif NUMBER.fullmatch(bare) or NUMBER.fullmatch(core) or low in NUMBER_WORDS:
+            kind = NUMERAL
+        elif parts and parts[2].lower() in UNITS:
+            kind, glued, low = NUMERAL, self[parts[2] + word[len(bare) :]], parts[1]
+        elif low in UNITS or word in ("%", "$", "€", "£"):
+            kind = UNIT
         elif core[:1].isupper() and core[1:].islower():
-            kind, slot = "\x00name", 3
-        else:
-            kind, slot = low, 0
-        found = (xxhash.xxh3_64_intdigest(kind), slot, word.rstrip("\"')]”’»")[-1:] in (".", "!", "?"))
-        if len(self) < 100_000:
-            self[word] = found
-        return found
+            kind = NAME
+        end = word.rstrip("\"')]”’»")[-1:]
+        self[word] = number = len(self.rows)
+        self.rows.append((kind, xxhash.xxh3_64_intdigest(low or word), kind < 0 or end in (".", "!", "?"), end in tuple(".,;:!?"), glued))
+        return number
+
+    def looked_up(self, words: list[str]) -> np.ndarray:
+        if len(self.rows) > self.remember:
+            self.clear()
+            self.rows, self.tables = [], ()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        have = len(self.tables[0]) if self.tables else 0
+        if have < len(self.rows):
+            new = list(zip(*self.rows[have:]))
+            kinds = (np.int8, np.uint64, bool, bool, np.int64)
+            self.tables = tuple(np.concatenate([t, np.array(c, k)]) if have else np.array(c, k) for t, c, k in zip(self.tables or new, new, kinds))
+        return at
 
 
 _WORDS = _Words()
 
 
-def typed(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Words, hashes of typed tokens, and kinds of slot (0: none). A capital that begins a sentence makes no name."""
-    lines = (text or "").split("\n")
-    words: list[str] = []
-    opens: list[int] = []
-    for line in lines:
-        opens.append(len(words))
-        words += line.split()
-    found = [_WORDS[w] for w in words]
-    h = np.array([f[0] for f in found], np.uint64)
-    slot = np.array([f[1] for f in found], np.int8)
-    after = np.zeros(len(words) + 1, bool)
-    after[opens] = True
-    after[1:] |= np.array([f[2] for f in found], bool) if found else False
-    for i in np.flatnonzero((slot == 3) & after[:-1]):
-        h[i], slot[i] = xxhash.xxh3_64_intdigest(words[i].strip(EDGE).lower()), 0
-    return words, h, slot
-
-
-def windows_of(h: np.ndarray, window: int) -> np.ndarray:
-    k = min(window, len(h))
-    if not k:
-        return h
-    out = np.full(len(h) - k + 1, k, np.uint64)
-    for i in range(k):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i]
-    return (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-
-
-
-def _item_windows(window: int, min_tokens: int, min_words: int):
+def typed(text: str | None, first_inside: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of typed tokens, their values (0: none), and their kinds. With ``first_inside`` the first word is typed as inside a sentence."""
+    none = np.empty(0, np.uint64)
+    words = (text or "").replace("\n", f" {_LINE} ").split()
+    at = _WORDS.looked_up(words)
+    if not len(at):
+        return none, none, np.empty(0, np.int8)
+    kind, plain, ends, marks, glued = _WORDS.tables
+    if (glued[at] >= 0).any():
+        where = np.flatnonzero(glued[at] >= 0)
+        at = np.insert(at, where + 1, glued[at[where]])
+        first_part = np.zeros(len(at), bool)
+        first_part[where + np.arange(len(where))] = True
+    else:
+        first_part = np.zeros(len(at), bool)
+    k, h, e, m = kind[at].copy(), plain[at], ends[at] & ~first_part, marks[at] & ~first_part
+    opens = np.concatenate([[not first_inside], e[:-1]])
+    keep = k >= 0  # line ends are no tokens
+    k, h, e, m, opens = k[keep], h[keep], e[keep], m[keep], opens[keep]
+    if not len(k):
+        return none, none, np.empty(0, np.int8)
+    after_number = np.concatenate([[False], (k[:-1] == NUMERAL) & ~e[:-1]])
+    k[(k == UNIT) & ~after_number] = PLAIN
+    k[opens & (k == NAME)] = OPENING
+    # a run of names, or of an opening and the names after it, is one token
+    joins = np.concatenate([[False], (k[1:] == NAME) & ((k[:-1] == NAME) | (k[:-1] == OPENING)) & ~m[:-1]])
+    starts = np.flatnonzero(~joins)
+    if joins.any():
+        power = np.arange(len(k)) - np.maximum.accumulate(np.where(joins, 0, np.arange(len(k))))
+        h = np.add.reduceat(_mixed(h + power.astype(np.uint64) * _ODD), starts)
+        single = np.diff(np.append(starts, len(k))) == 1
+        h[single] = plain[at][keep][starts[single]]
+    k = k[starts]
+    return np.where(k == PLAIN, h, _KINDS[k]), np.where(k == PLAIN, np.uint64(0), h), k
+
+
+def plain_words(text: str | None) -> np.ndarray:
+    """Hashes of the words, without types."""
+    words = (text or "").split()
+    at = _WORDS.looked_up(words)
+    return _WORDS.tables[1][at] if len(at) else np.empty(0, np.uint64)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def windows_of(h: np.ndarray, window: int, channel: int = 0) -> np.ndarray:
+    """Hashes of windows of ``window`` tokens; none where there are fewer tokens. Windows of different length or channel differ."""
+    if len(h) < window:
+        return np.empty(0, np.uint64)
+    out = np.full(len(h) - window + 1, 2 * window + channel, np.uint64)
+    for i in range(window):
+        out = out * _ODD + h[i : len(h) - window + 1 + i]
+    return _mixed(out)
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.astype(np.int64), pa.int64())
+
+
+def _slots(values: np.ndarray, at: np.ndarray, width: int) -> pa.Array:
+    """The values of ``width`` tokens from each place of ``at``; 0 where there is no slot."""
+    flat = values[(at[:, None] + np.arange(width)).reshape(-1)] if len(at) else np.empty(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * width, pa.int32()), _signed(flat))
+
+
+def item_windows(text: str | None, window: int, min_tokens: int, min_words: int, min_exact: int) -> tuple[int, int, list[tuple[np.ndarray, np.ndarray, np.ndarray]], int]:
+    """Channel (0: typed, 1: word for word), width, [(places, hashes, values of all tokens)], and the number of windows that count."""
+    out, places = [], set()
+    for first_inside in (False, True):
+        h, values, kinds = typed(text, first_inside)
+        width = min(window, len(h))
+        plain = kinds == PLAIN
+        if len(h) < min_tokens or int(plain.sum()) < min_words:
+            continue
+        counts = np.convolve(plain, np.ones(width, int), "valid")
+        at = np.flatnonzero(2 * counts >= width)
+        if first_inside:
+            at = at[at == 0]  # the other windows are the same
+        if len(at):
+            out.append((at, windows_of(h, width)[at], values))
+            places.update(at.tolist())
+    if places:
+        return 0, width, out, len(places)
+    h = plain_words(text)
+    width = min(window, len(h))
+    if width < min_exact:
+        return 1, 0, [], 0
+    at = np.arange(len(h) - width + 1)
+    return 1, width, [(at, windows_of(h, width, 1), np.zeros(len(h), np.uint64))], len(at)
+
+
+def _items(window: int, min_tokens: int, min_words: int, min_exact: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words, h, slot = typed(t)
-                plain = int((slot == 0).sum())
-                if len(words) < min_tokens or plain < min_words:
-                    continue
-                k = min(window, len(words))
-                hashes = windows_of(h, window).astype(np.int64).tolist()
-                out += [{"item": i, "hash": x, "item_pos": p, "item_words": [w.strip(EDGE).lower() if s else None for w, s in zip(words[p : p + k], slot[p : p + k])], "width": k, "n_windows": len(hashes)} for p, x in enumerate(hashes)]
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("item", b.schema.field(0).type), ("hash", pa.int64()), ("item_pos", pa.int32()), ("item_words", pa.list_(pa.string())), ("width", pa.int32()), ("n_windows", pa.int32())]))
+            for i, t in enumerate(b.column(1).to_pylist()):
+                channel, width, found, n = item_windows(t, window, min_tokens, min_words, min_exact)
+                for at, h, values in found:
+                    k = len(at)
+                    yield pa.record_batch([b.column(0).take(pa.array([i] * k, pa.int64())), _signed(h), pa.array(at, pa.int32()), _slots(values, at, width), pa.array([channel] * k, pa.int32()), pa.array([width] * k, pa.int32()), pa.array([n] * k, pa.int32())], ["item", "hash", "item_pos", "item_slots", "channel", "width", "n_windows"])
 
     return run
 
 
-def _doc_windows(widths: list[int], wanted: np.ndarray | None):
-    """Windows of the documents, of every width in the benchmark; only those of hashes in ``wanted`` if it is given."""
+def _places(kinds: list[tuple[int, int]], wanted: KeyFilter | None):
+    """Hash and place of the documents' windows, of every channel and width in the benchmark; without those that ``wanted`` tells to match nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("k", pa.int64()), ("hash", pa.int64()), ("pos", pa.int32()), ("doc_words", pa.list_(pa.string()))])
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part, out = b.slice(at, 500), []
-                for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    words, h, slot = typed(t)
-                    for width in widths:
-                        if len(words) < width:
-                            continue
-                        x = windows_of(h, width)
-                        if wanted is None:
-                            hits = np.arange(len(x))
-                        else:
-                            hits = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, x), len(wanted) - 1)] == x)
-                        out += [{"k": k, "hash": int(np.int64(x[p].astype(np.int64))), "pos": int(p), "doc_words": [w.strip(EDGE).lower() if s else None for w, s in zip(words[p : p + width], slot[p : p + width])]} for p in hits]
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, kinds)
+            rows, hashes, places = [], [], []
+            for row, t in enumerate(b.column(1).to_pylist()):
+                tokens = {c: typed(t)[0] if c == 0 else plain_words(t) for c in {c for c, _ in kinds}}
+                for channel, width in kinds:
+                    h = windows_of(tokens[channel], width, channel)
+                    at = np.flatnonzero(wanted.holds(h)) if wanted is not None else np.arange(len(h))
+                    if len(at):
+                        rows.append(np.full(len(at), row))
+                        hashes.append(h[at])
+                        places.append(at)
+            if rows:
+                yield pa.record_batch([b.column(0).take(pa.array(np.concatenate(rows))), _signed(np.concatenate(hashes)), pa.array(np.concatenate(places), pa.int32())], ["k", "hash", "pos"])
 
     return run
 
 
-def _consistent() -> Column:
-    """Whether item values and document values of an alignment's slots map one to one."""
-    pairs = F.expr("array_distinct(filter(flatten(collect_list(slots)), x -> x.a is not null))")
-    return F.expr("size(p) = size(array_distinct(transform(p, x -> x.a))) and size(p) = size(array_distinct(transform(p, x -> x.b)))"), pairs
+def _values():
+    """Slot values of the windows that matched: each of ``at`` is (place, width, channel)."""
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("width", pa.int32()), ("channel", pa.int32()), ("doc_slots", pa.list_(pa.int64()))]))
+
+    @F.arrow_udf("array<struct<pos:int,width:int,channel:int,doc_slots:array<bigint>>>")
+    def udf(texts: pa.Array, at: pa.Array) -> pa.Array:
+        out = []
+        for t, places in zip(texts.to_pylist(), at.to_pylist()):
+            values = typed(t)[1].astype(np.int64)
+            out.append([p | {"doc_slots": values[p["pos"] : p["pos"] + p["width"]].tolist() if p["channel"] == 0 else [0] * p["width"]} for p in places])
+        return pa.array(out, kind)
+
+    return udf
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_id: str = "item_id", item_text: str = "text", window: int = 8, min_tokens: int = 8, min_words: int = 5, min_cover: float = 0.5, most_sent: int = 2_000_000) -> DataFrame:
-    """Rows (k, item, cover, exact) of contaminated documents, by ``row_key``: cover is the share of the item's windows in the best
-    consistent alignments, exact whether all slots kept their values. Hashes of the benchmark go to every task only while there are at most ``most_sent`` of
-    them; beyond that the windows of the documents are shuffled to those of the benchmark."""
+def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_id: str = "item_id", item_text: str = "text", window: int = 8, min_tokens: int = 8, min_words: int = 5, min_cover: float = 0.5, min_exact: int = 4, most_sent: int = 2_000_000) -> DataFrame:
+    """Rows (k, item, cover, exact) of contaminated documents, by ``row_key``: cover is the share of the item's windows in
+    consistent alignments, exact whether all their slots kept their values. A filter of up to ``most_sent`` hashes of the benchmark (within ``MOST_BITS``) spares windows
+    that match nothing; with more hashes all windows go the same way, as hashes and places."""
     item_type = benchmark.schema[item_id].dataType.simpleString()
-    items = stored(benchmark.select(F.col(item_id), F.col(item_text)).mapInArrow(_item_windows(window, min_tokens, min_words), f"item {item_type}, hash bigint, item_pos int, item_words array<string>, width int, n_windows int"), "items")
-    widths = [r.width for r in items.select("width").distinct().orderBy("width").collect()]  # at most ``window`` values
-    few = items.select("hash").distinct().limit(most_sent + 1).count() <= most_sent
-    wanted = np.unique(items.select("hash").distinct().toPandas()["hash"].to_numpy(np.int64).astype(np.uint64)) if few and widths else None
+    items = benchmark.select(F.col(item_id), F.col(item_text)).mapInArrow(_items(window, min_tokens, min_words, min_exact), f"item {item_type}, hash bigint, item_pos int, item_slots array<bigint>, channel int, width int, n_windows int")
+    items = stored(items.distinct(), "items")
+    kinds = [(r.channel, r.width) for r in items.select("channel", "width").distinct().orderBy("channel", "width").collect()]  # two channels, ``window`` widths at most
+    hashes = stored(items.select("hash").distinct(), "hashes")
+    wanted = key_filter(hashes) if hashes.limit(most_sent + 1).count() <= most_sent else None
     keyed = docs.select(row_key(id_col, text_col).alias("k"), F.col(text_col).alias("t"))
-    hits = keyed.mapInArrow(_doc_windows(widths, wanted), "k bigint, hash bigint, pos int, doc_words array<string>")
-    joined = hits.distinct().join(F.broadcast(items) if few else items, "hash").withColumn("slots", F.arrays_zip(F.col("item_words").alias("a"), F.col("doc_words").alias("b")))
-    same, pairs = _consistent()
-    lines = joined.groupBy("k", "item", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.collect_set("item_pos").alias("at"), F.max("n_windows").alias("n_windows"), pairs.alias("p"))
-    lines = lines.where(same).withColumn("exact", F.expr("forall(p, x -> x.a = x.b)"))
-    found = lines.groupBy("k", "item").agg((F.size(F.array_distinct(F.flatten(F.collect_list("at")))) / F.max("n_windows")).alias("cover"), F.min("exact").alias("exact"))
+    matched = stored(keyed.mapInArrow(_places(kinds, wanted), "k binary, hash bigint, pos int").join(hashes, "hash").distinct(), "matched")
+    which = items.select("hash", "width", "channel").distinct()
+    at = matched.join(which, "hash").groupBy("k").agg(F.collect_set(F.struct("pos", "width", "channel")).alias("at"))  # no more than a document has words
+    valued = with_keys(keyed, "k", stored(at, "places")).dropDuplicates(["k"]).select("k", F.explode(_values()("t", "at")).alias("v")).select("k", "v.*")
+    joined = matched.join(items, "hash").join(stored(valued, "values"), ["k", "pos", "width", "channel"])
+    joined = joined.withColumn("slots", F.expr("filter(arrays_zip(item_slots, doc_slots), x -> x.item_slots <> 0 or x.doc_slots <> 0)"))
+    # an alignment has no more windows than its item
+    lines = joined.groupBy("k", "item", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.collect_list(F.struct("item_pos", "slots")).alias("at"), F.max("n_windows").alias("n_windows"))
+    pairs = F.expr("array_distinct(flatten(transform(at, w -> w.slots)))")
+    lines = lines.withColumn("p", pairs)
+    once = "size(filter(p, y -> y.item_slots = x.item_slots)) = 1 and size(filter(p, y -> y.doc_slots = x.doc_slots)) = 1"
+    good = F.expr(f"filter(at, w -> forall(w.slots, x -> x.item_slots = x.doc_slots) or forall(w.slots, x -> {once}))")
+    lines = lines.select("k", "item", "n_windows", good.alias("at")).where(F.size("at") > 0)
+    exact = F.expr("forall(at, w -> forall(w.slots, x -> x.item_slots = x.doc_slots))")
+    found = lines.withColumn("exact", exact).groupBy("k", "item").agg((F.size(F.array_distinct(F.flatten(F.collect_list(F.expr("transform(at, w -> w.item_pos)"))))) / F.max("n_windows")).alias("cover"), F.min("exact").alias("exact"))
     return found.where(F.col("cover") >= min_cover)
 
 

@@ -126,7 +126,7 @@ def _surveyed(shingle: int, flush: int = 1_500_000):
             held.clear()
             k = int(keep.sum())
             none = pa.nulls(k + 1, pa.int64())
-            return pa.record_batch([pa.array([False] * (k + 1)), none, pa.nulls(k + 1, id_type), none, pa.nulls(k + 1, pa.int32()), pa.array(np.append(h[keep].astype(np.int64), 0)), pa.array(np.append(c[keep], -total)), pa.nulls(k + 1, pa.binary())], names)
+            return pa.record_batch([pa.array([False] * (k + 1)), pa.nulls(k + 1, pa.binary()), pa.nulls(k + 1, id_type), none, pa.nulls(k + 1, pa.int32()), pa.array(np.append(h[keep].astype(np.int64), 0)), pa.array(np.append(c[keep], -total)), pa.nulls(k + 1, pa.binary())], names)
 
         names, size, id_type = ["is_doc", "k", "id", "cid", "n", "key", "count", "sig"], 0, pa.null()
         for b in batches:
@@ -252,7 +252,7 @@ def similarity_components(docs: DataFrame, text_col: str = "text", id_col: str =
     """Per row of ``docs``: ``k`` (row key), the id, ``n_shingles``, ``cid`` (class, null without words) and ``component`` (the
     smallest class of those linked, null without words). ``most_frequent`` bounds the list of frequent shingles that is sent to every task."""
     keyed = docs.select(row_key(id_col, text_col).alias("k"), F.col(text_col).alias("t"), F.col(id_col).alias("id"))
-    found = stored(keyed.select("k", "id", "t").mapInArrow(_surveyed(shingle), f"is_doc boolean, k bigint, id {keyed.schema['id'].dataType.simpleString()}, cid bigint, n int, key bigint, count bigint, sig binary"), "survey")
+    found = stored(keyed.select("k", "id", "t").mapInArrow(_surveyed(shingle), f"is_doc boolean, k binary, id {keyed.schema['id'].dataType.simpleString()}, cid bigint, n int, key bigint, count bigint, sig binary"), "survey")
     rows = found.where("is_doc").select("k", "id", F.when(F.col("n") > 0, F.col("cid")).alias("cid"), "n")
     repeated = stored(found.where("not is_doc and count > 0").groupBy("key").agg(F.sum("count").alias("count")), "repeated")
     total = -(found.where("not is_doc and count < 0").agg(F.sum("count")).first()[0] or 0)
