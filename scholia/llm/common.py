@@ -136,3 +136,14 @@ def with_keys(rows: DataFrame, key: str, wanted: DataFrame, most_bits: int = MOS
     """``rows`` joined to ``wanted`` by ``key``. Rows that a filter of the keys tells to have no partner aren't shuffled; where the keys are too many for it, all rows are."""
     keys = key_filter(wanted.select(F.xxhash64(key)), most_bits)
     return (rows if keys is None else rows.where(_held(keys)(F.xxhash64(key)))).join(wanted, key)
+
+
+def with_some(rows: DataFrame, key: str, found: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """``rows`` with the columns of ``found``, null where it has no row of their ``key`` (a left join). Rows that a filter of the keys tells to have none aren't shuffled; where the keys are
+    too many for it, all rows are."""
+    keys = key_filter(found.select(F.xxhash64(key)), most_bits)
+    if keys is None:
+        return rows.join(found, key, "left")
+    held, more = _held(keys)(F.xxhash64(key)), [f for f in found.schema if f.name != key]
+    some = rows.where(held).join(found, key, "left").select(*rows.columns, *[f.name for f in more])
+    return rows.where(~held).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in more]).unionByName(some)

@@ -10,7 +10,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from scholia.llm import audio, decontaminate, spans
+from scholia.llm import audio, decontaminate
 from scholia.llm.token_counts import independent, pre_tokens, token_counts
 from scholia.llm.token_store import Encoder, PerfectHash, key_hash, write_store
 
@@ -102,45 +102,6 @@ def test_store_round_trip(spark, docs, odd, none):
     assert write_store(none, BPE).read(none.select("doc_id")).count() == 0
 
 
-# ---- spans
-
-
-def test_sentences_join_to_the_text(docs):
-    for t in [*odd_strings(3, 500), *[r.text for r in docs.collect()], "a " * 500 + "b, c " * 90]:
-        assert "".join(spans.sentences_of(t)) == t
-
-
-def brute_spans(rows, **k):
-    """Covered sentences by the rule, with plain dictionaries."""
-    options = {"least_sentences": 2, "least_words": 16, "long_words": 32} | k
-    seen, gone, order = {}, {}, sorted(range(len(rows)), key=lambda i: rows[i][0])
-    cut = [spans.sentences_of(t or "") for _, t in rows]
-    for i in order:
-        for first, many, h in sorted(spans.runs_of(cut[i], **options)):
-            if h in seen and seen[h] != (i, first):
-                gone.setdefault(i, set()).update(range(first, first + many))
-            seen.setdefault(h, (i, first))
-    return ["".join(s for j, s in enumerate(cut[i]) if j not in gone.get(i, ())).strip() if i in gone else rows[i][1] for i in range(len(rows))]
-
-
-def test_planted_passages_go_and_clean_texts_stay(spark, docs):
-    base = [(r.doc_id, r.text) for r in docs.dropDuplicates(["text"]).orderBy("doc_id").collect()]
-    passage = ". ".join(" ".join(f"passage{i}x{j}" for j in range(9)) for i in range(8)) + "."
-    rows = base + [(10_000 + i, f"own words {i} start here. {passage} and end {i} there") for i in range(30)]
-    out = {r.doc_id: r["__clean"] for r in spans.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    want = brute_spans(rows)
-    assert [out[i].text for i, _ in rows] == want
-    assert "passage3x3" in out[10_000].text and all("passage3x3" not in out[10_000 + i].text for i in range(1, 30))
-    assert all(f"own words {i}" in out[10_000 + i].text for i in range(30))
-
-
-def test_spans_of_odd_rows(spark, odd, none):
-    out = spans.without_repeats(odd).collect()
-    assert len(out) == 10 and set(odd.columns) < set(out[0].asDict())
-    assert [r["__clean"].text for r in out if r.doc_id == 2] == [None]
-    assert spans.without_repeats(none).count() == 0
-
-
 # ---- decontamination
 
 
