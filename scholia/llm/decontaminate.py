@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,93 +42,127 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LINE = "\x02"
 
 
-class _Words(dict):
-    """Numbers of words in tables: kind, hash of the plain word, whether a sentence ends after it, whether a mark follows it, and the number of the unit glued to it or -1."""
+class _Words:
+    """What is known of words, by number: kind (-1: end of a line, -2: nothing), hash of the plain word, whether a sentence ends after it, whether a mark follows it, and the number of the unit
+    glued to it or -1. The first ``remember`` words are kept."""
 
-    def __init__(self, remember: int = 200_000):
-        super().__init__()
+    def __init__(self, remember: int = 300_000):
         self.remember = remember
-        self.rows: list[tuple] = []
-        self.tables: tuple[np.ndarray, ...] = ()
+        self.known: dict[str, int] = {}
+        self.table = np.zeros(1 << 16, [("kind", "i1"), ("plain", "u8"), ("ends", "?"), ("mark", "?"), ("glued", "i8")])
 
-    def __missing__(self, word: str) -> int:
+    def _row(self, word: str) -> tuple:
         core = word.strip(EDGE)
-        low = core.lower()
-        glued, kind = -1, PLAIN
+        low, kind = core.lower(), PLAIN
+        end = word.rstrip("\"')]”’»")[-1:]
+        ends, mark = end in (".", "!", "?"), end in tuple(".,;:!?")
+        if core.isalpha():
+            if low in NUMBER_WORDS:
+                kind = NUMERAL
+            elif low in UNITS:
+                kind = UNIT
+            elif core[0].isupper() and core[1:].islower():
+                kind = NAME
+            return kind, xxhash.xxh3_64_intdigest(low), ends, mark, ""
+        if word == _LINE or not word:
+            return -1 if word else -2, 0, True, False, ""
         bare = word.rstrip(".,;:!?")
         parts = GLUED.fullmatch(bare.lstrip("(\"'“‘").rstrip(")\"'”’"))
-        if word == _LINE:
-            kind = -1
-        elif NUMBER.fullmatch(bare) or NUMBER.fullmatch(core) or low in NUMBER_WORDS:
-            kind = NUMERAL
-        elif parts and parts[2].lower() in UNITS:
-            kind, glued, low = NUMERAL, self[parts[2] + word[len(bare) :]], parts[1]
-        elif low in UNITS or word in ("%", "$", "€", "£"):
+        if NUMBER.fullmatch(bare) or NUMBER.fullmatch(core):
+            return NUMERAL, xxhash.xxh3_64_intdigest(low or word), ends, mark, ""
+        if parts and parts[2].lower() in UNITS:
+            return NUMERAL, xxhash.xxh3_64_intdigest(parts[1]), ends, mark, parts[2] + word[len(bare) :]
+        if word in ("%", "$", "€", "£"):
             kind = UNIT
         elif core[:1].isupper() and core[1:].islower():
             kind = NAME
-        end = word.rstrip("\"')]”’»")[-1:]
-        self[word] = number = len(self.rows)
-        self.rows.append((kind, xxhash.xxh3_64_intdigest(low or word), kind < 0 or end in (".", "!", "?"), end in tuple(".,;:!?"), glued))
-        return number
-
-    def looked_up(self, words: list[str]) -> np.ndarray:
-        if len(self.rows) > self.remember:
-            self.clear()
-            self.rows, self.tables = [], ()
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        have = len(self.tables[0]) if self.tables else 0
-        if have < len(self.rows):
-            new = list(zip(*self.rows[have:]))
-            kinds = (np.int8, np.uint64, bool, bool, np.int64)
-            self.tables = tuple(np.concatenate([t, np.array(c, k)]) if have else np.array(c, k) for t, c, k in zip(self.tables or new, new, kinds))
-        return at
+        return kind, xxhash.xxh3_64_intdigest(low or word), ends, mark, ""
+
+    def numbers(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each of the distinct ``words``, and the table."""
+        known = self.known
+        new = [w for w in words if w not in known]
+        if new:
+            rows = list(map(self._row, new))
+            units = [r[4] for r in rows if r[4] and r[4] not in known]
+            if units:
+                self.numbers(list(dict.fromkeys(units)))
+                new = [w for w in words if w not in known]
+                rows = list(map(self._row, new))
+            start = len(known)
+            while start + len(new) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            part = self.table[start : start + len(new)]
+            for name, column in zip(part.dtype.names, zip(*rows)):
+                part[name] = [known[u] if u else -1 for u in column] if name == "glued" else column
+            known.update(zip(new, range(start, start + len(new))))
+        out = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        if len(known) > self.remember:
+            for w in new:
+                del known[w]
+        return out, self.table
 
 
 _WORDS = _Words()
 
 
-def typed(text: str | None, first_inside: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of typed tokens, their values (0: none), and their kinds. With ``first_inside`` the first word is typed as inside a sentence."""
-    none = np.empty(0, np.uint64)
-    words = (text or "").replace("\n", f" {_LINE} ").split()
-    at = _WORDS.looked_up(words)
-    if not len(at):
-        return none, none, np.empty(0, np.int8)
-    kind, plain, ends, marks, glued = _WORDS.tables
-    if (glued[at] >= 0).any():
-        where = np.flatnonzero(glued[at] >= 0)
-        at = np.insert(at, where + 1, glued[at[where]])
+def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of each word, the text it is of, and the table."""
+    cut = pc.utf8_split_whitespace(texts)
+    words = cut.flatten().dictionary_encode()
+    distinct = words.dictionary
+    # words hold no space, so that one string carries them all
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct), " ")[0].as_py().split(" ") if len(distinct) else []
+    numbers, table = _WORDS.numbers(joined)
+    at, doc = numbers[words.indices.to_numpy()], np.repeat(np.arange(len(texts)), np.diff(cut.offsets.to_numpy()))
+    keep = table["kind"][at] > -2
+    return at[keep], doc[keep], table
+
+
+def typed_many(texts: pa.Array, first_inside: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the typed tokens of all texts, their values (0: none), their kinds, and where each text's tokens start, with the end. With ``first_inside`` a text's first word is
+    typed as inside a sentence."""
+    texts = texts.fill_null("")
+    at, doc, table = _split(pc.replace_substring(texts, "\n", f" {_LINE} "))
+    glued = table["glued"][at]
+    first_part = np.zeros(len(at), bool)
+    if (glued >= 0).any():
+        where = np.flatnonzero(glued >= 0)
+        at, doc = np.insert(at, where + 1, glued[where]), np.insert(doc, where + 1, doc[where])
         first_part = np.zeros(len(at), bool)
         first_part[where + np.arange(len(where))] = True
-    else:
-        first_part = np.zeros(len(at), bool)
-    k, h, e, m = kind[at].copy(), plain[at], ends[at] & ~first_part, marks[at] & ~first_part
-    opens = np.concatenate([[not first_inside], e[:-1]])
+    row = table[at]
+    k, h = row["kind"].copy(), row["plain"].copy()
+    e, m = row["ends"] & ~first_part, row["mark"] & ~first_part
+    begins = np.concatenate([[True], doc[1:] != doc[:-1]])[: len(doc)]
+    opens = np.where(begins, not first_inside, np.concatenate([[False], e])[: len(e)])
     keep = k >= 0  # line ends are no tokens
-    k, h, e, m, opens = k[keep], h[keep], e[keep], m[keep], opens[keep]
-    if not len(k):
-        return none, none, np.empty(0, np.int8)
-    after_number = np.concatenate([[False], (k[:-1] == NUMERAL) & ~e[:-1]])
-    k[(k == UNIT) & ~after_number] = PLAIN
-    k[opens & (k == NAME)] = OPENING
-    # a run of names, or of an opening and the names after it, is one token
-    joins = np.concatenate([[False], (k[1:] == NAME) & ((k[:-1] == NAME) | (k[:-1] == OPENING)) & ~m[:-1]])
-    starts = np.flatnonzero(~joins)
-    if joins.any():
-        power = np.arange(len(k)) - np.maximum.accumulate(np.where(joins, 0, np.arange(len(k))))
-        h = np.add.reduceat(_mixed(h + power.astype(np.uint64) * _ODD), starts)
-        single = np.diff(np.append(starts, len(k))) == 1
-        h[single] = plain[at][keep][starts[single]]
-    k = k[starts]
-    return np.where(k == PLAIN, h, _KINDS[k]), np.where(k == PLAIN, np.uint64(0), h), k
-
-
-def plain_words(text: str | None) -> np.ndarray:
-    """Hashes of the words, without types."""
-    words = (text or "").split()
-    at = _WORDS.looked_up(words)
-    return _WORDS.tables[1][at] if len(at) else np.empty(0, np.uint64)
+    k, h, e, m, opens, doc = k[keep], h[keep], e[keep], m[keep], opens[keep], doc[keep]
+    if len(k):
+        begins = np.concatenate([[True], doc[1:] != doc[:-1]])
+        after_number = np.concatenate([[False], (k[:-1] == NUMERAL) & ~e[:-1]]) & ~begins
+        k[(k == UNIT) & ~after_number] = PLAIN
+        k[opens & (k == NAME)] = OPENING
+        # a run of names, or of an opening and the names after it, is one token
+        joins = np.concatenate([[False], (k[1:] == NAME) & ((k[:-1] == NAME) | (k[:-1] == OPENING)) & ~m[:-1]]) & ~begins
+        if joins.any():
+            starts = np.flatnonzero(~joins)
+            place = np.arange(len(k)) - np.maximum.accumulate(np.where(joins, 0, np.arange(len(k))))
+            single = np.diff(np.append(starts, len(k))) == 1
+            h = np.where(single, h[starts], np.add.reduceat(_mixed(h + place.astype(np.uint64) * _ODD), starts))
+            k, doc = k[starts], doc[starts]
+    edges = np.searchsorted(doc, np.arange(len(texts) + 1))
+    return np.where(k == PLAIN, h, _KINDS[k]), np.where(k == PLAIN, np.uint64(0), h), k, edges
+
+
+def typed(text: str | None, first_inside: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return typed_many(pa.array([text], pa.string()), first_inside)[:3]
+
+
+def plain_many(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words without types, and where each text's start, with the end."""
+    at, doc, table = _split(texts.fill_null(""))
+    return table["plain"][at], np.searchsorted(doc, np.arange(len(texts) + 1))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -173,7 +208,7 @@ def item_windows(text: str | None, window: int, min_tokens: int, min_words: int,
             places.update(at.tolist())
     if places:
         return 0, width, out, len(places)
-    h = plain_words(text)
+    h = plain_many(pa.array([text], pa.string()))[0]
     width = min(window, len(h))
     if width < min_exact:
         return 1, 0, [], 0
@@ -198,18 +233,16 @@ def _places(kinds: list[tuple[int, int]], wanted: KeyFilter | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, hashes, places = [], [], []
-            for row, t in enumerate(b.column(1).to_pylist()):
-                tokens = {c: typed(t)[0] if c == 0 else plain_words(t) for c in {c for c, _ in kinds}}
-                for channel, width in kinds:
-                    h = windows_of(tokens[channel], width, channel)
-                    at = np.flatnonzero(wanted.holds(h)) if wanted is not None else np.arange(len(h))
-                    if len(at):
-                        rows.append(np.full(len(at), row))
-                        hashes.append(h[at])
-                        places.append(at)
-            if rows:
-                yield pa.record_batch([b.column(0).take(pa.array(np.concatenate(rows))), _signed(np.concatenate(hashes)), pa.array(np.concatenate(places), pa.int32())], ["k", "hash", "pos"])
+            tokens = {c: typed_many(b.column(1))[::3] if c == 0 else plain_many(b.column(1)) for c in {c for c, _ in kinds}}
+            for channel, width in kinds:
+                h, edges = tokens[channel]
+                x = windows_of(h, width, channel)
+                at = np.flatnonzero(wanted.holds(x)) if wanted is not None else np.arange(len(x))
+                row = np.searchsorted(edges, at, side="right") - 1
+                whole = at + width <= edges[row + 1]  # windows that lie in one text
+                at, row = at[whole], row[whole]
+                if len(at):
+                    yield pa.record_batch([b.column(0).take(pa.array(row)), _signed(x[at]), pa.array(at - edges[row], pa.int32())], ["k", "hash", "pos"])
 
     return run
 
@@ -220,9 +253,10 @@ def _values():
 
     @F.arrow_udf("array<struct<pos:int,width:int,channel:int,doc_slots:array<bigint>>>")
     def udf(texts: pa.Array, at: pa.Array) -> pa.Array:
+        _, flat, _, edges = typed_many(texts)
         out = []
-        for t, places in zip(texts.to_pylist(), at.to_pylist()):
-            values = typed(t)[1].astype(np.int64)
+        for start, end, places in zip(edges, edges[1:], at.to_pylist()):
+            values = flat[start:end].astype(np.int64)
             out.append([p | {"doc_slots": values[p["pos"] : p["pos"] + p["width"]].tolist() if p["channel"] == 0 else [0] * p["width"]} for p in places])
         return pa.array(out, kind)
 
