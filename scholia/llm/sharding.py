@@ -7,7 +7,8 @@ each level of a tree, with no task over ``bundle`` items. Labels are then follow
 
 Defined cases: a null text has size 1, as an empty one, but is another group; all rows of one text go to one shard, whatever their
 number; fewer groups than shards leave shards empty; ties go to the earlier item in the order of hashes; repeated rows each have
-their own slot; an empty table gives an empty result. Columns of the input but the text are returned as they are.
+their own slot; very long texts are a size as any other; an empty table gives an empty result. Columns of the input but the text are returned as they are, whatever their names; names that
+start with two underscores are the operator's own.
 """
 
 from __future__ import annotations
@@ -86,17 +87,17 @@ def _labels(groups: DataFrame, m: int, bundle: int) -> DataFrame:
 
 def sharded(docs: DataFrame, text_col: str = "text", shards: int = 16, bundle: int = 2000, rows_per_slot_bucket: int = 1000) -> DataFrame:
     """``docs`` without its text, with __size, __crc, __shard and __slot (gapless from 0 within a shard)."""
-    text = F.col(text_col)
+    text, rest = F.col(text_col), [c for c in docs.columns if c != text_col]
     slim = docs.withColumns({
         "__size": F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1, "__crc": F.crc32(F.coalesce(text, F.lit("")).cast("binary")),
         "__g": F.when(text.isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(text)), "__u": F.monotonically_increasing_id(),
     }).drop(text_col)
     slim = stored(slim, "sizes")
     groups = slim.groupBy(F.col("__g").alias("g")).agg(F.sum("__size").alias("size"))
-    placed = slim.join(_labels(stored(groups, "groups"), shards, bundle).withColumnRenamed("g", "__g"), "__g")
+    placed = slim.join(_labels(stored(groups, "groups"), shards, bundle).select(F.col("g").alias("__g"), F.col("shard").alias("__shard")), "__g")
     buckets = max(1, -(-slim.count() // (shards * rows_per_slot_bucket)))
     placed = stored(placed.withColumn("__bucket", F.pmod(F.xxhash64("__u"), F.lit(buckets))), "placed")
-    counts = placed.groupBy("shard", "__bucket").agg(F.count("*").alias("n"))
-    offsets = counts.select("shard", "__bucket", (F.sum("n").over(W.partitionBy("shard").orderBy("__bucket")) - F.col("n")).alias("offset"))
-    slot = F.row_number().over(W.partitionBy("shard", "__bucket").orderBy("__u")) - 1
-    return placed.withColumn("__in", slot).join(offsets, ["shard", "__bucket"]).withColumn("__slot", F.col("offset") + F.col("__in")).withColumnRenamed("shard", "__shard").drop("__in", "offset", "__bucket", "__g", "__u")
+    counts = placed.groupBy("__shard", "__bucket").agg(F.count("*").alias("n"))
+    offsets = counts.select("__shard", "__bucket", (F.sum("n").over(W.partitionBy("__shard").orderBy("__bucket")) - F.col("n")).alias("__offset"))
+    slot = F.row_number().over(W.partitionBy("__shard", "__bucket").orderBy("__u")) - 1
+    return placed.withColumn("__in", slot).join(offsets, ["__shard", "__bucket"]).withColumn("__slot", F.col("__offset") + F.col("__in")).select(*rest, "__size", "__crc", "__shard", "__slot")
