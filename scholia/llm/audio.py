@@ -3,10 +3,11 @@
 Media are WAV files of unsigned 8-bit mono samples, which hold any payload without loss. ``features`` reads the stored bytes back: samples go by
 a polyphase filter from ``rate`` to ``rate * up / down``; overlapping windows give log-mel rows; energy opens a segment above one threshold and closes it
 below a lower one. The rows are stored as fixed-shape Arrow tensors (``frames`` x ``mels`` each, the last filled up with the floor) in an Arrow
-stream with the time span of each tensor and of each segment.
+stream with the time span of each tensor and of each segment; such streams are a column of a written table, and what is told of the features is read from there.
 
-Defined cases: null and empty texts are one frame of filler bytes; equal payloads give equal bytes, tensors and features; media
-of any length are done in pieces of bounded size; bytes that aren't such a WAV file raise ValueError.
+Defined cases: null and empty texts are one frame of filler bytes; equal payloads (ties, repeated rows) give equal bytes, tensors and features; media are resampled and turned into features in pieces of
+``piece`` frames, so that beside a very long medium itself only its 8-bit samples and its rows are held; bytes that aren't such a WAV file raise ValueError; an empty table gives an empty result. These are column
+functions: other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -74,12 +75,18 @@ def polyphase_bank(up: int, down: int, half: int = 8) -> tuple[np.ndarray, int]:
     return bank, before
 
 
-def resampled(x: np.ndarray, a: Audio) -> np.ndarray:
+def resampled(x: np.ndarray, a: Audio, first: int = 0, last: int | None = None) -> np.ndarray:
+    """Samples ``first`` up to ``last`` (all) of the signal at the new rate. ``x`` may be unsigned 8-bit samples or floats."""
     bank, before = polyphase_bank(a.up, a.down) if a != Audio() else _BANK
-    n = -(-len(x) // a.down)
-    padded = np.zeros((n - 1) * a.down + len(bank), np.float32)
-    padded[before : before + len(x)] = x[: len(padded) - before]
-    return (sliding_window_view(padded, len(bank))[:: a.down] @ bank).reshape(-1)[: -(-len(x) * a.up // a.down)]
+    total = -(-len(x) * a.up // a.down)
+    last = total if last is None else min(last, total)
+    w0, w1 = first // a.up, -(-last // a.up)  # windows of the input, ``up`` outputs each
+    lo, hi = w0 * a.down - before, (w1 - 1) * a.down - before + len(bank)
+    part = x[max(0, lo) : max(0, hi)]
+    part = (part.astype(np.float32) - 128) / 128 if part.dtype == np.uint8 else part
+    padded = np.zeros(hi - lo, np.float32)
+    padded[max(0, -lo) : max(0, -lo) + len(part)] = part
+    return (sliding_window_view(padded, len(bank))[:: a.down] @ bank).reshape(-1)[first - w0 * a.up : last - w0 * a.up]
 
 
 def mel_bank(a: Audio) -> np.ndarray:
@@ -95,17 +102,27 @@ _BANK, _MELS, _HANN = polyphase_bank(5, 8), mel_bank(Audio()), np.hanning(250).a
 
 
 def log_mels(y: np.ndarray, a: Audio, piece: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of log-mel values and the energy of each frame in dB."""
+    """Rows of log-mel values and the energy of each frame in dB, of a signal at the new rate."""
+    return _log_mels(lambda i, j: y[i:j], len(y), a, piece)
+
+
+def media_mels(x: np.ndarray, a: Audio, piece: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """The same of samples at the old rate, resampled piece by piece."""
+    return _log_mels(lambda i, j: resampled(x, a, i, j), -(-len(x) * a.up // a.down), a, piece)
+
+
+def _log_mels(signal, length: int, a: Audio, piece: int) -> tuple[np.ndarray, np.ndarray]:
     mels, hann = (_MELS, _HANN) if a == Audio() else (mel_bank(a), np.hanning(a.window).astype(np.float32))
-    if len(y) < a.window:
-        y = np.pad(y, (0, a.window - len(y)))
-    windows = sliding_window_view(y, a.window)[:: a.hop]
-    rows, energy = np.empty((len(windows), a.mels), np.float32), np.empty(len(windows), np.float32)
-    for i in range(0, len(windows), piece):
-        w = windows[i : i + piece]
-        energy[i : i + piece] = 10 * np.log10(1e-8 + np.einsum("ij,ij->i", w, w) / a.window)
+    n = max(1, 1 + (length - a.window) // a.hop)
+    rows, energy = np.empty((n, a.mels), np.float32), np.empty(n, np.float32)
+    for i in range(0, n, piece):
+        j = min(n, i + piece)
+        y = signal(i * a.hop, min(length, (j - 1) * a.hop + a.window))
+        y = np.pad(y, (0, max(0, a.window - len(y))))
+        w = sliding_window_view(y, a.window)[:: a.hop]
+        energy[i:j] = 10 * np.log10(1e-8 + np.einsum("ij,ij->i", w, w) / a.window)
         spectrum = np.fft.rfft(w * hann, a.fft, axis=1)
-        rows[i : i + piece] = np.log10(10.0**a.floor + (spectrum.real**2 + spectrum.imag**2) @ mels)
+        rows[i:j] = np.log10(10.0**a.floor + (spectrum.real**2 + spectrum.imag**2) @ mels)
     return rows, energy
 
 
@@ -178,8 +195,7 @@ def features(media, a: Audio = Audio()):
         for w in wavs:
             wav = w.as_py()
             payload = payload_in(wav)
-            x = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
-            rows, energy = log_mels(resampled(x, a), a)
+            rows, energy = media_mels(np.frombuffer(payload, np.uint8), a)
             segments = segments_of(energy, a)
             out.append({"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-32:]), "media_bytes": len(wav), "media_sha256": hashlib.sha256(wav).hexdigest(), "n_frames": len(rows), "n_segments": len(segments), "tensors": tensors_of(rows, segments, a)})
         return pa.array(out, kind)

@@ -177,3 +177,48 @@ def test_hysteresis_holds_between_thresholds():
 def test_foreign_bytes_raise():
     with pytest.raises(ValueError):
         audio.payload_in(b"\x00" * 100)
+
+
+def test_features_against_a_plain_transform():
+    """Resampled by the sum of its definition and transformed by the definition of the discrete Fourier transform."""
+    a = audio.Audio()
+    x = np.random.default_rng(3).integers(0, 256, 3000).astype(np.uint8)
+    rows, energy = audio.media_mels(x, a)
+    signal = (x.astype(float) - 128) / 128
+    reach = 8 * a.down
+    t = np.arange(-reach, reach + 1)
+    h = np.sinc(t / a.down) * np.hanning(len(t) + 2)[1:-1]
+    h *= a.up / h.sum()
+    y = np.zeros(-(-len(x) * a.up // a.down))
+    for j in range(len(y)):  # output j stands at j * down among the inputs spread by ``up``
+        for i in range(max(0, (j * a.down - reach) // a.up), min(len(x), (j * a.down + reach) // a.up + 1)):
+            if abs(i * a.up - j * a.down) <= reach:
+                y[j] += signal[i] * h[i * a.up - j * a.down + reach]
+    assert len(rows) == 1 + (len(y) - a.window) // a.hop
+    n = np.arange(a.window)
+    basis = np.exp(-2j * np.pi * np.outer(np.arange(a.fft // 2 + 1), n) / a.fft)
+    for f in (0, 5, len(rows) - 1):
+        w = y[f * a.hop : f * a.hop + a.window]
+        power = np.abs(basis @ (w * np.hanning(a.window))) ** 2
+        assert np.allclose(rows[f], np.log10(10.0**a.floor + power @ audio.mel_bank(a)), atol=1e-3)
+        assert abs(energy[f] - 10 * np.log10(1e-8 + (w**2).mean())) < 1e-2
+
+
+def test_pieces_of_a_long_medium_join():
+    a = audio.Audio()
+    x = np.random.default_rng(4).integers(0, 256, 50_001).astype(np.uint8)
+    whole, small = audio.media_mels(x, a), audio.media_mels(x, a, piece=7)
+    assert all(np.allclose(p, q, atol=1e-4) for p, q in zip(whole, small))
+    y = audio.resampled((x.astype(np.float32) - 128) / 128, a)
+    assert np.allclose(audio.log_mels(y, a)[0], whole[0], atol=1e-4)
+
+
+def test_stored_tensors_are_read_back(spark, docs):
+    """The table of tensors holds Arrow tensors of fixed shape with the time span of each, and every frame lies in one."""
+    t = docs.limit(20).select("doc_id", audio.features(audio.to_media("text")).alias("r")).select("doc_id", "r.*").collect()
+    for r in t:
+        with pa.ipc.open_stream(r.tensors) as s:
+            table = s.read_all()
+        mel = [i for i, k in enumerate(table["kind"].to_pylist()) if k == "mel"]
+        assert table.schema.field("log_mel").type.shape == [32, 24] and len(mel) == -(-r.n_frames // 32)
+        assert table["kind"].to_pylist().count("segment") == r.n_segments and all(b > a for a, b in zip(table["start_s"].to_pylist(), table["end_s"].to_pylist()))
