@@ -7,13 +7,14 @@ text of mixed languages.
 
 Defined cases: null text, and text without a letter, give ``und`` with score 0.0 and no span; a text whose letters
 belong to no learned script gets the most frequent learned language with score 0.0; ties go to the language that is
-more frequent in training, then to the smaller name; repeated rows get equal results; an empty table gives an empty result.
+more frequent in training, then to the smaller name; repeated rows get equal results; very long texts are labelled whole, word by word; an empty table gives an empty result. The script of a
+word is that of its first letter. The model is bounded by two parameters: ``docs_per_language`` and ``max_trigrams`` (rarer trigrams say nothing). These are a model and a column function: other
+columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,13 +30,13 @@ SCRIPT_STARTS = [
     (0x3100, "Han"), (0x3130, "Hangul"), (0x3190, "Han"), (0xA000, "Other"), (0xAC00, "Hangul"), (0xD7B0, "Other"), (0xF900, "Han"),
     (0xFB00, "Latin"), (0xFB10, "Other"), (0xFF21, "Latin"), (0xFF66, "Kana"), (0xFFA0, "Hangul"), (0xFFE0, "Other"), (0x20000, "Han"),
 ]
-_STARTS = [s for s, _ in SCRIPT_STARTS]
+_STARTS, _SCRIPTS = np.array([s for s, _ in SCRIPT_STARTS]), np.array([n for _, n in SCRIPT_STARTS])
 WORD = re.compile(r"[^\W\d_]+")
 RESULT = "struct<lang_pred:string,score:double,n_spans:int,spans:array<struct<lang:string,start:int,end:int>>>"
 
 
 def script_of(char: str) -> str:
-    return SCRIPT_STARTS[bisect_right(_STARTS, ord(char)) - 1][1]
+    return str(_SCRIPTS[np.searchsorted(_STARTS, ord(char), side="right") - 1])
 
 
 @dataclass
@@ -48,9 +49,10 @@ class LanguageModel:
     scripts: dict[str, np.ndarray]
     _words: dict[str, int] = field(default_factory=dict, repr=False)
     _rows: np.ndarray | None = field(default=None, repr=False)
+    _keys: tuple | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return self.__dict__ | {"_words": {}, "_rows": None}
+        return self.__dict__ | {"_words": {}, "_rows": None, "_keys": None}
 
     def rows_of(self, words: list[str], keep: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers of ``words`` in the score table, and that table. Scores of the first ``keep`` words are remembered."""
@@ -73,22 +75,41 @@ class LanguageModel:
         return rows, self._rows
 
     def _score(self, words: list[str]) -> np.ndarray:
-        get, flat, ends = self.trigrams.get, [], []
-        for w in words:
-            p = f"^{w}$"
-            flat += [get(p[i : i + 3], -1) for i in range(len(p) - 2)]
-            ends.append(len(flat))
-        rows = np.vstack([self.table, np.zeros((1, len(self.languages)), np.float32)])[flat]
-        sums = np.add.reduceat(rows, [0, *ends[:-1]], axis=0)
-        for i, w in enumerate(words):
-            s = script_of(w[0])
-            if s != "Latin" or "Latin" not in self.scripts:
-                sums[i] = np.where(self.scripts.get(s, np.zeros(len(self.languages), bool)), sums[i], -np.inf)
-            elif not self.scripts["Latin"].all():
-                sums[i] = np.where(self.scripts["Latin"], sums[i], -np.inf)
+        """Sums of the trigrams' rows of each word between ^ and $; -inf under languages that don't hold the word's script."""
+        if self._keys is None:
+            grams = np.array([_gram_keys(np.frombuffer(g.ljust(3, "\0").encode("utf-32-le"), "<u4"))[0] for g in self.trigrams], np.uint64)
+            order = np.argsort(grams)
+            self._keys = grams[order], np.vstack([self.table[np.array(list(self.trigrams.values()), np.int64)[order]], np.zeros((1, len(self.languages)), np.float32)])
+        keys, table = self._keys
+        letters = np.frombuffer(("^" + "$^".join(words) + "$").encode("utf-32-le"), "<u4")
+        grams = _gram_keys(letters)
+        starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 2)[:-1]])
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+            rows = np.where(keys[at] == grams, at, len(keys))
+        else:
+            rows = np.zeros(len(grams), np.int64)
+        inside = np.ones(len(letters), bool)  # a word of n letters has n trigrams; those that reach into the next word don't count
+        inside[starts[1:] - 1] = inside[starts[1:] - 2] = False
+        rows = np.where(inside[: len(rows)], rows, len(keys))
+        sums = np.add.reduceat(table[rows], starts, axis=0)
+        scripts = _SCRIPTS[np.searchsorted(_STARTS, letters[starts + 1], side="right") - 1]
+        if "Latin" in self.scripts and self.scripts["Latin"].all():
+            odd = np.flatnonzero(scripts != "Latin")
+        else:
+            odd = np.arange(len(words))
+        none = np.zeros(len(self.languages), bool)
+        for name in set(scripts[odd].tolist()):
+            of = odd[scripts[odd] == name]
+            sums[of] = np.where(self.scripts.get(name, none), sums[of], -np.inf)
         return sums
 
 
+def _gram_keys(letters: np.ndarray) -> np.ndarray:
+    x = letters.astype(np.uint64)
+    return (x[:-2] << np.uint64(42)) | (x[1:-1] << np.uint64(21)) | x[2:]
+
+
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_language: int = 1500, max_trigrams: int = 100_000) -> LanguageModel:
     """Learn a model from ``labelled``. About ``docs_per_language`` rows of each language are used, chosen by a hash of the id;
     the model holds the ``max_trigrams`` most frequent trigrams. Both bounds are fixed, so the model's size doesn't follow the input's."""
@@ -113,37 +134,56 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     return LanguageModel(languages, {r.g: i for i, r in enumerate(top)}, (logs - logs.mean(1, keepdims=True)).astype(np.float32), {k: v / total >= 0.01 for k, v in scripts.items()})
 
 
-def best_path(scores: np.ndarray, lengths: np.ndarray, penalty: float, block: int = 1_000_000) -> np.ndarray:
-    """Labels of the best path of each sequence; ``scores`` holds the rows of all sequences one after another. Sequences of like length go side by side."""
-    labels = np.zeros(len(scores), np.int8)
+def best_path(scores: np.ndarray, lengths: np.ndarray, penalty: float, piece: int = 64) -> np.ndarray:
+    """Labels of the best path of each sequence; ``scores`` holds the rows of all sequences one after another.
+
+    Sequences are cut into pieces that all advance together. What a piece does to the values at its start is told by one run from each label; then the pieces of a sequence are
+    chained, run again from their true values, and followed back in the same way. So the number of steps follows the piece and the number of pieces of the longest sequence."""
+    n, k = len(scores), scores.shape[1]
+    lengths = lengths[lengths > 0]
+    if not n:
+        return np.zeros(0, np.int8)
+    many = -(-lengths // piece)
+    first = np.concatenate([[0], np.cumsum(many)[:-1]])  # the first piece of each sequence
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    order = np.argsort(lengths, kind="stable")
-    order = order[lengths[order] > 0]
-    while len(order):
-        longest = int(lengths[order[-1]])
-        now, order = order[-max(1, min(512, block // longest)) :], order[: -max(1, min(512, block // longest))]
-        now = now[::-1]  # longest first, so that those still running are a prefix
-        n = lengths[now]
-        running = np.searchsorted(-n, -np.arange(longest), side="left")  # sequences longer than t
-        back = np.zeros((longest, len(now)), np.int8)
-        stay = np.zeros((longest, len(now), scores.shape[1]), bool)
-        value = scores[starts[now]].astype(np.float64)
-        final = value.copy()
-        for t in range(1, longest):
-            k = running[t]
-            v = value[:k]
-            back[t, :k] = best = v.argmax(1)
-            jump = v[np.arange(k), best][:, None] - penalty
-            stay[t, :k] = keep = v >= jump
-            value[:k] = np.where(keep, v, jump) + scores[starts[now[:k]] + t]
-            final[:k] = value[:k]
-        label = final.argmax(1)
-        for t in range(longest - 1, -1, -1):
-            k = running[t]
-            labels[starts[now[:k]] + t] = label[:k]
-            if t:
-                label[:k] = np.where(stay[t, np.arange(k), label[:k]], label[:k], back[t, :k])
-    return labels
+    place = np.arange(n) - np.repeat(starts, lengths)
+    place += np.repeat(first * piece, lengths)
+    s = np.zeros((int(many.sum()) * piece, k))  # the end of the last piece holds rows of zeros, in which every label stays
+    s[place] = scores
+    s = np.ascontiguousarray(s.reshape(-1, piece, k).transpose(1, 0, 2))
+    pieces = s.shape[1]
+    through = np.where(np.eye(k, dtype=bool), 0.0, -np.inf)[None].repeat(pieces, 0)
+    for t in range(piece):
+        through = np.maximum(through, through.max(2, keepdims=True) - penalty) + s[t][:, None, :]
+    order = np.argsort(-many, kind="stable")
+    running = np.searchsorted(-many[order], -np.arange(many.max()), side="left")  # sequences with more than j pieces
+    begin, value = np.zeros((pieces, k)), np.zeros((len(lengths), k))
+    for j, r in enumerate(running):
+        at = first[order[:r]] + j
+        begin[at] = value[:r]
+        value[:r] = (value[:r, :, None] + through[at]).max(1)
+    back, stay, v = np.zeros((piece, pieces), np.int8), np.zeros((piece, pieces, k), bool), begin
+    for t in range(piece):
+        back[t] = v.argmax(1)
+        jump = v.max(1, keepdims=True) - penalty
+        stay[t] = v >= jump
+        v = np.maximum(v, jump) + s[t]
+    came = np.arange(k)[None].repeat(pieces, 0)  # for each label at a piece's end the one before its start
+    for t in range(piece - 1, -1, -1):
+        came = np.where(np.take_along_axis(stay[t], came, 1), came, back[t][:, None])
+    ends, label = np.zeros(pieces, np.int64), np.zeros(len(lengths), np.int64)
+    for j in range(len(running) - 1, -1, -1):
+        of = order[: running[j]]
+        last, at = many[of] == j + 1, first[of] + j
+        label[of] = np.where(last, v[at].argmax(1), label[of])
+        ends[at] = label[of]
+        label[of] = came[at, label[of]]
+    labels, now = np.zeros((piece, pieces), np.int8), ends
+    rows = np.arange(pieces)
+    for t in range(piece - 1, -1, -1):
+        labels[t] = now
+        now = np.where(stay[t, rows, now], now, back[t])
+    return labels.T.reshape(-1)[place]
 
 
 def label_texts(model: LanguageModel, texts: list[str | None], penalty: float, with_spans: bool) -> list[dict]:
