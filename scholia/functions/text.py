@@ -44,8 +44,9 @@ def deep_clean(c: Column, least_repeat: int = 3) -> Column:
     text = F.regexp_replace(F.coalesce(c, F.lit("")), "[ 　  ]", " ")
     pages = F.transform(F.split(text, "\n{2,}"), lambda p: F.split(p, "\n"))
     distinct = F.flatten(F.transform(pages, lambda p: F.array_distinct(F.filter(F.transform(p, strip), lambda k: (F.length(k) >= 4) & ~k.rlike(PAGE_NUMBER)))))
-    counts = F.aggregate(distinct, F.create_map().cast("map<string,int>"), lambda m, k: F.map_concat(F.map_filter(m, lambda a, _: a != k), F.create_map(k, F.coalesce(F.try_element_at(m, k), F.lit(0)) + 1)))
-    repeated = F.when(F.size(pages) >= least_repeat, F.map_keys(F.map_filter(counts, lambda _, n: n >= least_repeat))).otherwise(F.array().cast("array<string>"))
+    # sorted, a line that comes so often equals the one so many places before
+    often = let(F.array_sort(distinct), lambda d: F.array_distinct(F.filter(d, lambda k, i: (i >= least_repeat - 1) & (F.get(d, i - (least_repeat - 1)) == k))))
+    repeated = F.when(F.size(pages) >= least_repeat, often).otherwise(F.array().cast("array<string>"))
     stays = lambda line: ~F.array_contains(repeated, strip(line)) & ~strip(line).rlike(PAGE_NUMBER) & ~strip(line).rlike(ORNAMENT)
     joined = F.array_join(F.transform(pages, lambda p: F.array_join(F.filter(p, stays), "\n")), "\n\n")
     return clean(joined)

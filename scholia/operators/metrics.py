@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from scholia.sources.tables import written
+
+from .ranks import cumulated
+
 #: Upper bounds of the latency buckets in seconds.
 BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 
@@ -27,10 +31,12 @@ def histogram(df: DataFrame, value: str, by: list[str], bounds: tuple[float, ...
 
 
 def nearest_rank(df: DataFrame, value: str, by: list[str], p: float) -> DataFrame:
-    """The value at position int(n * p) from 0 of the sorted values."""
-    w = W.partitionBy(*by)
-    r = df.withColumn("__r", F.row_number().over(w.orderBy(value)) - 1).withColumn("__n", F.count("*").over(w))
-    return r.where(F.col("__r") == F.least(F.floor(F.col("__n") * p), F.col("__n") - 1)).select(*by, F.col(value).alias("value"))
+    """The value at position int(n * p) from 0 of the sorted values. Equal values are counted first; running counts go over ranges, so that no task sorts a whole group."""
+    counts = df.groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    ranged = written(cumulated(counts, by, ["value"], "n"), "ranks")
+    total = ranged.groupBy(*by).agg(F.sum("n").alias("__all"))
+    place = F.least(F.floor(F.col("__all") * p), F.col("__all") - 1)
+    return ranged.join(total, by).where((F.col("before") <= place) & (place < F.col("before") + F.col("n"))).select(*by, "value")
 
 
 def feedback(df: DataFrame, rating: str, kind: str, resolved: str) -> DataFrame:

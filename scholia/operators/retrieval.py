@@ -7,15 +7,16 @@ they are written once and joined by each batch of queries.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.pandas.types import to_arrow_type
 
 from scholia.functions import text as T
+from scholia.sources.tables import written, written_path
 
 K1, B, RRF_K = 1.5, 0.75, 60
 
@@ -35,17 +36,35 @@ def document_frequencies(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def bm25(posts: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id, score) of every document that shares a term with a query (query_id, term). Only terms of queries are joined; their document frequencies
-    come from the same pass. Each term counts once in a document, as terms are distinct."""
+@dataclass(frozen=True)
+class KeywordIndex:
+    """Postings (id, dl, term) with one row without a term for each document, and the corpus statistics: written tables."""
+
+    posts: DataFrame
+    stats: DataFrame
+
+
+def keyword_index(docs: DataFrame, id_col: str, text_col: str) -> KeywordIndex:
+    """Tokenises ``docs`` once and writes what searches need. Build it once for any number of searches."""
+    t = docs.select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("terms"))
+    posts = written(t.select("id", F.size("terms").alias("dl"), F.explode_outer("terms").alias("term")), "postings")
+    stats = written(posts.groupBy("id").agg(F.first("dl").alias("dl"), F.count_if(F.col("term").isNull()).alias("blank")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), "stats")
+    return KeywordIndex(posts.where("term is not null"), stats)
+
+
+def bm25(posts: DataFrame, stats: DataFrame, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score) of every document that shares a term with a query (query_id, term). Only postings of the queries' terms are joined; what is found is written, as document frequencies and scores
+    both come from it. Each term counts once in a document, as terms are distinct. ``allowed`` (id) are the documents that may be seen: others are left out before any rank is given, but count in the
+    frequencies, as the index is one for all users."""
     s = stats.first()
     n, avgdl = (s["n"] or 0), (s["avgdl"] or 1.0) or 1.0
     wanted = queries.select("term").distinct()
-    found = posts.join(wanted, "term")
+    found = written(posts.join(wanted, "term"), "found")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
-    return queries.join(df, "term").join(found, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+    seen = found if allowed is None else found.join(allowed.select("id").distinct(), "id", "left_semi")
+    return queries.join(df, "term").join(seen, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 
 
 def ranked(hits: DataFrame, most: int, score: str = "score") -> DataFrame:
@@ -67,45 +86,62 @@ def unit(v: Column) -> Column:
     return T.let(norm, lambda n: F.transform(v, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n)))
 
 
+def _best(s: np.ndarray, most: int) -> np.ndarray:
+    """Columns of the ``most`` largest values of each row, ties by the smaller column."""
+    if s.shape[1] <= most:
+        return np.argsort(-s, axis=1, kind="stable")
+    at = np.argpartition(-s, most - 1, axis=1)[:, :most]
+    least = np.take_along_axis(s, at, 1).min(1, keepdims=True)
+    tied = np.flatnonzero((s >= least).sum(1) > most)  # more stand at the bound than fit
+    if len(tied):
+        at[tied] = np.argsort(-s[tied], axis=1, kind="stable")[:, :most]
+    at.sort(axis=1)
+    return np.take_along_axis(at, np.argsort(-np.take_along_axis(s, at, 1), axis=1, kind="stable"), 1)
+
+
+def _unit_rows(column: pa.ListArray) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    norms = np.linalg.norm(flat, axis=1, keepdims=True)
+    return flat / np.where(norms == 0, 1, norms)
+
+
 def vector_topk(index: DataFrame, queries: DataFrame, most: int, id_col: str = "id", vector_col: str = "embedding", block: int = 2048) -> DataFrame:
-    """The ``most`` nearest rows by cosine for each query (query_id, embedding), exact. Queries go to the tasks in blocks of at most ``block`` rows;
-    each task multiplies its batches with a block and keeps its best, and a window keeps the best of all."""
-    number = queries.count()
-    blocks = max(1, -(-number // block))
-    keyed = queries.select("query_id", F.col("embedding").alias("v"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("b"))
+    """The ``most`` nearest rows by cosine for each query (query_id, embedding), exact. The queries are written to the shared folder; each task reads its part of the index once, takes the queries
+    from there in blocks of at most ``block`` rows, multiplies, and keeps its best; a window keeps the best of all. Nothing goes through the driver."""
     id_type, query_type = index.schema[id_col].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    query_kind, out = to_arrow_type(queries.schema["query_id"].dataType), None
-    for i in range(blocks):
-        part = keyed.where(F.col("b") == i).collect()
-        if not part:
-            continue
-        q = np.array([r.v for r in part], np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        names = [r.query_id for r in part]
-
-        def scored(batches: Iterator[pa.RecordBatch], q=q, names=names) -> Iterator[pa.RecordBatch]:
-            best = np.full((len(names), 0), 0.0)
-            ids: np.ndarray = np.empty((len(names), 0), object)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-                norms = np.linalg.norm(flat, axis=1)
-                s = np.round(q @ (flat / np.where(norms == 0, 1, norms)[:, None]).T, 12)
-                own = np.array(b.column(0).to_pylist(), object)
-                best, ids = np.hstack([best, s]), np.hstack([ids, np.broadcast_to(own, s.shape)])
-                if best.shape[1] > most:
-                    order = np.array([sorted(range(best.shape[1]), key=lambda j: (-best[r, j], ids[r, j]))[:most] for r in range(len(names))])
-                    best, ids = np.take_along_axis(best, order, 1), np.take_along_axis(ids, order, 1)
-            if best.shape[1]:
-                width = best.shape[1]
-                yield pa.record_batch([pa.array([n for n in names for _ in range(width)], query_kind), pa.array(ids.reshape(-1).tolist(), b.column(0).type), pa.array(best.reshape(-1))], ["query_id", "id", "score"])
-
-        hits = index.select(F.col(id_col).alias("id"), vector_col).mapInArrow(scored, f"query_id {query_type}, id {id_type}, score double")
-        out = hits if out is None else out.unionByName(hits)
-    if out is None:
-        out = index.sparkSession.createDataFrame([], f"query_id {query_type}, id {id_type}, score double")
-    return ranked(out, most)
+    folder = written_path(queries.select("query_id", F.col("embedding").alias("v")), "queries")
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import dataset, fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        asked = dataset.dataset(root, filesystem=store, format="parquet", exclude_invalid_files=True)
+        held: list[pa.RecordBatch] = []
+
+        def best() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            rows = rows.sort_by(rows.column_names[0])
+            ids, vectors = rows.column(0).combine_chunks(), _unit_rows(rows.column(1).combine_chunks())
+            for q in asked.to_batches(batch_size=block):
+                if q.num_rows:
+                    s = np.round(_unit_rows(q.column("v")) @ vectors.T, 12)
+                    at = _best(s, most)
+                    names = q.column("query_id").take(pa.array(np.repeat(np.arange(q.num_rows), at.shape[1])))
+                    yield pa.record_batch([names, ids.take(pa.array(at.reshape(-1))), pa.array(np.take_along_axis(s, at, 1).reshape(-1))], ["query_id", "id", "score"])
+
+        size = 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                size += b.num_rows
+            if size >= 50_000:  # rows of the index held at once
+                yield from best()
+                held, size = [], 0
+        if held:
+            yield from best()
+
+    hits = index.select(F.col(id_col).alias("id"), vector_col).mapInArrow(scored, f"query_id {query_type}, id {id_type}, score double")
+    return ranked(hits, most)
 
 
 def fused(vector: DataFrame, keyword: DataFrame, most: int, keyword_weight: float = 0.5) -> DataFrame:

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from scholia.functions import text as T
 from scholia.operators import answers as A
 from scholia.operators import predicates as P
 from scholia.operators import retrieval as S
-from scholia.sources.tables import table
+from scholia.operators.ranks import numbered
+from scholia.sources.tables import table, written
 
 from .registry import Registry
 
@@ -43,10 +43,11 @@ def _query_terms(spark, sf_dir):
     return questions(spark, sf_dir).select("query_id", F.explode(T.tokens(F.col("question"))).alias("term"))
 
 
-def keyword_hits(spark, sf_dir, most=20):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scores = S.bm25(S.postings(docs, "doc_id", "text"), S.corpus_stats(docs, "text"), _query_terms(spark, sf_dir))
-    return S.ranked(scores.withColumn("r", F.round("score", 9)), most, "r").drop("r")
+def keyword_hits(spark, sf_dir, most=20, allowed=None):
+    """The best of each question: a small table, written, as most plans use it more than once."""
+    index = S.keyword_index(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    scores = S.bm25(index.posts, index.stats, _query_terms(spark, sf_dir), allowed)
+    return written(S.ranked(scores.withColumn("r", F.round("score", 9)), most, "r").drop("r"), "hits")
 
 
 def vector_hits(spark, sf_dir, most=20):
@@ -123,6 +124,21 @@ def status_fallback(spark, sf_dir):
     return S.with_fallback(strict, loose).select("query_id", "id", "fallback")
 
 
+@R.add(f"""WITH {BM25}, seen AS (SELECT doc_id AS id FROM documents WHERE lang = 'fr' AND doc_id % 10 <> 0), top AS (SELECT query_id, id FROM kw),
+r AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM bm WHERE id IN (SELECT id FROM seen))
+SELECT r.query_id, r.id, r.rank, round(r.score, 6) AS score, top.id IS NOT NULL AS in_open_top FROM r LEFT JOIN top ON top.query_id = r.query_id AND top.id = r.id WHERE r.rank < 20""")
+def keyword_search_filtered(spark, sf_dir):
+    """What a user may see is ranked by itself: 20 active French documents for each question, though few or none of them are among the open top 20."""
+    meta = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 10 == 0, "draft").otherwise("active").alias("doc_status"), F.col("lang").alias("acl"))
+    index = S.keyword_index(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    terms = _query_terms(spark, sf_dir)
+    best = lambda allowed: S.ranked(S.bm25(index.posts, index.stats, terms, allowed).withColumn("r", F.round("score", 9)), 20, "r")
+    seen = best(meta.where(P.compiled({"$and": [{"acl": "fr"}, {"doc_status": "active"}]})).select("id"))
+    top = best(None).select("query_id", "id", F.lit(True).alias("top"))
+    out = seen.join(top, ["query_id", "id"], "left")
+    return out.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), F.col("top").isNotNull().alias("in_open_top"))
+
+
 @R.add("""SELECT doc_id, (lang = 'en') AS eq, (lang <> 'en') AS ne, (lang IN ('de', 'fr')) AS isin, (lang NOT IN ('de', 'fr')) AS nin, (lang = 'en' AND source = 'src1') AS both, (lang = 'de' OR n_chars > 2000) AS either, false AS unknown FROM documents""")
 def predicate_language(spark, sf_dir):
     cases = {"eq": {"lang": "en"}, "ne": {"lang": {"$ne": "en"}}, "isin": {"lang": {"$in": ["de", "fr"]}}, "nin": {"lang": {"$nin": ["de", "fr"]}}, "both": {"$and": [{"lang": "en"}, {"source": {"$eq": "src1"}}]}}
@@ -134,7 +150,10 @@ CHUNKS = "ch AS (SELECT doc_id AS id, source, row_number() OVER (PARTITION BY so
 
 
 def chunks(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", (F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1).alias("chunk_index"), "text")
+    """Documents as chunks of their source, in the order of ids. Only ids are numbered; texts are joined where they are asked for."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    place = written(numbered(docs.select("id", "source"), ["source"], ["id"], "chunk_index").select("id", "source", "chunk_index"), "chunks")
+    return place.join(docs.select("id", "text"), "id")
 
 
 @R.add(f"""WITH {BM25}, {CHUNKS}, h AS (SELECT query_id, id, source, chunk_index, score, rank FROM kw JOIN ch USING (id) WHERE rank < 5),
@@ -206,7 +225,7 @@ def extractive_answer(spark, sf_dir):
 
 
 def _answers(spark, sf_dir):
-    c = _context(spark, sf_dir)
+    c = written(_context(spark, sf_dir), "context")
     grouped = c.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("index", "content"))).alias("context"))
     return A.extractive_answers(c, questions(spark, sf_dir)).join(grouped, "query_id")
 

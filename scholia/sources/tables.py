@@ -1,7 +1,9 @@
-"""Reading the tables of a data folder."""
+"""Reading the tables of a data folder, and tables written to the shared folder on the way."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,3 +21,18 @@ def checkpointed(spark: SparkSession) -> None:
         import tempfile
 
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+
+
+def written_path(df: DataFrame, name: str) -> str:
+    """Writes ``df`` as Parquet to the folder of checkpoints, which all executors share, and tells where."""
+    spark = df.sparkSession
+    checkpointed(spark)
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written and read again, for tables that are used more than once. A lost executor loses nothing of it."""
+    return df.sparkSession.read.schema(df.schema).parquet(written_path(df, name))
