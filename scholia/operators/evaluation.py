@@ -30,3 +30,29 @@ def faithfulness(answer: Column, context: Column) -> Column:
     """Share of the answer's sentences whose first 12 characters stand in the context; null without sentences or context."""
     s = F.filter(F.transform(F.split(F.coalesce(answer, F.lit("")), r"[。！？!?；;\n]+"), T.strip), lambda x: x != "")
     return F.when((F.size(s) > 0) & (F.length(T.strip(context)) > 0), T.let(s, lambda v: F.size(F.filter(v, lambda x: F.contains(context, F.substring(x, 1, 12)))) / F.size(v)))
+
+
+def similarity(pairs: DataFrame, key: str, left: str, right: str) -> DataFrame:
+    """(key, similarity): cosine of the counts of neighbouring characters of two texts a row. Counts are grouped by pair and text, so that long texts are many rows."""
+    grams = lambda c, side: pairs.select(key, F.explode(T.bigram_counts(F.col(c))).alias("g"), F.lit(1).alias(side))
+    both = grams(left, "a").unionByName(grams(right, "b"), allowMissingColumns=True).groupBy(key, "g").agg(F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"))
+    sums = both.groupBy(key).agg(F.sum(F.col("a") * F.col("b")).alias("dot"), F.sqrt(F.sum(F.col("a") * F.col("a"))).alias("na"), F.sqrt(F.sum(F.col("b") * F.col("b"))).alias("nb"))
+    return sums.select(key, F.coalesce(F.try_divide("dot", F.col("na") * F.col("nb")), F.lit(0.0)).alias("similarity"))
+
+
+def report(questions: DataFrame, per: DataFrame, answers: DataFrame, keywords: Column) -> DataFrame:
+    """One row of measures over all ``questions`` (query_id): retrieval from ``per`` (``per_query``), and of ``answers`` (query_id, answer, context, reference, and what ``keywords`` needs) the coverage of
+    keywords, similarity to the reference, faithfulness to the context and the outcome of verification. Means leave out what has no value, as an answer without a reference; a question without hits is a miss."""
+    from . import answers as A
+
+    whole = F.array_join(F.transform("context", lambda x: x["content"]), "\n")
+    rows = answers.withColumns({"coverage": coverage(F.lower("answer"), keywords), "faithfulness": faithfulness(F.col("answer"), whole)})
+    checked = A.verified(rows).select("query_id", "coverage", "faithfulness", "refused", "status", "cited_sentence_ratio", F.size("unsupported_facts").alias("facts"), F.size("invalid_citations").alias("invalid"))
+    like = similarity(answers.where("reference is not null"), "query_id", "answer", "reference")
+    all_ = questions.select("query_id").join(per, "query_id", "left").join(checked, "query_id", "left").join(like, "query_id", "left")
+    mean = lambda c: F.round(F.avg(c), 6)
+    answered = F.col("status").isNotNull() & ~F.col("refused")
+    return all_.agg(
+        F.count("*").alias("samples"), F.round(F.sum(F.coalesce("hit", F.lit(0))) / F.count("*"), 6).alias("retrieval_hit_rate"), mean("coverage").alias("avg_keyword_coverage"), mean("similarity").alias("avg_answer_similarity"),
+        mean("faithfulness").alias("avg_faithfulness"), mean("ndcg").alias("ndcg_at_5"), mean("mrr").alias("mrr"), F.count("status").alias("checked"), mean(F.when(answered, (F.col("status") == "verified").cast("int"))).alias("verified_rate"),
+    )
