@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .mixing import TOKEN, mixed, topic_of
+from .mixing import mixed, topic_of
 
 ITERATIONS, TEMPER = 8, 0.9
-#: Shares of tokens that the mix shall have; sources get their observed shares to the power TEMPER, other topics keep theirs.
+#: Shares of words that the mix shall have; sources get their observed shares to the power TEMPER, other topics keep theirs.
 TARGETS = {"language": {"en": 0.5, "de": 0.2, "es": 0.15, "fr": 0.15}, "topic": {"long": 0.7, "short": 0.1}}
 
 
@@ -30,15 +30,12 @@ goal_{d} AS (SELECT {d}, coalesce(share / sum(share) OVER () * (1.0 - coalesce(s
 
 def _sql() -> str:
     """The same raking as a chain of windows."""
-    bytes_less = lambda characters: f"(strlen(text) - strlen(translate(text, {characters}, '')))"
-    upper = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
-    token = TOKEN.replace("'", "''")
-    steps = [f"""WITH counted AS (SELECT *, coalesce(CAST(len(regexp_extract_all(text, '{token}')) AS BIGINT), 0) AS tokens FROM documents
+    steps = [f"""WITH counted AS (
+  SELECT *, CASE WHEN trim(text) <> '' THEN 2 * strlen(text) - strlen(replace(text, ' ', '')) - strlen(replace(text, chr(10), '')) + 1 ELSE 0 END AS tokens FROM documents
 ), marked AS (
   SELECT doc_id, source, lang, coalesce(source, '') AS s, coalesce(lang, '') AS l,
     CASE WHEN contains(text, 'icensed under') OR contains(text, 'ights reserved') OR contains(text, 'opyright') THEN 'legal' WHEN contains(text, '@') THEN 'contact'
-      WHEN 5 * {bytes_less("'0123456789'")} >= strlen(text) THEN 'figures' WHEN {bytes_less(upper)} > {bytes_less(upper.lower())} THEN 'capitals'
-      WHEN 8 * {bytes_less("chr(10)")} >= tokens THEN 'lines' WHEN tokens < 200 THEN 'short' ELSE 'long' END AS t,
+      WHEN NOT regexp_matches(text, '[a-z]') AND regexp_matches(text, '[A-Z]') THEN 'capitals' WHEN tokens < 200 THEN 'short' ELSE 'long' END AS t,
     tokens, CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 8) AS BIGINT) / 4294967296.0 AS draw FROM counted
 ), cells AS (SELECT s, l, t, sum(tokens) AS n, CAST(sum(tokens) AS DOUBLE) AS w0 FROM marked WHERE tokens > 0 GROUP BY s, l, t)"""]
     for d, name in zip("slt", ("source", "language", "topic")):
