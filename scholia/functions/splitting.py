@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ENDS = "。！？；.!?"
+#: How headings of Markdown and of numbered Chinese chapters look.
 HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*#*\s*$")
 CHINESE_HEADING = re.compile(r"^(?:[一二三四五六七八九十]+[、，,．.]|（[一二三四五六七八九十]+）|\([一二三四五六七八九十]+\))")
 #: Separators by priority.

@@ -80,12 +80,13 @@ def _grams(run: Column, n: int) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Distinct search tokens: ASCII words in lower case, then characters and bigrams of CJK runs but for stop words."""
+    """Distinct search tokens: ASCII words in lower case, then characters and bigrams of CJK runs but for stop words. Texts without CJK are spared its part."""
     t = F.coalesce(c, F.lit(""))
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
     cjk = lambda r: F.filter(F.concat(_grams(r, 1), _grams(r, 2)), lambda x: ~F.array_contains(stop, x))
-    words = F.transform(F.regexp_extract_all(t, F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower)
-    return F.array_distinct(F.concat(words, F.flatten(F.transform(F.regexp_extract_all(t, F.lit("[一-鿿]+"), F.lit(0)), cjk))))
+    words = F.transform(F.array_distinct(F.regexp_extract_all(t, F.lit("[A-Za-z0-9]+"), F.lit(0))), F.lower)
+    runs = F.flatten(F.transform(F.regexp_extract_all(t, F.lit("[一-鿿]+"), F.lit(0)), cjk))
+    return F.array_distinct(F.when(t.rlike("[一-鿿]"), F.concat(words, runs)).otherwise(words))
 
 
 def query_terms(c: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Files as documents: text of unknown encoding, Markdown, CSV and local HTML, by their extension. Other formats need libraries that may be plugged in."""
+"""Files as documents: text of unknown encoding, Markdown, CSV, local HTML and Word, by their extension. Other formats need libraries that may be plugged in."""
 
 from __future__ import annotations
 
@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from scholia.functions import text as T
 
+from . import docx
+
+#: Encodings in the order they are tried, elements of a page that are left out, and elements that make a line.
 ENCODINGS = ("utf-8-sig", "gb18030", "big5")
 SKIPPED = frozenset("script style nav footer header aside".split())
 LINES = frozenset("h1 h2 h3 h4 p li td th pre".split())
@@ -83,14 +86,21 @@ def html_text(text: str) -> str:
 
 PARSERS: dict[str, Callable[[str], str]] = {"txt": str, "md": str, "markdown": str, "csv": table_text, "tsv": table_text, "html": html_text, "htm": html_text}
 
+#: Formats that aren't text, from the bytes of a file.
+BINARY_PARSERS: dict[str, Callable[[bytes], str]] = {"docx": docx.text}
+
 
-def _parsed(parsers: dict[str, Callable[[str], str]]):
+def _parsed(parsers: dict[str, Callable[[str], str]], binary: dict[str, Callable[[bytes], str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, encodings = [], []
             for ext, data in zip(b.column(1).to_pylist(), b.column(2)):
-                text, e = decoded(data.as_py())
-                texts.append(parsers[ext](text) if ext in parsers else "")
+                if ext in binary:
+                    text, e = binary[ext](data.as_py()), None
+                else:
+                    text, e = decoded(data.as_py())
+                    text = parsers[ext](text)
+                texts.append(text)
                 encodings.append(e)
             yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(encodings, pa.string())], ["path", "ext", "content", "encoding"])
 
@@ -101,11 +111,12 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
 
 
-def read_documents(spark: SparkSession, folder: str, recursive: bool = True, parsers: dict[str, Callable[[str], str]] | None = None) -> DataFrame:
-    """(source, path, ext, title, content, encoding) of the files that can be read; others, and empty ones, are left out. ``parsers`` adds formats by extension."""
-    known = PARSERS | (parsers or {})
+def read_documents(spark: SparkSession, folder: str, recursive: bool = True, parsers: dict[str, Callable[[str], str]] | None = None, binary_parsers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+    """(source, path, ext, title, content, encoding) of the files that can be read; others, and empty ones, are left out. ``parsers`` and ``binary_parsers`` add formats by
+    extension, from text and from bytes."""
+    known, binary = PARSERS | (parsers or {}), BINARY_PARSERS | (binary_parsers or {})
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder).select("path", extension(F.col("path")).alias("ext"), "content")
-    docs = files.where(F.col("ext").isin(list(known))).mapInArrow(_parsed(known), "path string, ext string, content string, encoding string")
+    docs = files.where(F.col("ext").isin([*known, *binary])).mapInArrow(_parsed(known, binary), "path string, ext string, content string, encoding string")
     docs = docs.withColumn("source", F.element_at(F.split("path", "/"), -1))
     heading = F.regexp_extract("content", r"(?m)^#{1,6}\s*(.+?)\s*$", 1)
     content = F.when(F.col("ext").isin("md", "markdown"), T.markdown_to_text(F.col("content"))).otherwise(T.clean(F.col("content")))

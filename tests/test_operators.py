@@ -157,6 +157,28 @@ def test_files(spark, tmp_path):
     assert got == {"a.txt": "中文内容", "b.md": "# 标题\n链接", "c.csv": "| a | b |\n| --- | --- |\n| 1 | 2 |", "d.html": "## H\nx y"}
 
 
+def test_word_documents(spark, tmp_path):
+    import zipfile
+
+    from scholia.sources import docx
+
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    p = lambda text, style="": f'<w:p>{f"<w:pPr><w:pStyle w:val={chr(34)}{style}{chr(34)}/></w:pPr>" if style else ""}<w:r><w:t>{text}</w:t></w:r></w:p>'
+    cell = lambda text: f"<w:tc>{p(text)}</w:tc>"
+    table = f"<w:tbl><w:tr>{cell('a')}{cell('b  c')}</w:tr><w:tr>{cell('1')}{cell('2')}</w:tr></w:tbl>"
+    body = f"{p('Title', 'H1')}{p(' ')}<w:p><w:r><w:t>one</w:t><w:tab/><w:t>two &amp; three</w:t></w:r><w:r><w:br/><w:t>four</w:t></w:r></w:p>{table}{p('Part', 'X2')}{p('end')}"
+    styles = f'<w:styles {ns}><w:style w:styleId="H1"><w:name w:val="heading 1"/></w:style><w:style w:styleId="X2"><w:name w:val="标题 2"/></w:style></w:styles>'
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", f"<w:document {ns}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/styles.xml", styles)
+    (tmp_path / "broken.docx").write_bytes(b"no archive")
+    data = (tmp_path / "a.docx").read_bytes()
+    assert docx.blocks(data) == [(1, "Title"), (None, "one\ttwo & three\nfour"), (None, "| a | b c |\n| --- | --- |\n| 1 | 2 |"), (2, "Part"), (None, "end")]
+    assert docx.marked_text(data).startswith("# Title\none") and "## Part" in docx.marked_text(data) and docx.blocks(b"PK") == []
+    got = files.read_documents(spark, str(tmp_path)).collect()
+    assert [(r.source, r.title, r.content.split("\n")[0]) for r in got] == [("a.docx", "a", "Title")]
+
+
 def test_urls(spark):
     rows = [("http://a.example/x", True), ("ftp://a.example", False), ("http://127.0.0.1/", False), ("http://user@10.0.0.1:80/", False), ("https://172.32.0.1", True), ("http://localhost", False)]
     df = spark.createDataFrame([(u, "<title>A &amp; B</title>", w) for u, w in rows], "url string, html string, want boolean")
