@@ -82,6 +82,23 @@ def stream_recent(spark, sf_dir):
     return out.select("key", F.element_at("messages", -1).alias("last_message"))
 
 
+@R.add("""WITH g AS (SELECT user_id, ts, event_type, CASE WHEN epoch_ms(ts) - epoch_ms(lag(ts) OVER w) > 1800000 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g),
+l AS (SELECT *, max(session) OVER (PARTITION BY user_id) AS last, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS n FROM s)
+SELECT CAST(user_id AS VARCHAR) AS key, string_agg(event_type, ',' ORDER BY ts) AS messages FROM l WHERE session = last AND n <= 6 GROUP BY user_id""")
+def stream_recent_window(spark, sf_dir):
+    """The whole window of each user after the stream: six messages at most, none from before a pause of half an hour."""
+    out = run.settled(E.recent_messages(run.stream(spark, sf_dir, "events", 100, "ts"), "user_id", "ts", "event_type"), "update", "key")
+    return out.select("key", F.array_join("messages", ",").alias("messages"))
+
+
+@R.add("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL '30 minutes' THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
+SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 1800000000 AS end_us, count(*) AS n FROM s GROUP BY user_id, session""")
+def stream_sessions(spark, sf_dir):
+    """Sessions by event time, from a stream in the order of time."""
+    out = run.settled(E.sessions(run.stream(spark, sf_dir, "events", 100, "ts"), "user_id", "ts"))
+    return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
 @R.add()
 def stream_circuit_breaker(spark, sf_dir):
     """Calls of each kind, where large values fail."""
