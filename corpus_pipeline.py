@@ -20,24 +20,24 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of linked documents the one of the smallest id."""
+    """Keeps of each group of linked documents the one of the smallest id, once. Null, empty and blank texts are linked with nothing and all stay."""
     common.small_batches(spark)
     return ngram_join.first_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item. Null, empty and blank texts hold none and stay; repeated rows go or stay together."""
     return decontaminate.clean_documents(docs, decontaminate.contamination(docs, common.table(spark, sf_dir, "benchmark")))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents by the raked probability of their source, language and topic."""
+    """Keeps documents by the raked probability of their source, language and topic. Texts without words have no weight and stay; rows of one id are drawn alike."""
     out = mixing.mixed(docs, F.col("source"), F.col("lang"), mixing.topic_of(F.col("text")), F.col("text"), F.col("doc_id"))
     return out.where("__kept").select(*docs.columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deals the documents to 16 shards of near equal bytes."""
+    """Deals the documents to 16 shards of near equal bytes. A null text has size 1, as an empty one; repeated rows have slots of their own."""
     return sharding.sharded(docs).select("doc_id", "lang", "source", "n_chars", F.col("__size").alias("size"), F.col("__shard").alias("shard"), F.col("__slot").cast("long").alias("slot"))
 
 
