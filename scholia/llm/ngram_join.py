@@ -14,7 +14,9 @@ inside one component that neither round checks can't change a component.
 
 Defined cases: null, empty and blank texts have an empty set and link with nothing; rows equal in words are one class;
 rows without an id take part, and a component's id is the smallest id that isn't null; fewer words than a shingle make one
-shingle of the whole sequence. Shingles and classes are held by 64-bit hashes.
+shingle of the whole sequence; very long texts are cut into shingles whole; rows that are equal, also in their id, are one class, and of them the first by (id, row key) stays; an empty table gives an
+empty result. Columns besides the id and the text, whatever their names, play no part in the join and are returned by ``first_of_each``; names that start with two underscores are its own. Shingles and
+classes are held by 64-bit hashes (of 3 * 10^10 texts some 25 share a class by chance), rows by 128-bit keys.
 """
 
 from __future__ import annotations

@@ -6,8 +6,8 @@ are those of its pre-tokens: each is a run of spaces with what follows it up to
 of each distinct one are counted once. The most frequent ones (a bounded list) go to every task, which sums them per document;
 the others are joined by the pre-token to each document's frequencies. No ids are made.
 
-Defined cases: null and empty texts have no token; very long pre-tokens are one key as any other; repeated rows each get their count; an
-empty table gives an empty result.
+Defined cases: null and empty texts have no token; very long texts are counted whole, and very long pre-tokens are one key as any other; pre-tokens equally frequent are sent or joined alike; repeated rows
+(also without an id) each get their count; an empty table gives an empty result; columns besides the id and the text, whatever their names, play no part.
 """
 
 from __future__ import annotations

@@ -152,3 +152,19 @@ def test_contamination(rows):
     got = by_id(rows[2][10])
     assert got[900].contaminated and got[900].item_ids == [1] and not got[900].re_parameterised and got[900].cover == 1.0
     assert not any(r.contaminated for r in rows[2][10] if r.doc_id in (1, 2, 3, 5, 901, 903))
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_against_sql(spark, name):
+    import duckdb
+
+    folder = "/root/testdata/sf0.001"
+    other = duckdb.connect()
+    for table in ("documents", "pages", "benchmark"):
+        other.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    df = queries.QUERIES[name](spark, folder)
+    rel = other.sql(queries.ORACLES[name])
+    columns = sorted(df.columns)
+    assert sorted(rel.columns) == columns
+    got = sorted(map(repr, (tuple(r) for r in df.select(*columns).collect())))
+    assert got == sorted(map(repr, rel.select(*columns).fetchall()))

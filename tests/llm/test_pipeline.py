@@ -90,3 +90,22 @@ def test_held_out_remainder(spark):
     rows = [(i, zlib.crc32(str(i).encode()) % 4 == 2) for i in range(100)]
     df = spark.createDataFrame(rows, "doc_id bigint, want boolean")
     assert df.where(q_langid.held_out() != df.want).count() == 0
+
+
+def ids(df):
+    return sorted((r.doc_id is None, r.doc_id or 0) for r in df.collect())
+
+
+def test_stages_on_odd_rows(spark, odd, none):
+    """Nulls, empty and very long texts, repeated rows and columns with the names that stages might use."""
+    stages = dict(P.STAGES)
+    docs = odd.withColumnsRenamed({"k": "shard", "n": "slot", "cid": "template", "key": "component"})
+    for name, f in P.STAGES[:-1]:
+        assert f(spark, docs, SF).columns == docs.columns and f(spark, none, SF).count() == 0, name
+    assert ids(stages["ngram_jaccard"](spark, docs, SF)) == [(False, i) for i in range(1, 8)] + [(True, 0)]
+    assert ids(stages["decontamination"](spark, docs, SF)) == ids(docs)
+    kept = ids(stages["mixing"](spark, docs, SF))
+    assert {(False, 2), (False, 3), (False, 4)} <= set(kept) <= set(ids(docs)) and kept.count((False, 1)) in (0, 2)
+    out = stages["sharding"](spark, docs, SF).collect()
+    assert len(out) == 10 and {r["size"] for r in out if r.doc_id in (2, 3)} == {1}
+    assert all(sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out))) for s in {r["shard"] for r in out})
