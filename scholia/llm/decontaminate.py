@@ -44,12 +44,15 @@ _LINE = "\x02"
 
 class _Words:
     """What is known of words, by number: kind (-1: end of a line, -2: nothing), hash of the plain word, whether a sentence ends after it, whether a mark follows it, and the number of the unit
-    glued to it or -1. The first ``remember`` words are kept."""
+    glued to it or -1. The first ``remember`` words are kept, until ``forget``: a worker outlives its task."""
 
-    def __init__(self, remember: int = 300_000):
+    def __init__(self, remember: int = 150_000):
         self.remember = remember
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.table = np.zeros(1 << 16, [("kind", "i1"), ("plain", "u8"), ("ends", "?"), ("mark", "?"), ("glued", "i8")])
+        self.table = np.zeros(1 << 14, [("kind", "i1"), ("plain", "u8"), ("ends", "?"), ("mark", "?"), ("glued", "i4")])
 
     def _row(self, word: str) -> tuple:
         core = word.strip(EDGE)
@@ -232,17 +235,20 @@ def _places(kinds: list[tuple[int, int]], wanted: KeyFilter | None):
     """Hash and place of the documents' windows, of every channel and width in the benchmark; without those that ``wanted`` tells to match nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            tokens = {c: typed_many(b.column(1))[::3] if c == 0 else plain_many(b.column(1)) for c in {c for c, _ in kinds}}
-            for channel, width in kinds:
-                h, edges = tokens[channel]
-                x = windows_of(h, width, channel)
-                at = np.flatnonzero(wanted.holds(x)) if wanted is not None else np.arange(len(x))
-                row = np.searchsorted(edges, at, side="right") - 1
-                whole = at + width <= edges[row + 1]  # windows that lie in one text
-                at, row = at[whole], row[whole]
-                if len(at):
-                    yield pa.record_batch([b.column(0).take(pa.array(row)), _signed(x[at]), pa.array(at - edges[row], pa.int32())], ["k", "hash", "pos"])
+        for whole_batch in batches:
+            for start in range(0, whole_batch.num_rows, 200):
+                b = whole_batch.slice(start, 200)
+                tokens = {c: typed_many(b.column(1))[::3] if c == 0 else plain_many(b.column(1)) for c in {c for c, _ in kinds}}
+                for channel, width in kinds:
+                    h, edges = tokens[channel]
+                    x = windows_of(h, width, channel)
+                    at = np.flatnonzero(wanted.holds(x)) if wanted is not None else np.arange(len(x))
+                    row = np.searchsorted(edges, at, side="right") - 1
+                    whole = at + width <= edges[row + 1]  # windows that lie in one text
+                    at, row = at[whole], row[whole]
+                    if len(at):
+                        yield pa.record_batch([b.column(0).take(pa.array(row)), _signed(x[at]), pa.array(at - edges[row], pa.int32())], ["k", "hash", "pos"])
+        _WORDS.forget()
 
     return run
 

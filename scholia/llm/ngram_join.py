@@ -151,6 +151,7 @@ def _surveyed(shingle: int, flush: int = 1_500_000):
             yield pa.record_batch([pa.array([True] * len(cids)), b.column(0), b.column(1), pa.array(cids, pa.int64()), pa.array(ns, pa.int32()), none, none, pa.array(sigs, pa.binary())], names)
         if seen:
             yield repeated()
+        _WORDS.clear()  # a worker outlives its task
 
     return run
 
@@ -176,6 +177,7 @@ def _posted(shingle: int, frequent: np.ndarray, counts: np.ndarray, light_to: in
                 if keys:
                     sizes = [len(x) for x in keys]
                     yield pa.record_batch([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.repeat(np.array(cids, np.int64), sizes)), pa.array(np.concatenate(places).astype(np.int32))], ["key", "cid", "pos"])
+        _WORDS.clear()
 
     return run
 
