@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from scholia.functions import splitting as X
 from scholia.functions import text as T
 
 
@@ -27,6 +28,53 @@ def without_breadcrumb(text: Column) -> Column:
     return F.when(s.rlike("(?s)^【.*】"), F.regexp_replace(s, r"(?s)^【[^】]*】\s*", "")).otherwise(s)
 
 
+def entry_note(c: Column, least: int = 5) -> Column:
+    """For a section that lists entries numbered [n] without a gap: how many there are and from which to which; else empty."""
+    numbers = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?m)^\[(\d{1,3})\]"), F.lit(1)), lambda x: x.cast("int"))
+    n, text = T.entry_count(c, least), lambda x: x.cast("string")
+    return F.when(n.isNull(), "").otherwise(F.concat(F.lit("本节为编号条目列表，共"), text(n), F.lit("条（["), text(F.array_min(numbers)), F.lit("]-["), text(F.array_max(numbers)), F.lit("]）")))
+
+
+def enriched(files: DataFrame, default_acl: str = "*", default_status: str = "active") -> DataFrame:
+    """Sections of Markdown files (source, raw, updated_at) with what the gate and the index ask for: title, groups, status, department and dates from the block of metadata at the top, else from the first
+    heading or the file's name; heading path, breadcrumb and chunk prefix; the number of entries of a list. Sections are numbered from 1 as pages; blank ones are left out."""
+    f = files.withColumn("__f", T.frontmatter(F.coalesce("raw", F.lit(""))))
+    get = lambda *names: F.coalesce(*[F.try_element_at("__f.meta", F.lit(n)) for n in names])
+    named = F.regexp_replace("source", r"\.[^.]+$", "")
+    groups = T.acl(get("permissions", "access", "acl"))
+    status = F.when(get("status").isNull(), T.status(F.lit(default_status))).otherwise(T.status(get("status")))
+    f = f.withColumns({"__s": X.section_column(F.col("__f.body")), "acl": F.when(groups == "*", T.acl(F.lit(default_acl))).otherwise(groups), "doc_status": status, "department": F.nullif(F.coalesce(get("department"), F.lit("")), F.lit("")), "valid_until": T.any_date(get("valid_until", "expires_at"))})
+    first = F.when(F.size(F.get("__s", 0)["path"]) > 0, F.get("__s", 0)["title"])
+    f = f.withColumn("title", F.coalesce(F.nullif(F.coalesce(get("title"), F.lit("")), F.lit("")), first, named))
+    out = f.select("source", "title", "acl", "doc_status", "department", "valid_until", "updated_at", F.posexplode("__s").alias("__i", "s")).where(T.strip(F.col("s.text")) != "")
+    out = out.withColumns({"page": F.col("__i") + 1, "content": F.col("s.text"), "path": F.col("s.path"), "note": entry_note(F.col("s.text"))})
+    note = F.when(F.col("note") != "", F.concat(F.lit("｜"), "note")).otherwise("")
+    last = F.when(F.size("path") > 0, F.element_at("path", -1)).otherwise("")
+    return out.withColumns({"breadcrumb": F.concat(breadcrumb(F.col("title"), F.col("path")), note), "chunk_prefix": F.concat(last, note)}).drop("__i", "s")
+
+
+def demo_questions(sections: DataFrame, keywords: int = 4) -> DataFrame:
+    """(source, page, question, reference_answer, expected_sources, expected_keywords): an evaluation item for each section (source, page, title, content): its first paragraph answers, and runs of two to six
+    CJK characters of it, or the title, are expected."""
+    first = F.substring_index("content", "\n\n", 1)
+    words = F.array_distinct(F.regexp_extract_all(first, F.lit("[一-鿿]{2,6}"), F.lit(0)))
+    question = F.when(F.col("page") > 1, F.concat(F.lit("请用一句话介绍「"), "title", F.lit("」的内容。"))).otherwise("请用一句话介绍本文的主题。")
+    expected = F.when(F.size(words) > 0, F.slice(words, 1, keywords)).otherwise(F.array("title"))
+    return sections.select("source", "page", question.alias("question"), F.substring(first, 1, 200).alias("reference_answer"), F.array("source").alias("expected_sources"), expected.alias("expected_keywords"))
+
+
+def archive_index(reports: DataFrame, by: str, order: str, most: int = 50) -> DataFrame:
+    """The last ``most`` reports of each archive, newest first by ``place``, without the answers they quote."""
+    w = W.partitionBy(by).orderBy(F.desc(order))
+    return reports.drop("answer").withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+
+
+def version_list(summaries: DataFrame) -> DataFrame:
+    """(doc, versions, latest): versions of each document in order."""
+    g = summaries.groupBy("doc").agg(F.array_sort(F.collect_set("version")).alias("versions"))
+    return g.withColumn("latest", F.element_at("versions", -1))
+
+
 def section_key(source: Column, page: Column) -> Column:
     """The id that the chunks of one section share."""
     return F.substring(F.md5(F.concat_ws("|", source, page.cast("string"))), 1, 16)

@@ -93,6 +93,50 @@ def parent_chunks(spark, sf_dir):
     return c.select("id", "parent_id", F.md5("parent_text").alias("parent_md5"), "breadcrumb", "chunk_prefix", F.md5(shown).alias("prefixed_md5"), F.md5(I.without_breadcrumb(shown)).alias("bare_md5"))
 
 
+ENRICHED = """d AS (SELECT doc_id, source AS part, lang, regexp_replace(text, '(^|\\n)#', '\\1 ', 'g') AS t FROM documents WHERE trim(text, ' ' || chr(10)) <> ''),
+s AS (SELECT *, 1 AS page, ['Part ' || part] AS path, '# Part ' || part || chr(10) || 'intro' AS content, '' AS note FROM d UNION ALL SELECT *, 2, ['Part ' || part, lang], '## ' || lang || chr(10) || rtrim(t, chr(10)), '' FROM d
+ UNION ALL SELECT *, 3, ['Part ' || part, 'List'], '## List' || chr(10) || '[1] a' || chr(10) || '[2] b' || chr(10) || '[3] c' || chr(10) || '[4] d' || chr(10) || '[5] e', '本节为编号条目列表，共5条（[1]-[5]）' FROM d WHERE doc_id % 2 = 0),
+e AS (SELECT 'doc' || doc_id || '.md' AS source, doc_id, page, path, content, note, CASE WHEN doc_id % 3 = 0 THEN 'Title ' || doc_id ELSE 'Part ' || part END AS title FROM s)"""
+
+
+def _enriched(spark, sf_dir):
+    d = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").where("trim(BOTH ' \\n' FROM text) <> ''")
+    lines = F.concat(F.when(d % 3 == 0, F.concat(F.lit("title: Title "), d.cast("string"), F.lit("\n"))).otherwise(""), F.when(d % 4 == 0, "access: hr, it\n").otherwise(""), F.when(d % 5 == 0, "status: 草稿\n").otherwise(""), F.when(d % 7 == 0, "expires_at: 2027/3/5\n").otherwise(""), F.lit("department: d\n"))
+    entries = F.when(d % 2 == 0, "\n## List\n[1] a\n[2] b\n[3] c\n[4] d\n[5] e").otherwise("")
+    body = F.concat(F.lit("# Part "), "source", F.lit("\nintro\n## "), "lang", F.lit("\n"), F.regexp_replace("text", r"(^|\n)#", "$1 "), entries)
+    return I.enriched(docs.select(F.concat(F.lit("doc"), d.cast("string"), F.lit(".md")).alias("source"), F.concat(F.lit("---\n"), lines, F.lit("---\n"), body).alias("raw"), F.lit("2026-01-01 00:00:00").alias("updated_at")))
+
+
+@R.add(f"""WITH {ENRICHED} SELECT source, page, title, CASE WHEN doc_id % 4 = 0 THEN 'hr,it' ELSE '*' END AS acl, CASE WHEN doc_id % 5 = 0 THEN 'draft' ELSE 'active' END AS doc_status, CASE WHEN doc_id % 7 = 0 THEN '2027-03-05' END AS valid_until, 'd' AS department,
+ array_to_string(CASE WHEN path[1] = title THEN path ELSE list_concat([title], path) END, ' > ') || CASE WHEN note = '' THEN '' ELSE '｜' || note END AS breadcrumb, path[-1] || CASE WHEN note = '' THEN '' ELSE '｜' || note END AS chunk_prefix, md5(rtrim(content, chr(10) || ' ')) AS content_md5 FROM e""")
+def enriched_sections(spark, sf_dir):
+    """Documents as Markdown files with a block of metadata, two headings, and a list of entries in every second one."""
+    out = _enriched(spark, sf_dir)
+    return out.select("source", "page", "title", "acl", "doc_status", F.col("valid_until").cast("string").alias("valid_until"), "department", "breadcrumb", "chunk_prefix", F.md5(F.rtrim(F.col("content"), F.lit("\n "))).alias("content_md5"))
+
+
+@R.add(f"""WITH {ENRICHED} SELECT source, page, CASE WHEN page > 1 THEN '请用一句话介绍「' || path[-1] || '」的内容。' ELSE '请用一句话介绍本文的主题。' END AS question, md5(rtrim(split_part(content, chr(10) || chr(10), 1)[1:200], chr(10) || ' ')) AS answer_md5, path[-1] AS keywords FROM e""")
+def demo_evaluation_set(spark, sf_dir):
+    sections = _enriched(spark, sf_dir).withColumn("title", F.element_at("path", -1))
+    q = I.demo_questions(sections)
+    return q.select("source", "page", "question", F.md5(F.rtrim(F.col("reference_answer"), F.lit("\n "))).alias("answer_md5"), F.array_join("expected_keywords", ",").alias("keywords"))
+
+
+@R.add("SELECT user_id AS archive, event_id, place FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS place FROM events) WHERE place <= 50")
+def evaluation_archive(spark, sf_dir):
+    """Events as reports of an archive."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("archive"), "event_id", F.col("props").alias("answer"))
+    return I.archive_index(e, "archive", "event_id").select("archive", "event_id", F.col("place").cast("long").alias("place"))
+
+
+@R.add(f"""WITH {data_queries.CHUNKS}, v AS (SELECT DISTINCT 'kb' || (doc_id % 100) AS doc, doc_id // 100 + 1 AS version FROM ch) SELECT doc, string_agg(version, ',' ORDER BY version) AS versions, max(version) AS latest FROM v GROUP BY doc""")
+def version_listing(spark, sf_dir):
+    c = data_queries.chunks(spark, sf_dir).select(F.concat(F.lit("kb"), (F.col("doc_id") % 100).cast("string")).alias("doc"), (F.floor(F.col("doc_id") / 100) + 1).alias("version"), "text")
+    v = I.version_list(I.version_summary(c))
+    return v.select("doc", F.array_join(F.transform("versions", lambda x: x.cast("string")), ",").alias("versions"), "latest")
+
+
 @R.add(f"WITH {retrieval_queries.BM25}, {SECTIONS} SELECT query_id, id, md5('doc' || id || '|1')[1:16] AS parent_id, md5(content[1:2000]) AS parent_md5 FROM kw LEFT JOIN se ON se.doc_id = kw.id AND page = 1 WHERE rank < 5 AND content IS NOT NULL")
 def parent_attach(spark, sf_dir):
     """Hits with the first section of their document."""
