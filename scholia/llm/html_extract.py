@@ -187,8 +187,8 @@ def blocks_of(page: str) -> tuple[str, list[tuple[int, str, int, int]]]:
     labels, parents = ["#page"], [-1]
     found: list[list] = []  # node, pieces, marks, letters in links, element
     leaves: dict[tuple[int, str], int] = {}
-    counts: dict[int, list[int]] = {}  # of each element: letters, those in links, links
-    order: list[Node] = []
+    order, order_of, stack = [root], [root], []  # all blocks, the open ones, and what is around them
+    counts = {id(root): [0, 0, 0]}  # of each block: letters, those in links, links
     held: list[str] = []
     linked = 0
     owner, marks, element = 0, 0, root
@@ -200,7 +200,7 @@ def blocks_of(page: str) -> tuple[str, list[tuple[int, str, int, int]]]:
             found.append([owner, text, marks, min(linked, len(text)), element])
         held, linked = [], 0
 
-    work: list = [(root, 0, 0, False)]
+    work: list = [(c, 0, 0, False) for c in reversed(root.children)]
     while work:
         item, node, flags, in_link = work.pop()
         if isinstance(item, str):
@@ -225,34 +225,28 @@ def blocks_of(page: str) -> tuple[str, list[tuple[int, str, int, int]]]:
             held.append(" ")
             continue
         in_link = in_link or item.tag == "a"
-        if item is root:
-            order_of, stack = [root], []
-            counts[id(root)] = [0, 0, 0]
-            order.append(root)
-        else:
-            if item.tag == "a":
-                counts[id(order_of[-1])][2] += 1
-            apart = named_apart(item)
-            block = apart or item.tag in BLOCKS
-            flags |= (IN_APART if apart else 0) | (HEADER if item.tag == "header" else 0) | (TITLE if item.tag == "h1" else 0)
-            if block:
-                flush()
-                label = (f"{item.tag}.{item.name.split()[0]}" if item.name else item.tag) + ("!" if apart else "")
-                leaf = (node, label) if item.tag in LEAVES else None
-                if leaf in leaves:
-                    node = leaves[leaf]
-                else:
-                    labels.append(label)
-                    parents.append(node)
-                    node = len(labels) - 1
-                    if leaf:
-                        leaves[leaf] = node
-                stack.append((owner, marks, element))
-                owner, marks, element = node, flags, item
-                order_of.append(item)
-                order.append(item)
-                counts[id(item)] = [0, 0, 0]
-                work.append((None, 0, 0, False))
+        if item.tag == "a":
+            counts[id(order_of[-1])][2] += 1
+        apart = named_apart(item)
+        flags |= (IN_APART if apart else 0) | (HEADER if item.tag == "header" else 0) | (TITLE if item.tag == "h1" else 0)
+        if apart or item.tag in BLOCKS:
+            flush()
+            label = (f"{item.tag}.{item.name.split()[0]}" if item.name else item.tag).rstrip("!") + ("!" if apart else "")
+            leaf = (node, label) if item.tag in LEAVES else None
+            if leaf in leaves:
+                node = leaves[leaf]
+            else:
+                labels.append(label)
+                parents.append(node)
+                node = len(labels) - 1
+                if leaf:
+                    leaves[leaf] = node
+            stack.append((owner, marks, element))
+            owner, marks, element = node, flags, item
+            order_of.append(item)
+            order.append(item)
+            counts[id(item)] = [0, 0, 0]
+            work.append((None, 0, 0, False))
         work += [(c, node, flags, in_link) for c in reversed(item.children)]
     flush()
     # a node that repeats may get children late: number the shape in preorder
