@@ -46,7 +46,7 @@ class _Words:
     """What is known of words, by number: kind (-1: end of a line, -2: nothing), hash of the plain word, whether a sentence ends after it, whether a mark follows it, and the number of the unit
     glued to it or -1. The first ``remember`` words are kept, until ``forget``: a worker outlives its task."""
 
-    def __init__(self, remember: int = 150_000):
+    def __init__(self, remember: int = 100_000):
         self.remember = remember
         self.forget()
 
@@ -249,6 +249,7 @@ def _places(kinds: list[tuple[int, int]], wanted: KeyFilter | None):
                     if len(at):
                         yield pa.record_batch([b.column(0).take(pa.array(row)), _signed(x[at]), pa.array(at - edges[row], pa.int32())], ["k", "hash", "pos"])
         _WORDS.forget()
+        pa.default_memory_pool().release_unused()
 
     return run
 

@@ -227,7 +227,7 @@ def label_texts(model: LanguageModel, texts: list[str | None], penalty: float, w
     return out
 
 
-def identify(model: LanguageModel, text: Column | str = "text", switch_penalty: float = 6.0, with_spans: bool = True, rows_at_once: int = 250) -> Column:
+def identify(model: LanguageModel, text: Column | str = "text", switch_penalty: float = 6.0, with_spans: bool = True, rows_at_once: int = 120) -> Column:
     """A struct per text: lang_pred, score (share of its letters in spans of that language), n_spans, and spans (character
     offsets into the lower-cased text; words of no learned script are ``und``)."""
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("n_spans", pa.int32()), ("spans", pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))])
@@ -237,6 +237,7 @@ def identify(model: LanguageModel, text: Column | str = "text", switch_penalty:
         got = []
         for i in range(0, len(texts), rows_at_once):
             got += label_texts(model, texts[i : i + rows_at_once].to_pylist(), switch_penalty, with_spans)
+        pa.default_memory_pool().release_unused()
         return pa.array(got, kind)
 
     return udf(text)
