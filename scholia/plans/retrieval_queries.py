@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import functions as F
 
 from scholia.functions import text as T
 from scholia.operators import answers as A
+from scholia.operators import keyword_store as K
 from scholia.operators import predicates as P
 from scholia.operators import retrieval as S
 from scholia.operators.ranks import numbered
-from scholia.sources.tables import table, written
+from scholia.sources.tables import shared_folder, table, version, written
 
 from .registry import Registry
 
@@ -43,11 +47,16 @@ def _query_terms(spark, sf_dir):
     return questions(spark, sf_dir).select("query_id", F.explode(T.tokens(F.col("question"))).alias("term"))
 
 
+def saved_index(spark, sf_dir):
+    """The saved keyword index of a folder's documents, built where there is none of these files."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    files = version(docs)
+    return K.ensured(docs, "doc_id", "text", f"{shared_folder(spark)}/keywords-{hashlib.sha256(f'{sf_dir} {files}'.encode()).hexdigest()[:32]}", files)
+
+
 def keyword_hits(spark, sf_dir, most=20, allowed=None):
     """The best of each question: a small table, written, as most plans use it more than once."""
-    index = S.keyword_index(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
-    scores = S.bm25(index.posts, index.stats, _query_terms(spark, sf_dir), allowed)
-    return written(S.ranked(scores.withColumn("r", F.round("score", 9)), most, "r").drop("r"), "hits")
+    return written(saved_index(spark, sf_dir).search(_query_terms(spark, sf_dir), most, allowed), "hits")
 
 
 def vector_hits(spark, sf_dir, most=20):
@@ -130,15 +139,29 @@ SELECT r.query_id, r.id, r.rank, round(r.score, 6) AS score, top.id IS NOT NULL
 def keyword_search_filtered(spark, sf_dir):
     """What a user may see is ranked by itself: 20 active French documents for each question, though few or none of them are among the open top 20."""
     meta = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 10 == 0, "draft").otherwise("active").alias("doc_status"), F.col("lang").alias("acl"))
-    index = S.keyword_index(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
-    terms = _query_terms(spark, sf_dir)
-    best = lambda allowed: S.ranked(S.bm25(index.posts, index.stats, terms, allowed).withColumn("r", F.round("score", 9)), 20, "r")
-    seen = best(meta.where(P.compiled({"$and": [{"acl": "fr"}, {"doc_status": "active"}]})).select("id"))
-    top = best(None).select("query_id", "id", F.lit(True).alias("top"))
+    index, terms = saved_index(spark, sf_dir), _query_terms(spark, sf_dir)
+    seen = index.search(terms, 20, meta.where(P.compiled({"$and": [{"acl": "fr"}, {"doc_status": "active"}]})).select("id"))
+    top = index.search(terms, 20).select("query_id", "id", F.lit(True).alias("top"))
     out = seen.join(top, ["query_id", "id"], "left")
     return out.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), F.col("top").isNotNull().alias("in_open_top"))
 
 
+CHANGED = BM25.replace("FROM documents", "FROM changed_documents")
+
+
+@R.add(f"""WITH changed_documents AS (SELECT doc_id, CASE WHEN doc_id % 10 = 4 THEN text || ' amended by the river' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 5),
+{CHANGED} SELECT query_id, id, rank, round(score, 6) AS score FROM kw""")
+def keyword_index_changes(spark, sf_dir):
+    """A saved index without some documents, to which these are added, of which others are replaced and others taken out, is searched as one built anew of what is left."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    start = K.built(docs.where("doc_id % 10 <> 3"), "doc_id", "text", f"{shared_folder(spark)}/keywords-{uuid.uuid4().hex}")
+    added = K.changed(start, docs.where("doc_id % 10 = 3"), "doc_id", "text")
+    amended = docs.where("doc_id % 10 = 4").withColumn("text", F.concat("text", F.lit(" amended by the river")))
+    index = K.changed(added, amended, "doc_id", "text", deleted=docs.where("doc_id % 10 = 5").select(F.col("doc_id").alias("id")))
+    out = K.opened(spark, index.path).search(_query_terms(spark, sf_dir), 20)
+    return out.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
 @R.add("""SELECT doc_id, (lang = 'en') AS eq, (lang <> 'en') AS ne, (lang IN ('de', 'fr')) AS isin, (lang NOT IN ('de', 'fr')) AS nin, (lang = 'en' AND source = 'src1') AS both, (lang = 'de' OR n_chars > 2000) AS either, false AS unknown FROM documents""")
 def predicate_language(spark, sf_dir):
     cases = {"eq": {"lang": "en"}, "ne": {"lang": {"$ne": "en"}}, "isin": {"lang": {"$in": ["de", "fr"]}}, "nin": {"lang": {"$nin": ["de", "fr"]}}, "both": {"$and": [{"lang": "en"}, {"source": {"$eq": "src1"}}]}}
