@@ -1,7 +1,7 @@
 """Weighted acyclic automata over words: counts of phrases of up to three words.
 
 A path of labels spells a phrase; the arc that ends it carries its count (0 where only longer phrases are counted). States are made from sorted phrases, and a state is frozen as soon as the next phrase
-leaves its prefix: equal states (the same labels with the same counts to the same states) are one. Labels are the words' places in a list of words that each automaton holds.
+leaves its prefix: of the states frozen together, equal ones (the same labels with the same counts to the same states) are one. Labels are the words' places in a list of words that each automaton holds.
 """
 
 from __future__ import annotations
@@ -31,85 +31,97 @@ class Phrases:
         two = self.pair_count >= least
         two[self.pair[three]] = True
         place = np.cumsum(two) - 1
-        return Phrases(self.words, self.first[two], self.second[two], self.pair_count[two], place[self.pair[three]], self.third[three], self.count[three])
+        return Phrases(self.words, self.first[two], self.second[two], self.pair_count[two], place[self.pair[three]], self.third[three], self.count[three]).slim()
 
+    def slim(self) -> Phrases:
+        """The same with no words that aren't used."""
+        used = np.zeros(len(self.words), bool)
+        for a in (self.first, self.second, self.third):
+            used[a] = True
+        place = np.cumsum(used) - 1
+        return Phrases([self.words[i] for i in np.flatnonzero(used).tolist()], place[self.first], place[self.second], self.pair_count, self.pair, place[self.third], self.count)
 
-def summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The sorted distinct codes, the sums of their counts, and each code's place among them."""
-    distinct, place = np.unique(codes, return_inverse=True)
-    order = np.argsort(place, kind="stable")
-    starts = np.searchsorted(place[order], np.arange(len(distinct)))
-    return distinct, np.add.reduceat(counts[order], starts) if len(counts) else counts, place
 
-
-class Register:
-    """Frozen states of one depth, equal ones once: (labels, counts, targets) of their arcs in a row."""
-
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.arcs: list[np.ndarray] = []
-        self.lengths: list[int] = []
-
-    def freeze(self, starts: np.ndarray, arcs: np.ndarray) -> np.ndarray:
-        """The numbers of the states whose arcs are the rows of ``arcs`` from each start to the next. Those of one arc, most of all, are told apart together."""
-        ends = np.append(starts[1:], len(arcs))
-        out = np.zeros(len(starts), np.int64)
-        one = np.flatnonzero(ends - starts == 1)
-        if len(one):
-            single = np.ascontiguousarray(arcs[starts[one]])
-            keys = single.view([("", arcs.dtype)] * arcs.shape[1]).ravel()
-            _, at, which = np.unique(keys, return_index=True, return_inverse=True)
-            out[one] = np.array([self._number(single[i : i + 1]) for i in at], np.int64)[which]
-        for i in np.flatnonzero(ends - starts != 1):
-            out[i] = self._number(arcs[starts[i] : ends[i]])
-        return out
-
-    def _number(self, state: np.ndarray) -> int:
-        key = state.tobytes()
-        found = self.known.get(key)
-        if found is None:
-            found = self.known[key] = len(self.lengths)
-            self.arcs.append(state)
-            self.lengths.append(len(state))
-        return found
-
-    def columns(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        return np.array(self.lengths, np.int64), np.concatenate(self.arcs) if self.arcs else np.empty((0, width), np.int64)
+def summed(codes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct codes, the sums of their counts (each 1 where none are given), and each code's place among them."""
+    order = np.argsort(codes)
+    arranged = codes[order]
+    starts = _starts(arranged)
+    place = np.empty(len(codes), np.int64)
+    place[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(codes))))
+    if counts is None:
+        return arranged[starts], np.diff(np.append(starts, len(codes))), place
+    return arranged[starts], np.add.reduceat(counts[order], starts) if len(codes) else counts, place
 
 
 def _starts(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
 
 
-def build(p: Phrases, step: int = 1 << 16) -> bytes:
-    """The automaton of sorted phrases as bytes. Pairs are taken ``step`` or more at a time, up to the end of a first word, and their states frozen."""
-    thirds, seconds, roots = Register(), Register(), []
-    begin = 0
+def _numbered(*columns: np.ndarray) -> np.ndarray:
+    """A number for each row of the columns, equal for equal rows."""
+    out = columns[0]
+    for c in columns[1:]:
+        _, _, out = summed(out)
+        out = out * (int(c.max(initial=0)) + 1) + c
+    return summed(out)[2]
+
+
+class Register:
+    """Frozen states of one depth, equal ones once: the columns of their arcs (label, count, target) in a row."""
+
+    def __init__(self, width: int) -> None:
+        self.parts: list[list[np.ndarray]] = [[] for _ in range(width)]
+        self.lengths: list[np.ndarray] = []
+        self.states = 0
+
+    def freeze(self, starts: np.ndarray, *arcs: np.ndarray) -> np.ndarray:
+        """The numbers of the states whose arcs are the rows from each start to the next. States are told apart arc by arc: those that are equal up to an arc get one number, and so on to their ends."""
+        lengths = np.diff(np.append(starts, len(arcs[0])))
+        arc = _numbered(*arcs)
+        number = lengths.copy()
+        most = int(lengths.max(initial=0))
+        longer, size = np.arange(len(starts)), int(arc.max(initial=0)) + 1
+        seen = most + 1
+        for j in range(most):
+            longer = longer[lengths[longer] > j]
+            if not len(longer):
+                break
+            distinct, alike, place = summed(number[longer] * size + arc[starts[longer] + j])
+            number[longer] = seen + place  # above those of states that have ended
+            seen += len(distinct)
+            longer = longer[alike[place] > 1]  # a state that is like no other needn't be looked at to its end
+        _, first, which = np.unique(number, return_index=True, return_inverse=True)
+        self.lengths.append(lengths[first])
+        at = spread(starts[first], lengths[first])
+        for part, a in zip(self.parts, arcs):
+            part.append(a[at])
+        self.states += len(first)
+        return which + (self.states - len(first))
+
+    def columns(self) -> tuple[np.ndarray, ...]:
+        none = np.empty(0, np.int64)
+        return tuple(np.concatenate(x) if x else none for x in (self.lengths, *self.parts))
+
+
+def build(p: Phrases, step: int = 1 << 20) -> bytes:
+    """The automaton of sorted phrases as bytes. Pairs are taken ``step`` or more at a time, up to the end of a first word, and their states frozen. Its words are those of ``p``."""
+    thirds, seconds, firsts, states, begin = Register(2), Register(3), [], [], 0
     while begin < len(p.first):
         end = min(begin + step, len(p.first))
         end = int(np.searchsorted(p.first, p.first[end - 1], side="right"))
         lo, hi = np.searchsorted(p.pair, (begin, end))
-        target = np.full(end - begin, -1, np.int64)
+        target = np.zeros(end - begin, np.int64)  # 0 is none
         starts = _starts(p.pair[lo:hi])
-        target[p.pair[lo:hi][starts] - begin] = thirds.freeze(starts, np.stack([p.third[lo:hi], p.count[lo:hi]], 1))
+        target[p.pair[lo:hi][starts] - begin] = thirds.freeze(starts, p.third[lo:hi], p.count[lo:hi]) + 1
         starts = _starts(p.first[begin:end])
-        states = seconds.freeze(starts, np.stack([p.second[begin:end], p.pair_count[begin:end], target], 1))
-        roots.append(np.stack([p.first[begin:end][starts], states], 1))
+        states.append(seconds.freeze(starts, p.second[begin:end], p.pair_count[begin:end], target))
+        firsts.append(p.first[begin:end][starts])
         begin = end
-    root = np.concatenate(roots) if roots else np.empty((0, 2), np.int64)
-    used = np.zeros(len(p.words), bool)
-    for a in (p.first, p.second, p.third):
-        used[a] = True
-    place = np.cumsum(used) - 1
-    words = [w for w, u in zip(p.words, used) if u]
-    n2, a2 = seconds.columns(3)
-    n3, a3 = thirds.columns(2)
-    root, a2, a3 = root.copy(), a2.copy(), a3.copy()
-    for a in (root, a2, a3):
-        a[:, 0] = place[a[:, 0]] if len(place) else a[:, 0]
-    a2[:, 2] += 1
-    numbers = [np.array([len(w) for w in words], np.int64), *root.T, n2, *a2.T, n3, *a3.T]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(map(_packed, numbers)) + b"".join(words))
+    none = np.empty(0, np.int64)
+    root = [np.concatenate(x) if x else none for x in (firsts, states)]
+    numbers = [np.fromiter(map(len, p.words), np.int64, len(p.words)), *root, *seconds.columns(), *thirds.columns()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(map(_packed, numbers)) + b"".join(p.words))
 
 
 def _packed(a: np.ndarray) -> bytes:
@@ -130,14 +142,14 @@ def phrases(data: bytes) -> Phrases:
     ends = at + np.cumsum(lengths)
     words = [raw[e - k : e] for k, e in zip(lengths.tolist(), ends.tolist())]
     from2, from3 = np.cumsum(n2) - n2, np.append(0, np.cumsum(n3))[:-1]
-    arcs2 = _spread(from2[state], n2[state])
+    arcs2 = spread(from2[state], n2[state])
     target = target[arcs2] - 1
     has = np.flatnonzero(target >= 0)
-    arcs3 = _spread(from3[target[has]], n3[target[has]])
+    arcs3 = spread(from3[target[has]], n3[target[has]])
     return Phrases(words, np.repeat(first, n2[state]), second[arcs2], pair_count[arcs2], np.repeat(has, n3[target[has]]), third[arcs3], count[arcs3])
 
 
-def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The places from each start on, as many as its length."""
     return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
 

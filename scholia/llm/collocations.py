@@ -83,11 +83,11 @@ def phrases_of(ids: np.ndarray, words: list[bytes]) -> Phrases:
     n = max(1, len(words))
     inner = ids >= 0
     two = inner[:-1] & inner[1:]
-    pairs, counts, place = summed((ids[:-1] * n + ids[1:])[two], np.ones(int(two.sum()), np.int64))
+    pairs, counts, place = summed((ids[:-1] * n + ids[1:])[two])
     of = np.full(max(0, len(ids) - 1), -1, np.int64)
     of[two] = place
     three = two[:-1] & inner[2:]
-    codes, three_counts, _ = summed((of[:-1] * n + ids[2:])[three], np.ones(int(three.sum()), np.int64))
+    codes, three_counts, _ = summed((of[:-1] * n + ids[2:])[three])
     return Phrases(words, pairs // n, pairs % n, counts, codes // n, codes % n, three_counts)
 
 
@@ -113,12 +113,15 @@ def ranges_of(hashes: np.ndarray, common: np.ndarray, p: Phrases, ranges: int) -
 def by_range(p: Phrases, two: np.ndarray, three: np.ndarray) -> Iterator[tuple[int, Phrases]]:
     """The phrases of each range. A phrase of two words whose range is another's but begins one of three here is here with a count of 0."""
     order2, order3 = np.argsort(two, kind="stable"), np.argsort(three, kind="stable")
-    for r in np.union1d(two, three).tolist():
-        here = order2[np.searchsorted(two[order2], r) : np.searchsorted(two[order2], r, side="right")]
-        longer = order3[np.searchsorted(three[order3], r) : np.searchsorted(three[order3], r, side="right")]
-        pairs = np.union1d(here, p.pair[longer])
+    sorted2, sorted3, here = two[order2], three[order3], np.zeros(len(two), bool)
+    for r in np.union1d(sorted2, sorted3).tolist():
+        own, longer = order2[slice(*np.searchsorted(sorted2, (r, r + 1)))], order3[slice(*np.searchsorted(sorted3, (r, r + 1)))]
+        begins = p.pair[longer]
+        here[own] = here[begins] = True
+        pairs = np.flatnonzero(here) if len(own) + len(begins) > len(here) // 8 else np.unique(np.concatenate([own, begins]))
+        here[pairs] = False
         counts = np.where(two[pairs] == r, p.pair_count[pairs], 0)
-        yield r, Phrases(p.words, p.first[pairs], p.second[pairs], counts, np.searchsorted(pairs, p.pair[longer]), p.third[longer], p.count[longer])
+        yield r, Phrases(p.words, p.first[pairs], p.second[pairs], counts, np.searchsorted(pairs, begins), p.third[longer], p.count[longer])
 
 
 def _automata(common: dict[str, frozenset[bytes]], ranges: int, most: int):
@@ -136,12 +139,10 @@ def _automata(common: dict[str, frozenset[bytes]], ranges: int, most: int):
             hashes = word_hashes(sorted_words)
             for lang, parts in runs.items():
                 p = phrases_of(place[np.concatenate(parts)], sorted_words)
-                often = common.get(lang, frozenset())
-                mark = np.fromiter((w in often for w in sorted_words), bool, len(sorted_words))
+                mark = np.zeros(len(sorted_words), bool)
+                mark[[place[numbers[w]] for w in common.get(lang, ()) if w in numbers]] = True
                 for r, own in by_range(p, *ranges_of(hashes, mark, p, ranges)):
-                    used = np.unique(np.concatenate([own.first, own.second, own.third]))
-                    slim = Phrases([sorted_words[i] for i in used], np.searchsorted(used, own.first), np.searchsorted(used, own.second), own.pair_count, own.pair, np.searchsorted(used, own.third), own.count)
-                    yield pa.record_batch([pa.array([lang], pa.string()), pa.array([r], pa.int64()), pa.array([build(slim)], pa.binary())], ["lang", "range", "counts"])
+                    yield pa.record_batch([pa.array([lang], pa.string()), pa.array([r], pa.int64()), pa.array([build(own.slim())], pa.binary())], ["lang", "range", "counts"])
 
         for lang, text in _texts(batches):
             for words in word_runs(text):
@@ -196,7 +197,7 @@ def _asked(ranges: int):
                 asked = Phrases(p.words, codes // n, codes % n, np.ones(len(codes), np.int64), none, none, none)
                 two, three = ranges_of(word_hashes(p.words), np.zeros(n, bool), asked, ranges)
                 for r, own in by_range(asked, two, three):
-                    yield pa.record_batch([pa.array([lang], pa.string()), pa.array([r], pa.int64()), pa.array([build(own)], pa.binary())], ["lang", "range", "asked"])
+                    yield pa.record_batch([pa.array([lang], pa.string()), pa.array([r], pa.int64()), pa.array([build(own.slim())], pa.binary())], ["lang", "range", "asked"])
 
     return run
 
@@ -213,11 +214,11 @@ def _told(key: tuple, counts: pa.Table, asked: pa.Table) -> pa.Table:
     return pa.table({"lang": [key[0].as_py()] * len(p.first), "part": [f"{text[i]} {text[j]}" for i, j in zip(p.first.tolist(), p.second.tolist())], "f": p.pair_count}, schema)
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 10, share: int = 50, top: int = 2000, words_a_range: int = 1_500_000, words_held: int = 2_000_000, most_common: int = 4000) -> DataFrame:
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 10, share: int = 50, top: int = 2000, words_a_range: int = 4_000_000, words_held: int = 3_000_000, most_common: int = 4000) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first ``top`` phrases of two and three words that stand ``least`` times or more, without those of which ``share`` in a hundred or
     more lie in a longer one. A word is common when it is one of ``most_common`` parts of all words or more, so that there are no more than ``most_common`` of them."""
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    words = stored(texts.mapInArrow(_counted_words(words_held // 8), "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
+    words = stored(texts.mapInArrow(_counted_words(words_held // 6), "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     total = totals.agg(F.sum("n")).first()[0] or 0
     common: dict[str, set[bytes]] = {}
