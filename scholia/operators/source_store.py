@@ -3,7 +3,7 @@
 Rows lie in buckets by the hash of their source; a bucket has generations, and a manifest (one small file, put in place by a rename; the one of the highest number counts) tells which generation of each is
 read. A change writes new generations of the buckets that hold its sources, beside those that are read, then puts a manifest that names them, marked as pending with what was before, then calls the ``on_commit`` hook (for a ledger
 elsewhere, say), and at last a manifest without the mark. If a step fails, a manifest with the generations of before is put and the new ones are deleted; the error goes on. If the process dies, whoever opens the table next finds the mark
-and does the same. What is read is a bucket's whole generation, so readers of an older manifest go on until ``cleaned``.
+and does the same; so there is one writer at a time. What is read is a bucket's whole generation, so readers of an older manifest go on until ``cleaned``.
 
 The number of buckets is fixed when the table is made: a change rewrites its buckets, which should be some hundred megabytes each. Rows without a source aren't taken.
 """
@@ -36,6 +36,8 @@ class SourceStore:
     folder: Folder
     number: int
     manifest: dict
+    #: Buckets that were put back when the table was opened. What else was changed with them may have to be taken back too.
+    restored: tuple[str, ...] = ()
 
     def bucket(self, source: Column) -> Column:
         return F.pmod(F.xxhash64(source), F.lit(self.manifest["buckets"])).cast("int")
@@ -128,6 +130,8 @@ def opened(spark: SparkSession, path: str) -> SourceStore | None:
     if not numbers:
         return None
     store = SourceStore(spark, folder, numbers[-1], json.loads(folder.read(f"manifest-{numbers[-1]}.json")))
-    if store.manifest["before"] is not None:
-        store._put(store.manifest["before"])
+    before, after = store.manifest["before"], store.manifest["generations"]
+    if before is not None:
+        store._put(before)
+        store.restored = tuple(sorted(b for b in {*before, *after} if before.get(b) != after.get(b)))
     return store

@@ -111,12 +111,17 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
 
 
+def parsed_files(files: DataFrame, parsers: dict[str, Callable[[str], str]] | None = None, binary_parsers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+    """(path, ext, content, encoding) of files (path, content) whose format is known, as the parser of their format gives them."""
+    known, binary = PARSERS | (parsers or {}), BINARY_PARSERS | (binary_parsers or {})
+    told = files.select("path", extension(F.col("path")).alias("ext"), "content").where(F.col("ext").isin([*known, *binary]))
+    return told.mapInArrow(_parsed(known, binary), "path string, ext string, content string, encoding string")
+
+
 def read_documents(spark: SparkSession, folder: str, recursive: bool = True, parsers: dict[str, Callable[[str], str]] | None = None, binary_parsers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
     """(source, path, ext, title, content, encoding) of the files that can be read; others, and empty ones, are left out. ``parsers`` and ``binary_parsers`` add formats by
     extension, from text and from bytes."""
-    known, binary = PARSERS | (parsers or {}), BINARY_PARSERS | (binary_parsers or {})
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder).select("path", extension(F.col("path")).alias("ext"), "content")
-    docs = files.where(F.col("ext").isin([*known, *binary])).mapInArrow(_parsed(known, binary), "path string, ext string, content string, encoding string")
+    docs = parsed_files(spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder), parsers, binary_parsers)
     docs = docs.withColumn("source", F.element_at(F.split("path", "/"), -1))
     heading = F.regexp_extract("content", r"(?m)^#{1,6}\s*(.+?)\s*$", 1)
     content = F.when(F.col("ext").isin("md", "markdown"), T.markdown_to_text(F.col("content"))).otherwise(T.clean(F.col("content")))
