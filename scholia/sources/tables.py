@@ -8,8 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tables of long rows, whose work is in each row.
+LONG = frozenset({"documents", "pages"})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in LONG else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out anew if it is scanned in fewer parts than there are cores, as one small file of long texts is: it would be worked on by one core. Columns and filters still reach the scan."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def version(df: DataFrame) -> str:

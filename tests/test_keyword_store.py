@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 
 from scholia.operators import keyword_store as K
@@ -85,16 +86,36 @@ def test_a_change_that_lost_the_race_is_refused(spark, tmp_path):
     assert K.opened(spark, str(tmp_path)).manifest == index.manifest
 
 
-def test_only_the_wanted_terms_are_opened(spark, tmp_path, monkeypatch):
-    """Common terms find nothing by themselves where a rare one tells the best, and only buckets of wanted terms are read."""
+def test_only_the_wanted_terms_are_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(K, "BUCKET_LISTS", 1000)
     docs = {i: "common often " + ("rare " if i % 40 == 0 else "") + " ".join(f"x{i}y{j}" for j in range(i % 7)) for i in range(2000)}
-    monkeypatch.setattr(K, "BUCKET_POSTINGS", 1000)
     index = K.built(frame(spark, docs), "id", "text", str(tmp_path))
-    wanted = spark.createDataFrame([("rare",), ("common",)], "term string")
-    found = index.blocks(wanted)
+    found = index.lists(spark.createDataFrame([("rare",), ("common",)], "term string"))
     assert {r.term for r in found.select("term").distinct().collect()} == {"rare", "common"}
     assert index.manifest["segments"][0]["buckets"] > 4
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "bucket" in plan.split("PartitionFilters")[1].split("PushedFilters")[0] and "In(term" in plan
     queries = {1: {"rare", "common", "often"}}
     assert best(spark, index, queries, 5) == plain_best(docs, queries, 5)
+
+
+def test_lists_that_cannot_lift_a_document_find_none():
+    """Against adding everything, for lists of every kind; and the work that is spared."""
+    rng = np.random.default_rng(4)
+    for trial in range(200):
+        docs, most = int(rng.integers(1, 60)), int(rng.integers(1, 8))
+        lists = []
+        for _ in range(int(rng.integers(1, 7))):
+            at = np.flatnonzero(rng.random(docs) < rng.choice([0.05, 0.5, 1.0]))
+            part = rng.choice([1e-3, 0.1, 1, 5]) * (0.5 + rng.integers(0, 3, len(at)) / 4)
+            if len(at):
+                lists.append((at, part, float(part.max())))
+        may = None if trial % 2 else rng.random(docs) < 0.5
+        whole = np.zeros(docs)
+        for at, part, _ in lists:
+            whole[at] += part
+        seen = [i for i in range(docs) if whole[i] > 0 and (may is None or may[i])]
+        want = sorted(seen, key=lambda i: (-round(whole[i], 9), i))[:most]
+        at, score = K.best_of(lists, docs, most, may)
+        assert sorted(at.tolist(), key=lambda i: (-round(whole[i], 9), i))[:most] == want
+        assert np.allclose(score[np.isin(at, want)], whole[at[np.isin(at, want)]])
