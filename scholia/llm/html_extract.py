@@ -7,9 +7,10 @@ aligned with it by simple tree matching, so that each block gets a slot of the w
 1. A text that stands in one slot on at least ``constant_share`` of a host's distinct pages, two at least, is constant: template. Pages that would lose over
    half of their letters in slots that hold varying texts too, or over four fifths of all outside links, are copies of one another rather than pages of one template; they count as no evidence. Nor is a text constant
    that stands on pages of other hosts too, so that chance explains its number here (with more than ``most_chance``): it belongs to what is written.
-2. The other texts vary. From the wrapper's root the way leads down to the part that holds more than half of the varying letters outside links, while such a part exists, no
+2. The other texts vary. From the wrapper's root the way leads down to the part that holds more than half of the varying letters outside links, or all of the varying main headings, while such a part exists, no
    varying main heading stands outside it, and it isn't itself named as something else. The slots below are the content; varying menus, adverts and footers stand outside.
-3. Inside the content only what can't belong to an article by its element, role or name goes: menus, forms, footers, asides, notices, adverts, reader comments.
+3. Inside the content what can't belong to an article by its element, role or name goes: menus, forms, footers, asides, notices, adverts, reader comments. Constant texts inside an article or main element stay, whatever their number, and
+   so do those between texts that vary (headings, bylines); before the first and after the last of these they are the template's.
 
 Where this leaves it open (one page on a host, a page of another build, no part with most of the letters), a page decides for itself: by its article or main element, else by step 2 over its own
 letters, with element, role and name lists and lists of links as the tie-break.
@@ -53,7 +54,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 NAMED = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner menu nav navbar navigation sidebar rail footer header masthead topbar cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login comment comments commentlist respond reply replies share sharing breadcrumb breadcrumbs pagination pager toolbar skip".split())
 FILLERS = frozenset("box area wrapper container bar block section list slot unit site page global top bottom left right main primary secondary inner outer col column links buttons form widget container thread body item".split())
 PARTS = re.compile(r"[-_\d]+")
-HEADER, IN_APART, LINKED, TITLE, ALONE = 1, 2, 4, 8, 16  # marks of a block
+HEADER, IN_APART, LINKED, TITLE, ALONE, ARTICLE = 1, 2, 4, 8, 16, 32  # marks of a block
 
 
 class Node:
@@ -166,8 +167,8 @@ class Shape:
 
 
 def main_part(shape: Shape, letters: list[float], titles: list[float], share: float = 0.5) -> int:
-    """The node that holds most of the varying letters: down from the root to the child with more than ``share`` of its parent's, unless a title stands outside it or it is named
-    as something else. 0 where there is no such way."""
+    """The node that holds what varies: down from the root to the child with more than ``share`` of its parent's letters, or where none has so many, to the one with all of its titles; but not if a title stands outside
+    the child, or if it is named as something else. 0 where there is no such way."""
     mass, held = list(letters), list(titles)
     for i in range(len(mass) - 1, 0, -1):
         mass[shape.parents[i]] += mass[i]
@@ -175,7 +176,11 @@ def main_part(shape: Shape, letters: list[float], titles: list[float], share: fl
     now = 0
     while shape.kids[now]:
         best = max(shape.kids[now], key=mass.__getitem__)
-        if mass[best] <= share * mass[now] or held[best] < held[now] or shape.apart(best) or shape.labels[best].split(".")[0].rstrip("!") in LEAVES:
+        if mass[best] <= share * mass[now] and held[now] > 0:  # beside something as long, the title tells
+            best = max(shape.kids[now], key=held.__getitem__)
+        elif mass[best] <= share * mass[now]:
+            break
+        if held[best] < held[now] or shape.apart(best) or shape.labels[best].split(".")[0].rstrip("!") in LEAVES:
             break
         now = best
     return now if shape.labels[now].split(".")[0] not in ("#page", "html", "body") else 0
@@ -268,7 +273,7 @@ def blocks_of(page: str) -> tuple[str, list[tuple[int, str, int, int]]]:
         within[id(n)] = (a or id(n) in lists, b or n.tag in ("article", "main") or n.role in ("article", "main"))
     for b in found:
         b[0] = number[b[0]]
-        b[2] |= LINKED if within[id(b[4])][0] else 0
+        b[2] |= (LINKED if within[id(b[4])][0] else 0) | (ARTICLE if within[id(b[4])][1] else 0)
     _decided_alone(shape, found, [within[id(b[4])][1] for b in found])
     return shape.write(), [(n, t, m, k) for n, t, m, k, _ in found]
 
@@ -508,5 +513,9 @@ def main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", co
     slot = lambda b: around(slot_at(b["node"]))
     varies = lambda b: F.col("__template").isNull() | ~F.array_contains("__template", F.struct(slot(b).alias("slot"), F.xxhash64(b["text"]).alias("h")))
     is_content = lambda b: F.array_contains("__part", slot(b)) & (b["marks"].bitwiseAND(IN_APART) == 0)
-    kept = F.when(on_page, F.filter("__blocks", lambda b: is_content(b) & varies(b))).otherwise(F.filter(alone, varies))
-    return out.select(*rest, joined(kept).alias("__text"))
+    shown = out.withColumn("__shown", F.when(on_page, F.filter("__blocks", is_content)).otherwise(alone))
+    shown = shown.withColumn("__varies", F.transform("__shown", varies))
+    first, last = F.array_position("__varies", True), F.size("__varies") + 1 - F.array_position(F.reverse("__varies"), True)
+    inner = lambda b, i: (b["marks"].bitwiseAND(ARTICLE) > 0) | ((i + 1 >= F.col("__first")) & (i + 1 <= F.col("__last")))
+    shown = shown.withColumns({"__first": F.when(first > 0, first).otherwise(F.lit(1 << 30)), "__last": F.when(first > 0, last).otherwise(0)})
+    return shown.select(*rest, joined(F.filter("__shown", inner)).alias("__text"))

@@ -6,11 +6,11 @@ edit moves only the cuts beside it.
 
 A span is any run of consecutive sentences, ``least_sentences`` at least, that hold ``least_words`` words together. Spans are compared by hash without regard to case, outer
 punctuation and spacing. Only the spans are hashed that hold no shorter one from their first sentence or to their last: each sentence of a longer span that repeats lies in one of those,
-and they repeat with it, so the outcome is that of hashing every span. Of the documents that hold a span, the first is that of the smallest (id, text hash); in all others the sentences it
-covers are removed. Within the first document, and for a span that only one document holds, a repetition is removed only if ``within`` is set (all but its first place): a
-refrain is the text's own.
+and they repeat with it, so the outcome is that of hashing every span. The first place of a span is that of the smallest (id, text hash, sentence); at all other places, also in the same document, the sentences it
+covers are removed. With ``within=False`` the first document of a span keeps all its places, and a span that only one document holds is left alone.
 
-Hashes of spans go through the join, and of the texts only those that lose something. Spans are told apart by 64 bits: of 10^12 different spans some 27,000 share a hash with another.
+Hashes of spans go through the join, and of the texts only those that lose something. Spans are told apart by 128 bits (two hashes over different hashes of their words): of 10^12 different spans, two share theirs with a chance of about
+10^-15. Rows are told apart by 128 bits too.
 
 Defined cases: null texts stay null; texts without a span stay as they are; a text that holds only repeated spans becomes '';
 a null id comes after all ids; rows equal in id and text are one document; very long texts are cut whole; ties don't occur, as rows equal in id and text hash are one
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stored, with_some
+from .common import discard, row_key, stored, with_some
 
 SENTENCE = re.compile(r"[^\n.!?。！？]*(?:[.!?。！？]+[\"'”’»)\]]*(?:\s+|$)|[.!?。！？]+|\n+|$)")
 WORD = re.compile(r"\w+")
@@ -73,26 +73,29 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def runs_of(sentences: list[str], least_sentences: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First sentence, number of sentences, and hash of each span. Sentences without a word belong to the span around them and count as none."""
+def runs_of(sentences: list[str], least_sentences: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First sentence, number of sentences, and the two hashes of each span. Sentences without a word belong to the span around them and count as none."""
     words = [WORD.findall(s.lower()) for s in sentences]
     full = np.array([i for i, w in enumerate(words) if w], np.int64)
     n = len(full)
     none = np.empty(0, np.int64)
     if n < least_sentences:
-        return none, none, none.astype(np.uint64)
+        return none, none, none.astype(np.uint64), none.astype(np.uint64)
     ends = np.concatenate([[0], np.cumsum([len(words[i]) for i in full])])  # words before each sentence
-    h = np.array([xxhash.xxh3_64_intdigest(" ".join(words[i])) for i in full], np.uint64)
+    pairs = b"".join(xxhash.xxh3_128_digest(" ".join(words[i])) for i in full)
     starts = np.arange(n)
     stop = np.maximum(starts + least_sentences, np.searchsorted(ends, ends[:-1] + least_words))  # the shortest from each sentence
     begin = np.minimum(starts + 1 - least_sentences, np.searchsorted(ends, ends[1:] - least_words, side="right") - 1)  # the shortest to each sentence
     a, b = np.concatenate([starts[stop <= n], begin[begin >= 0]]), np.concatenate([stop[stop <= n], starts[begin >= 0] + 1])
     both = np.unique(a * (n + 1) + b)
     a, b = both // (n + 1), both % (n + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(_BASE, n), dtype=np.uint64)])
-    x = (sums[b] - sums[a]) * _powers(_INVERSE, n)[a] + (b - a).astype(np.uint64)  # alike wherever the span stands
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return full[a], full[b - 1] - full[a] + 1, x ^ (x >> np.uint64(29))
+    halves = []
+    for h in np.frombuffer(pairs, ">u8").reshape(-1, 2).T.astype(np.uint64):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(_BASE, n), dtype=np.uint64)])
+        x = (sums[b] - sums[a]) * _powers(_INVERSE, n)[a] + (b - a).astype(np.uint64)  # alike wherever the span stands
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        halves.append(x ^ (x >> np.uint64(29)))
+    return full[a], full[b - 1] - full[a] + 1, *halves
 
 
 def _runs(least_sentences: int, least_words: int):
@@ -101,9 +104,9 @@ def _runs(least_sentences: int, least_words: int):
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 found = [runs_of(sentences_of(t or ""), least_sentences, least_words) for t in part.column(2).to_pylist()]
-                first, many, h = (np.concatenate(x) for x in zip(*found))
+                first, many, h, g = (np.concatenate(x) for x in zip(*found))
                 rows = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-                yield pa.record_batch([part.column(0).take(rows), part.column(1).take(rows), pa.array(first, pa.int32()), pa.array(many, pa.int32()), pa.array(h.astype(np.int64))], ["k", "id", "first", "many", "hash"])
+                yield pa.record_batch([part.column(0).take(rows), part.column(1).take(rows), pa.array(first, pa.int32()), pa.array(many, pa.int32()), pa.array(h.astype(np.int64)), pa.array(g.astype(np.int64))], ["k", "id", "first", "many", "hash", "more"])
 
     return run
 
@@ -135,17 +138,17 @@ def _without():
     return _without_udf
 
 
-def without_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", least_sentences: int = 2, least_words: int = 20, within: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", least_sentences: int = 2, least_words: int = 20, within: bool = True) -> DataFrame:
     """``docs`` with ``__clean``: the text without repeated spans, counts of its sentences and of those removed, and the spans removed (character offsets)."""
-    keyed = docs.withColumn("__k", F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)))
+    keyed = docs.withColumn("__k", row_key(id_col, text_col))
     id_type = docs.schema[id_col].dataType.simpleString()
-    runs = stored(keyed.select(F.col("__k").alias("k"), F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(_runs(least_sentences, least_words), f"k bigint, id {id_type}, first int, many int, hash bigint"), "runs")
+    runs = stored(keyed.select(F.col("__k").alias("k"), F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(_runs(least_sentences, least_words), f"k binary, id {id_type}, first int, many int, hash bigint, more bigint"), "runs")
     place = F.struct(F.col("id").isNull(), "id", "k", "first")
     repeated = F.col("n") > 1 if within else F.col("k") < F.col("last")
-    origin = runs.groupBy("hash").agg(F.min(place).alias("origin"), F.count("*").alias("n"), F.min("k").alias("k"), F.max("k").alias("last")).where(repeated).select("hash", F.col("origin.k").alias("ok"), F.col("origin.first").alias("ofirst"))
+    origin = runs.groupBy("hash", "more").agg(F.min(place).alias("origin"), F.count("*").alias("n"), F.min("k").alias("k"), F.max("k").alias("last")).where(repeated).select("hash", "more", F.col("origin.k").alias("ok"), F.col("origin.first").alias("ofirst"))
     origin = stored(origin, "origins")  # so that the join is one of two plain shuffles, in which a very common span can be split
     elsewhere = F.col("k") != F.col("ok")
-    again = runs.join(origin, "hash").where(elsewhere | (F.col("first") != F.col("ofirst")) if within else elsewhere)
+    again = runs.join(origin, ["hash", "more"]).where(elsewhere | (F.col("first") != F.col("ofirst")) if within else elsewhere)
     # a document has no more spans than twice its sentences
     covered = stored(again.groupBy("k").agg(F.array_distinct(F.collect_list(F.struct("first", "many"))).alias("__covered")).withColumnRenamed("k", "__k"), "covered")
     discard(runs)

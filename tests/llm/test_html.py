@@ -26,10 +26,10 @@ def test_blocks_of_a_page():
     assert alone(PAGE.format(i=7)) == ["Title 7 & more", "First 7 para goes on", "Second bold 7", "Share this story with friends"]
 
 
-def test_template_texts_go_on_hosts_with_many_pages(spark, none):
+def test_what_stands_in_an_article_stays_on_hosts_with_many_pages(spark, none):
     rows = [(i, f"http://h.example/{i}", PAGE.format(i=i)) for i in range(12)] + [(20, "http://one.example/", PAGE.format(i=20)), (21, None, None), (22, "http://h.example/x", ""), (23, "bad", "plain <b>text</b>")]
     out = texts(spark, rows)
-    assert out[3] == "Title 3 & more\n\nFirst 3 para goes on\n\nSecond bold 3"
+    assert out[3] == "Title 3 & more\n\nFirst 3 para goes on\n\nSecond bold 3\n\nShare this story with friends"
     assert out[20].endswith("Share this story with friends")
     assert (out[21], out[22], out[23]) == ("", "", "plain text")
     empty = none.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url"), F.col("text").alias("html"))
@@ -59,6 +59,42 @@ def test_the_wrapper_alone_finds_the_text(spark):
     assert sum(without[i] == want for i, (_, want) in enumerate(made)) == 0
 
 
+def test_headings_bylines_and_closing_lines_of_articles_stay(spark):
+    """Texts that stand in one slot on every page of a host, inside its article."""
+    rng = random.Random(8)
+    words = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    rows, want = [], {}
+    for i in range(12):
+        a, b, c = words(20), words(25), words(12)
+        rows.append((i, f"http://sections.example/{i}", f"<body><nav>Home</nav><article><p>By Jane Doe</p><h1>Of {i} {words(2)}</h1><h2>Background</h2><p>{a}</p><p>{b}</p><h2>References</h2><p>{c}</p><p>All rights are yours</p></article><footer>Foot</footer></body>"))
+        want[i] = f"By Jane Doe\n\n{rows[-1][2].split('<h1>')[1].split('</h1>')[0]}\n\nBackground\n\n{a}\n\n{b}\n\nReferences\n\n{c}\n\nAll rights are yours"
+    assert texts(spark, rows) == want
+
+
+def test_headings_between_varying_texts_stay_without_any_name(spark):
+    rng = random.Random(9)
+    words = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    rows, want = [], {}
+    for i in range(12):
+        head, a, b = f"Head {i} {words(2)}", words(30), words(25)
+        rows.append((i, f"http://bare.example/{i}", f"<body><div>Home</div><div><div>Seen {i}</div></div><div><h1>{head}</h1><h2>Background</h2><p>{a}</p><h2>Sources</h2><p>{b}</p><p>You have read all of it</p></div><div>Host</div></body>"))
+        want[i] = "\n\n".join([head, "Background", a, "Sources", b])
+    assert texts(spark, rows) == want
+
+
+def test_a_column_beside_the_story_as_long_as_it(spark):
+    """Neither holds half of the letters; the title tells which is the story."""
+    rng = random.Random(10)
+    words = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    rows, want = [], {}
+    for i in range(12):
+        head, story, side = f"Head {i} {words(2)}", [words(20), words(22)], [words(24), words(14), words(16)]
+        lines = lambda xs: "".join(f"<p>{x}</p>" for x in xs)
+        rows.append((i, f"http://beside.example/{i}", f"<body><div>Home</div><div><div>{lines(side)}</div><div><h1>{head}</h1>{lines(story)}</div><div>{words(9)}</div></div><div>Host</div></body>"))
+        want[i] = "\n\n".join([head, *story])
+    assert texts(spark, rows) == want
+
+
 def test_induction_needs_no_article_element(spark):
     """The given pages with their articles turned into divs, and all names away, lose no block and gain none."""
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").where("url like '%tionsh%' or url like '%thther%'")

@@ -90,9 +90,18 @@ def test_as_with_every_span(spark):
         assert cleaned(spark, rows, within=within) == every_span(rows, within=within)
 
 
+def test_the_query_is_the_plain_version_over_the_whole_table(spark, tmp_path):
+    from scholia.llm import q_spans
+
+    rows = made(11, 80)
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.text for r in q_spans.op4_span_dedup(spark, str(tmp_path)).collect()}
+    assert got == every_span(rows, within=True)
+
+
 def test_three_sentences_at_least(spark):
     rows = made(6)
-    assert cleaned(spark, rows, least_sentences=3, least_words=12) == every_span(rows, 3, 12)
+    assert cleaned(spark, rows, least_sentences=3, least_words=12) == every_span(rows, 3, 12, True)
 
 
 def test_planted_passages_go_and_clean_texts_stay(spark, docs):
@@ -109,11 +118,13 @@ def test_planted_passages_go_and_clean_texts_stay(spark, docs):
         assert f"Own words {i} start" in out[10_000 + i] and not any(x in out[10_000 + i] for x in passages[i % 10].split(". ")[1:] if " " in x)
 
 
-def test_a_refrain_stays_unless_within_is_set(spark):
+def test_a_refrain_goes_unless_only_other_documents_count(spark):
     refrain = "We sing this line of many words again and again. It ends with another line of as many words as that. "
     rows = [(1, refrain + "A verse. " + refrain), (2, "Other words only.")]
-    assert cleaned(spark, rows) == dict(rows)
-    assert cleaned(spark, rows, within=True)[1] == refrain + "A verse."
+    assert cleaned(spark, rows, within=False) == dict(rows)
+    assert cleaned(spark, rows)[1] == refrain + "A verse."
+    both = [(1, refrain + "A verse. " + refrain), (2, "Other words only. " + refrain + "The end.")]  # the first holder across documents, too
+    assert cleaned(spark, both) == {1: refrain + "A verse.", 2: "Other words only. The end."} == every_span(both, within=True)
 
 
 def test_spans_of_odd_rows(spark, odd, none):
