@@ -11,10 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tables of long rows, whose work is in each row.
+LONG = frozenset({"documents", "pages"})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of a data folder, for the queries here: they set small Arrow batches."""
+    """A table of a data folder, for the queries here: they set small Arrow batches. A table of long rows that is scanned in fewer parts than there are cores, as one small file is, is dealt out anew."""
     small_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in LONG and df.rdd.getNumPartitions() < cores else df
 
 
 def small_batches(spark: SparkSession, rows: int = 400) -> None:
@@ -31,7 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
+    return qualified(spark, found.rstrip("/"))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with scheme and store. Spark takes a path without them from its default store; pyarrow would take it from each executor's own disk."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri().toString()
+    return f"file://{full[5:]}" if full.startswith("file:/") and not full.startswith("file://") else full
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -7,10 +7,11 @@ hash), slots (a 32-bit fingerprint that tells foreign keys, the number of record
 within them are in ascending order of the key.
 
 Reading one key takes the head (once, while its shard stays open), one block a level tried (two on the mean), one slot, two offsets a record and the ids: ranged reads of
-fixed lengths, the same for every size of the shard. Which shard holds a key is found by bisection in the driver's list of shards.
+fixed lengths, the same for every size of the shard.
 
-A task writes files under names of its own and reports them in a row; only rows of tasks that succeeded are read, so lost executors and
-repeated attempts leave at most files that nothing refers to. The folder is opened by its URI (local, object store, HDFS).
+A task writes one shard after another, each of about as much text, under names of its own, and a directory of them (an Arrow file with their first and last keys), which it reports in a row; only rows of tasks that succeeded are read, so lost
+executors and repeated attempts leave at most files that nothing refers to. There are ``most_tasks`` tasks at most; so the driver, and what is sent along with the code of a task, holds at most so many rows, however many shards
+there are. Which directory holds a key is found by bisection in these rows, which shard by bisection in the directory. The folder is opened by its URI with scheme and store (local, object store, HDFS).
 
 Defined cases: null and empty texts are one end id; a null key comes first and is found as any other; rows that share a key are records of one
 slot, ordered by a hash of their text (ties in it, so equal texts, in any order); very long texts are encoded whole, a batch of texts at a time; an empty table
@@ -37,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, row_key, stored, text_bytes
+from .common import new_path, qualified, row_key, stored, text_bytes
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -309,113 +310,178 @@ def _gathered(batches: Iterator[pa.RecordBatch], column: int, least_bytes: int =
         yield pa.Table.from_batches(held)
 
 
-def _written(folder: str, tokenizer_file: str, end_id: int):
+def _written(folder: str, tokenizer_file: str, end_id: int, shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, rows, kind, store, root, enc = TaskContext.get().partitionId(), [], None, None, None, None
         keys: list = []
         lengths: list[int] = []
-        number, out, path = TaskContext.get().partitionId(), None, ""
-        for t in _gathered((b for b in batches if b.num_rows), 1):
-            if out is None:
-                enc = encoder(tokenizer_file)
-                store, root = fs.FileSystem.from_uri(folder)
-                store.create_dir(root)
-                name = f"shard-{number:06d}-{uuid.uuid4().hex[:12]}"
-                path = f"{folder}/{name}"
-                out = store.open_output_stream(f"{root}/{name}.ids")
-            keys += t.column(0).to_pylist()
-            ids, counts = enc.encode_batch(t.column(1).combine_chunks())
-            out.write(np.insert(ids, np.cumsum(counts), end_id).tobytes())  # each text's ids, then the end id
-            lengths += (counts + 1).tolist()
-        if out is not None:
+        out, name, size = None, "", 0
+
+        def closed() -> None:
+            nonlocal keys, lengths, out, size
             out.close()
             with store.open_output_stream(f"{root}/{name}.index") as f:
                 f.write(index_bytes(keys, lengths))
             real = [k for k in keys if k is not None]
-            low, high = (real[0], real[-1]) if real else (None, None)
-            kind = t.column(0).type
-            yield pa.record_batch([pa.array([number], pa.int32()), pa.array([path]), pa.array([enc.dtype.str]), pa.array([len(keys)]), pa.array([sum(lengths)]), pa.array([low], kind), pa.array([high], kind), pa.array([keys[0] is None])], ["shard", "uri", "dtype", "n_docs", "n_ids", "low", "high", "has_null"])
+            rows.append((f"{folder}/{name}", sum(lengths), real[0] if real else None, real[-1] if real else None, keys[0] is None))
+            keys, lengths, out, size = [], [], None, 0
+
+        for t in _gathered((b for b in batches if b.num_rows), 1):
+            if enc is None:
+                enc, kind = encoder(tokenizer_file), t.column(0).type
+                store, root = fs.FileSystem.from_uri(folder)
+                store.create_dir(root)
+            ends, start = np.cumsum(pc.fill_null(pc.binary_length(t.column(1)), 0).to_numpy().astype(np.int64)), 0
+            while start < len(ends):
+                before = int(ends[start - 1]) if start else 0
+                end = min(int(np.searchsorted(ends, before + shard_bytes - size)) + 1, len(ends))
+                piece = t.slice(start, end - start)
+                if out is None:
+                    name = f"shard-{number:06d}-{len(rows):06d}-{uuid.uuid4().hex[:12]}"
+                    out = store.open_output_stream(f"{root}/{name}.ids")
+                keys += piece.column(0).to_pylist()
+                ids, counts = enc.encode_batch(piece.column(1).combine_chunks())
+                out.write(np.insert(ids, np.cumsum(counts), end_id).tobytes())  # each text's ids, then the end id
+                lengths += (counts + 1).tolist()
+                size, start = size + int(ends[end - 1]) - before, end
+                if size >= shard_bytes:
+                    closed()
+        if out is not None:
+            closed()
+        if rows:
+            uri, n_ids, low, high, null = zip(*rows)
+            listed = pa.record_batch([pa.array(uri), pa.array([enc.dtype.str] * len(rows)), pa.array(n_ids), pa.array(low, kind), pa.array(high, kind), pa.array(null)], ["uri", "dtype", "n_ids", "low", "high", "has_null"])
+            at = f"directory-{number:06d}-{uuid.uuid4().hex[:12]}"
+            with store.open_output_stream(f"{root}/{at}") as f, pa.ipc.new_file(f, listed.schema) as w:
+                w.write_batch(listed)
+            ends = [k for pair in zip(low, high) for k in pair if k is not None]
+            yield pa.record_batch([pa.array([number], pa.int32()), pa.array([f"{folder}/{at}"]), pa.array([len(rows)]), pa.array([sum(n_ids)]), pa.array(ends[:1] or [None], kind), pa.array(ends[-1:] or [None], kind), pa.array([any(null)])], ["number", "uri", "n_shards", "n_ids", "low", "high", "has_null"])
 
     return run
 
 
+def _holding(rows: list[dict], key) -> list[int]:
+    """The places of the rows, in the order of their keys, between whose low and high key ``key`` lies."""
+    if key is None:
+        return [i for i, r in enumerate(rows) if r["has_null"]]
+    numbers = [i for i, r in enumerate(rows) if r["high"] is not None]
+    at, out = bisect.bisect_left(numbers, key, key=lambda i: rows[i]["high"]), []
+    while at < len(numbers) and rows[numbers[at]]["low"] <= key:
+        out.append(numbers[at])
+        at += 1
+    return out
+
+
+def directory(uri: str) -> list[dict]:
+    """The shards of a directory in key order, with the number of ids before each in it."""
+    store, path = fs.FileSystem.from_uri(uri)
+    with store.open_input_file(path) as f:
+        rows = pa.ipc.open_file(f).read_all().to_pylist()
+    before = 0
+    for r in rows:
+        r["before"] = before
+        before += r["n_ids"]
+    return rows
+
+
 @dataclass
 class TokenStore:
-    """Shards in key order: uri, dtype, low and high key, whether they hold the null key, and the number of ids before."""
+    """Directories in key order: number, uri, low and high key, whether they hold the null key, and the numbers of shards and of ids before. The last ``most_open`` shards and directories used stay open."""
 
-    shards: list[dict]
+    parts: list[dict]
     most_open: int = 64
 
     def __post_init__(self):
-        self._open: dict[int, Shard] = {}
+        self._open: dict = {}
 
-    def _shard(self, i: int) -> Shard:
-        """An open shard; the last ``most_open`` used stay open."""
-        shard = self._open.pop(i, None) or Shard(self.shards[i]["uri"], self.shards[i]["dtype"])
-        self._open[i] = shard
+    @property
+    def n_shards(self) -> int:
+        return sum(p["n_shards"] for p in self.parts)
+
+    def _kept(self, key, make):
+        found = self._open.pop(key, None) or make()
+        self._open[key] = found
         if len(self._open) > self.most_open:
             del self._open[next(iter(self._open))]
-        return shard
-
-    def holding(self, key) -> list[int]:
-        if key is None:
-            return [i for i, s in enumerate(self.shards) if s["has_null"]]
-        ends = [s["high"] for s in self.shards if s["high"] is not None]
-        numbers = [i for i, s in enumerate(self.shards) if s["high"] is not None]
-        at, out = bisect.bisect_left(ends, key), []
-        while at < len(ends) and self.shards[numbers[at]]["low"] <= key:
-            out.append(numbers[at])
-            at += 1
-        return out
+        return found
+
+    def _directory(self, i: int) -> list[dict]:
+        return self._kept(i, lambda: directory(self.parts[i]["uri"]))
+
+    def shard(self, i: int, j: int) -> Shard:
+        """Shard ``j`` of directory ``i``."""
+        r = self._directory(i)[j]
+        return self._kept((i, j), lambda: Shard(r["uri"], r["dtype"]))
+
+    def holding(self, key) -> list[tuple[int, int]]:
+        """The directories and their shards that may hold ``key``."""
+        return [(i, j) for i in _holding(self.parts, key) for j in _holding(self._directory(i), key)]
 
     def get(self, key) -> list[np.ndarray]:
         """Ids of each record of ``key``, by ranged reads."""
-        return [shard.ids(r) for shard in map(self._shard, self.holding(key)) for r in shard.find(key)]
+        return [shard.ids(r) for shard in (self.shard(i, j) for i, j in self.holding(key)) for r in shard.find(key)]
 
-    def read(self, keys: DataFrame) -> DataFrame:
+    def read(self, keys: DataFrame, most_tasks: int = 8192) -> DataFrame:
         """(key, start, n_tokens, ids_crc32) of every record of the distinct keys in the one column of ``keys``. ``start`` counts the ids of all documents before; the checksum is over little-endian
-        unsigned 32-bit ids. Keys go to the tasks of their shards."""
-        name, shards, holding = keys.columns[0], self.shards, TokenStore(self.shards).holding
+        unsigned 32-bit ids. Keys go to the tasks of their directories, there to their shards."""
+        name, parts = keys.columns[0], self.parts
         kind = keys.schema[name].dataType.simpleString()
 
         def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                found = [(i, j) for j, k in enumerate(b.column(0).to_pylist()) for i in holding(k)]
-                yield pa.record_batch([pa.array([i for i, _ in found], pa.int32()), b.column(0).take(pa.array([j for _, j in found], pa.int64()))], ["shard", "key"])
+                found = [(i, j) for j, k in enumerate(b.column(0).to_pylist()) for i in _holding(parts, k)]
+                yield pa.record_batch([pa.array([i for i, _ in found], pa.int32()), b.column(0).take(pa.array([j for _, j in found], pa.int64()))], ["part", "key"])
+
+        def sought(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            store = TokenStore(parts, 2)
+            for b in batches:
+                found = [(i, j, at) for at, (i, k) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())) for j in _holding(store._directory(i), k)]
+                part, shard, at = (pa.array([x[c] for x in found], t) for c, t in enumerate((pa.int32(), pa.int32(), pa.int64())))
+                yield pa.record_batch([part, shard, b.column(1).take(at)], ["part", "shard", "key"])
 
         def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now, shard, payload = -1, None, None
+            now, shard, payload, before, store = None, None, None, 0, TokenStore(parts, 2)
             for b in batches:
-                numbers = b.column(0).to_numpy()
-                edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1), len(numbers)]
+                part, number = b.column(0).to_numpy(), b.column(1).to_numpy()
+                edges = [0, *(np.flatnonzero((np.diff(part) != 0) | (np.diff(number) != 0)) + 1), len(part)]
                 for lo, hi in zip(edges, edges[1:]):
                     if lo == hi:
                         continue
-                    if numbers[lo] != now:
-                        now = int(numbers[lo])
-                        shard = Shard(shards[now]["uri"], shards[now]["dtype"])
+                    i, j = int(part[lo]), int(number[lo])
+                    if (i, j) != now:
+                        r = store._directory(i)[j]
+                        now, shard, before = (i, j), Shard(r["uri"], r["dtype"]), parts[i]["before"] + r["before"]
                         payload = shard.payload()
-                    got = list(shard.records(b.column(1).slice(lo, hi - lo).to_pylist()))
+                    got = list(shard.records(b.column(2).slice(lo, hi - lo).to_pylist()))
                     offsets = shard.whole()[2]
                     ids = [payload[offsets[r] : offsets[r + 1]] for _, r in got]
                     yield pa.record_batch(
-                        [b.column(1).slice(lo, hi - lo).take(pa.array([i for i, _ in got], pa.int64())), pa.array([shards[now]["before"] + int(offsets[r]) for _, r in got], pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())],
+                        [b.column(2).slice(lo, hi - lo).take(pa.array([i for i, _ in got], pa.int64())), pa.array([before + int(offsets[r]) for _, r in got], pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())],
                         [name, "start", "n_tokens", "ids_crc32"],
                     )
 
-        placed = keys.distinct().mapInArrow(located, f"shard int, key {kind}")
-        return placed.repartition(max(1, len(shards)), "shard").sortWithinPartitions("shard").mapInArrow(fetched, f"{name} {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
+        placed = keys.distinct().mapInArrow(located, f"part int, key {kind}")
+        tasks = max(1, min(self.n_shards, most_tasks))
+        if self.n_shards > len(parts):  # else each directory has one shard, and its keys are where they belong
+            placed = placed.repartition(tasks, "part", "key").sortWithinPartitions("part").mapInArrow(sought, f"part int, shard int, key {kind}")
+        else:
+            placed = placed.select("part", F.lit(0).alias("shard"), "key")
+        return placed.repartition(tasks, "part", "shard").sortWithinPartitions("part", "shard").mapInArrow(fetched, f"{name} {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def write_store(docs: DataFrame, tokenizer_file: str, text_col: str = "text", id_col: str = "doc_id", end_id: int = 0, shard_bytes: int = 24_000_000, folder: str | None = None) -> TokenStore:
-    """Encodes and writes ``docs`` in shards of about ``shard_bytes`` of text. The driver holds one small row per shard."""
+def write_store(docs: DataFrame, tokenizer_file: str, text_col: str = "text", id_col: str = "doc_id", end_id: int = 0, shard_bytes: int = 24_000_000, folder: str | None = None, most_tasks: int = 4096) -> TokenStore:
+    """Encodes and writes ``docs`` in shards of about ``shard_bytes`` of text. The driver holds one small row for each of at most ``most_tasks`` tasks."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(text_bytes(text_col))).first()[0] or 0
-    folder = folder or new_path(spark, "ids")
-    ordered = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("t"), row_key(id_col, text_col).alias("k")).repartitionByRange(max(1, -(-size // shard_bytes)), F.col("key").asc_nulls_first(), "k").sortWithinPartitions(F.col("key").asc_nulls_first(), "k")
+    folder = qualified(spark, folder) if folder else new_path(spark, "ids")
+    tasks = max(1, min(-(-size // shard_bytes), most_tasks))
+    # a task's part may be somewhat larger than the mean; it is one shard all the same while there is a task for each
+    roll = shard_bytes if tasks == most_tasks else 1 << 62
+    ordered = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("t"), row_key(id_col, text_col).alias("k")).repartitionByRange(tasks, F.col("key").asc_nulls_first(), "k").sortWithinPartitions(F.col("key").asc_nulls_first(), "k")
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = stored(ordered.select("key", "t").mapInArrow(_written(folder, tokenizer_file, end_id), f"shard int, uri string, dtype string, n_docs bigint, n_ids bigint, low {kind}, high {kind}, has_null boolean"), "shards")
-    shards, before = [], 0
-    for r in rows.orderBy("shard").collect():
-        shards.append(r.asDict() | {"before": before})
+    rows = stored(ordered.select("key", "t").mapInArrow(_written(folder, tokenizer_file, end_id, roll), f"number int, uri string, n_shards bigint, n_ids bigint, low {kind}, high {kind}, has_null boolean"), "directories")
+    parts, before = [], 0
+    for r in rows.orderBy("number").collect():
+        parts.append(r.asDict() | {"before": before})
         before += r.n_ids
-    return TokenStore(shards)
+    return TokenStore(parts)

@@ -66,8 +66,8 @@ def test_bytes_read_for_a_key_are_independent_of_the_shards_size(spark):
     read = {}
     for n in (50, 20_000):
         store = write_store(spark.range(n).selectExpr("id AS doc_id", "'a' AS text"), BPE, shard_bytes=1 << 30)
-        assert len(store.shards) == 1 and all(len(store.get(k)) == 1 for k in (0, n - 1, n // 2))
-        shard = store._shard(0)
+        assert store.n_shards == 1 and all(len(store.get(k)) == 1 for k in (0, n - 1, n // 2))
+        shard = store.shard(0, 0)
         before, most = shard.bytes_read, 0
         for k in range(0, n, max(1, n // 50)):
             shard.bytes_read = 0
@@ -82,10 +82,37 @@ def t_ids(text):
     return [*Tokenizer.from_file(BPE).encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_what_is_sent_to_a_task_doesnt_grow_with_the_shards(spark, docs):
+    """The closure of the tasks that read holds a row for each directory, of which there are ``most_tasks`` at most."""
+    from pyspark.cloudpickle import dumps
+
+    from scholia.llm.token_store import _holding
+
+    rows = [{"number": i, "uri": f"hdfs://store/folder/with/a/long/name/directory-{i:06d}-0123456789ab", "n_shards": 25, "n_ids": 10**9, "low": i * 100, "high": i * 100 + 99, "has_null": i == 0, "before": i * 10**9} for i in range(4096)]
+    assert sum(r["n_shards"] for r in rows) > 10**5 and len(dumps(rows)) < 1_000_000
+    assert _holding(rows, 100 * 77 + 5) == [77] and _holding(rows, None) == [0] and _holding(rows, -1) == _holding(rows, 409_600) == []
+
+
+def test_a_folder_without_a_scheme(spark, docs, tmp_path):
+    from scholia.llm.common import qualified
+
+    assert qualified(spark, "/a/b") == "file:///a/b" and qualified(spark, "file:/a/b") == "file:///a/b"
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    try:
+        conf.set("fs.defaultFS", "viewfs://other/")
+        conf.set("fs.viewfs.mounttable.other.link./a", f"file://{tmp_path}")
+        assert qualified(spark, "/a/b") == "viewfs://other/a/b"
+    finally:
+        conf.set("fs.defaultFS", before)
+    store = write_store(docs.limit(20), BPE, folder=str(tmp_path))
+    assert store.parts[0]["uri"].startswith("file:///") and store.read(docs.limit(20).select("doc_id")).count() == 20
+
+
 def test_store_round_trip(spark, docs, odd, none):
     t = Tokenizer.from_file(BPE)
     store = write_store(docs, BPE, shard_bytes=60_000)
-    assert len(store.shards) > 3
+    assert store.n_shards > 3
     start = 0
     got = {r.doc_id: r for r in store.read(docs.select("doc_id")).collect()}
     for r in docs.orderBy("doc_id").collect():
@@ -96,6 +123,10 @@ def test_store_round_trip(spark, docs, odd, none):
     assert store.get(one.doc_id)[0][:-1].tolist() == t.encode(one.text, add_special_tokens=False).ids
     assert store.get(one.doc_id)[0][:-1].tolist() == t.encode(one.text, add_special_tokens=False).ids
     assert store.get(10**9) == []
+    few = write_store(docs, BPE, shard_bytes=30_000, most_tasks=2)  # several shards a task
+    assert len(few.parts) == 2 and few.n_shards > 6
+    again = {r.doc_id: r for r in few.read(docs.select("doc_id")).collect()}
+    assert again == got and few.get(one.doc_id)[0].tolist() == store.get(one.doc_id)[0].tolist() and few.get(10**9) == []
     odd_store = write_store(odd, BPE)
     rows = odd_store.read(odd.select("doc_id")).collect()
     assert len(rows) == odd.count() and len(odd_store.get(1)) == 2 and len(odd_store.get(None)) == 1
