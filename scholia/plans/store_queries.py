@@ -7,12 +7,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from scholia.operators import graph as G
+from scholia.operators import ingest as I
 from scholia.operators import source_store as S
 from scholia.operators import vector_store as V
 from scholia.sources.tables import shared_folder, table, version
 from scholia.streaming import answers as N
 from scholia.streaming.folder import FolderTable
 
+from . import data_queries as D
 from . import retrieval_queries as Q
 from .registry import Registry
 
@@ -93,3 +96,49 @@ def stream_answers(spark, sf_dir):
     stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/questions")
     N.answer_stream(stream, Q.saved_index(spark, sf_dir), documents, f"{root}/events", f"{root}/progress")
     return N.events(spark, f"{root}/events")
+
+
+GRAPH_HOPS = f"""{D.ENTITIES}, {D.RELATIONS}, q AS (SELECT n_nationkey AS query_id, n_name AS t FROM nation UNION ALL SELECT 100 + r_regionkey, r_name FROM region UNION ALL SELECT 1000 + s_suppkey, 's' || s_suppkey FROM supplier WHERE s_suppkey % 5 = 0),
+sd AS (SELECT * FROM (SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY length(name), name) AS place FROM q JOIN en ON contains(lower(name || chr(10) || description), lower(t))) WHERE place <= 4),
+ed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY source, target, type) AS n FROM (SELECT DISTINCT source, target, type, source AS name FROM re UNION SELECT DISTINCT source, target, type, target FROM re)) WHERE n <= 200),
+e0 AS (SELECT query_id, name, 0 AS hop, row_number() OVER (PARTITION BY query_id ORDER BY place, name) AS place FROM sd),
+c0 AS (SELECT query_id, count(*) AS have FROM e0 GROUP BY query_id),
+r1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p, n, source, target, type) AS place FROM (
+  SELECT query_id, source, target, type, have, min({{'p': place, 'n': n}}).p AS p, min({{'p': place, 'n': n}}).n AS n FROM e0 JOIN c0 USING (query_id) JOIN ed USING (name) WHERE have < 50 GROUP BY ALL)) WHERE place <= 200),
+m1 AS (SELECT query_id, name, min(place) AS first FROM (SELECT query_id, place, unnest([source, target]) AS name FROM r1) GROUP BY ALL),
+e1 AS (SELECT * FROM (SELECT query_id, name, 1 AS hop, have + row_number() OVER (PARTITION BY query_id ORDER BY first, name) AS place FROM m1 JOIN c0 USING (query_id) WHERE NOT EXISTS (SELECT 1 FROM e0 WHERE e0.query_id = m1.query_id AND e0.name = m1.name)) WHERE place <= 50),
+ee AS (SELECT * FROM e0 UNION ALL SELECT * FROM e1),
+c1 AS (SELECT query_id, count(*) AS have, (SELECT count(*) FROM r1 WHERE r1.query_id = ee.query_id) AS held FROM ee GROUP BY query_id),
+r2 AS (SELECT * FROM (SELECT *, held + row_number() OVER (PARTITION BY query_id ORDER BY p, n, source, target, type) AS place FROM (
+  SELECT query_id, source, target, type, held, min({{'p': place, 'n': n}}).p AS p, min({{'p': place, 'n': n}}).n AS n FROM e1 JOIN c1 USING (query_id) JOIN ed USING (name) WHERE have < 50 AND held < 200 GROUP BY ALL) AS x
+  WHERE NOT EXISTS (SELECT 1 FROM r1 WHERE r1.query_id = x.query_id AND r1.source = x.source AND r1.target = x.target AND r1.type = x.type)) WHERE place <= 200),
+m2 AS (SELECT query_id, name, min(place) AS first FROM (SELECT query_id, place, unnest([source, target]) AS name FROM r2) GROUP BY ALL),
+e2 AS (SELECT * FROM (SELECT query_id, name, 2 AS hop, have + row_number() OVER (PARTITION BY query_id ORDER BY first, name) AS place FROM m2 JOIN c1 USING (query_id) WHERE NOT EXISTS (SELECT 1 FROM ee WHERE ee.query_id = m2.query_id AND ee.name = m2.name)) WHERE place <= 50)"""
+
+
+def _explored(spark, sf_dir):
+    entities, relations = D.graph(spark, sf_dir)
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), F.col("n_name").alias("text"))
+    regions = table(spark, sf_dir, "region").select((100 + F.col("r_regionkey")).alias("query_id"), F.col("r_name").alias("text"))
+    suppliers = table(spark, sf_dir, "supplier").where("s_suppkey % 5 = 0").select((1000 + F.col("s_suppkey")).alias("query_id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("text"))
+    asked = nations.unionByName(regions).unionByName(suppliers).where(F.length("text") >= 3)
+    return G.explored(I.seeds(asked, entities, 4), relations)
+
+
+@R.add(f"""WITH {GRAPH_HOPS.replace("FROM supplier WHERE s_suppkey % 5 = 0", "FROM supplier WHERE s_suppkey % 5 = 0 AND length('s' || s_suppkey) >= 3")} SELECT query_id, name, CAST(hop AS INTEGER) AS hop, CAST(place AS INTEGER) AS place FROM (SELECT * FROM ee UNION ALL SELECT * FROM e2)""")
+def graph_exploration(spark, sf_dir):
+    """Nations, regions and suppliers as questions, all at once, two hops from their seeds: what each meets, 50 entities and 200 relations at most."""
+    return _explored(spark, sf_dir)[0].select("query_id", "name", "hop", F.col("place").cast("int").alias("place"))
+
+
+@R.add(f"""WITH {GRAPH_HOPS.replace("FROM supplier WHERE s_suppkey % 5 = 0", "FROM supplier WHERE s_suppkey % 5 = 0 AND length('s' || s_suppkey) >= 3")}, {Q.BM25},
+tx AS (SELECT query_id, string_agg('[文档片段 ' || (rank + 1) || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS texts FROM kw JOIN documents ON doc_id = id WHERE rank < 4 GROUP BY query_id),
+rr AS (SELECT query_id, source, target, type, place FROM r1 UNION ALL SELECT query_id, source, target, type, place FROM r2),
+ln AS (SELECT query_id, string_agg(source || ' -[' || type || ']-> ' || target, chr(10) ORDER BY place) AS lines FROM rr WHERE place <= 40 GROUP BY query_id)
+SELECT coalesce(tx.query_id, ln.query_id) AS query_id, concat_ws(chr(10) || chr(10), texts, '[知识图谱]' || chr(10) || lines) AS context FROM tx FULL JOIN ln ON tx.query_id = ln.query_id""")
+def graph_rag(spark, sf_dir):
+    """The contexts of questions: the texts of their hits, and what their entities are related to."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    hits = Q.keyword_hits(spark, sf_dir, 4).join(docs, "id").select(F.col("query_id").cast("long").alias("query_id"), "rank", "text")
+    found = _explored(spark, sf_dir)[1].withColumn("query_id", F.col("query_id").cast("long"))
+    return G.graph_rag_context(hits, found)

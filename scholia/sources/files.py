@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from scholia.functions import text as T
 
-from . import docx
+from . import docx, office
 
 #: Encodings in the order they are tried, elements of a page that are left out, and elements that make a line.
 ENCODINGS = ("utf-8-sig", "gb18030", "big5")
@@ -87,7 +87,10 @@ def html_text(text: str) -> str:
 PARSERS: dict[str, Callable[[str], str]] = {"txt": str, "md": str, "markdown": str, "csv": table_text, "tsv": table_text, "html": html_text, "htm": html_text}
 
 #: Formats that aren't text, from the bytes of a file.
-BINARY_PARSERS: dict[str, Callable[[bytes], str]] = {"docx": docx.text}
+BINARY_PARSERS: dict[str, Callable[[bytes], str]] = {"docx": docx.text, "xlsx": office.workbook_text, "pptx": office.show_text}
+
+#: Formats of several pages, each a document: (number, title, text) from the bytes of a file.
+PAGED: dict[str, Callable[[bytes], list[tuple[int, str, str]]]] = {"xlsx": office.sheets, "pptx": office.slides}
 
 
 def _parsed(parsers: dict[str, Callable[[str], str]], binary: dict[str, Callable[[bytes], str]]):
@@ -129,6 +132,22 @@ def read_documents(spark: SparkSession, folder: str, recursive: bool = True, par
     return docs.withColumns({"title": title, "content": content}).where("content <> ''").select("source", "path", "ext", "title", "content", "encoding")
 
 
+def _paged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for path, ext, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            pages = PAGED[ext](data.as_py())
+            n, titles, texts = zip(*pages) if pages else ((), (), ())
+            yield pa.record_batch([pa.array([path] * len(pages), pa.string()), pa.array([ext] * len(pages), pa.string()), pa.array(n, pa.int32()), pa.array(titles, pa.string()), pa.array(texts, pa.string()), pa.array([len(pages)] * len(pages), pa.int32())], ["path", "ext", "page", "title", "content", "pages"])
+
+
+def read_pages(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
+    """(source, path, ext, page, title, content, pages) of workbooks and presentations: a document for each sheet or slide that says something, numbered as it stands there, and how many there are."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder).select("path", extension(F.col("path")).alias("ext"), "content")
+    pages = files.where(F.col("ext").isin(list(PAGED))).mapInArrow(_paged, "path string, ext string, page int, title string, content string, pages int")
+    pages = pages.withColumns({"source": F.element_at(F.split("path", "/"), -1), "content": T.clean(F.col("content"))}).where("content <> ''")
+    return pages.select("source", "path", "ext", "page", "title", "content", "pages")
+
+
 def fingerprint(content: Column) -> Column:
     return F.md5(content)
 
