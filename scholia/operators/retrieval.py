@@ -18,6 +18,8 @@ from pyspark.sql import Window as W
 from scholia.functions import text as T
 from scholia.sources.tables import written, written_path
 
+from .ranks import cumulated
+
 K1, B, RRF_K = 1.5, 0.75, 60
 
 
@@ -206,19 +208,21 @@ def in_document_order(hits: DataFrame) -> DataFrame:
 
 def whole_documents(hits: DataFrame, chunks: DataFrame, documents: int = 3, characters: int = 40000) -> DataFrame:
     """The chunks of each query's first ``documents`` sources, in order, until the next would pass ``characters`` (counted over the query; a source stops at its first
-    chunk that doesn't fit, and the next source goes on with what is left)."""
+    chunk that doesn't fit, and the next source goes on with what is left). Sizes are summed up along each source by ranges, so what is joined to the queries is the head of a source that fits, whatever its length."""
     sources = hits.groupBy("query_id", "source").agg(F.min("rank").alias("r"))
-    sources = sources.withColumn("o", F.row_number().over(W.partitionBy("query_id").orderBy("r"))).where(F.col("o") <= documents)
-    full = sources.join(chunks.select("id", "source", "chunk_index", F.length("text").alias("size")), "source")
-    items = full.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("o", "chunk_index", "id", "size"))).alias("c"))
-    # at most ``documents`` documents a query; the cut depends on what was taken before, so it is a fold
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("int").alias("shut"), F.array().cast("array<string>").alias("ids"))
-
-    def step(a: Column, x: Column) -> Column:
-        stop = (x["o"] == a["shut"]) | (a["used"] + x["size"] > characters)
-        return F.struct(F.when(stop, a["used"]).otherwise(a["used"] + x["size"]).alias("used"), F.when(stop, x["o"]).otherwise(a["shut"]).cast("int").alias("shut"), F.when(stop, a["ids"]).otherwise(F.concat(a["ids"], F.array(x["id"].cast("string")))).alias("ids"))
-
-    return items.select("query_id", F.posexplode(F.aggregate("c", start, step, lambda a: a["ids"])).alias("position", "id"))
+    sources = written(sources.withColumn("o", F.row_number().over(W.partitionBy("query_id").orderBy("r", "source"))).where(F.col("o") <= documents).select("query_id", "source", "o"), "sources")
+    sized = chunks.select("id", "source", "chunk_index", F.coalesce(F.length("text"), F.lit(0)).alias("size")).join(sources.select("source").distinct(), "source", "left_semi")
+    heads = cumulated(sized, ["source"], ["chunk_index", "id"], "size").withColumn("upto", F.col("before") + F.col("size")).where(F.col("upto") <= characters)
+    heads = written(heads.select("id", "source", "chunk_index", "upto"), "heads")
+    left = sources.select("query_id").distinct().withColumn("left", F.lit(characters).cast("long"))
+    taken = None
+    for o in range(1, documents + 1):
+        new = written(sources.where(F.col("o") == o).join(left, "query_id").join(heads, "source").where(F.col("upto") <= F.col("left")).select("query_id", "o", "chunk_index", "id", "upto", "left"), "fitting")
+        taken = new if taken is None else taken.unionByName(new)
+        used = new.groupBy("query_id").agg(F.max("upto").alias("used"))
+        left = left.join(used, "query_id", "left").select("query_id", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left"))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy("o", "chunk_index", "id")) - 1
+    return taken.select("query_id", place.alias("position"), F.col("id").cast("string").alias("id"))
 
 
 def budgets(hits: DataFrame, size: Column, characters: int) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -44,11 +47,34 @@ def health(df: DataFrame, group: str, vector: str) -> DataFrame:
     return g.withColumn("healthy", F.col("min_dim") == F.col("max_dim"))
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of sorted chunks (source, title, text), one source after another."""
+    now, told = None, None  # the source, and its title, count and hash so far
+    for b in batches:
+        done = []
+        for source, title, text in zip(*(c.to_pylist() for c in b.columns)):
+            if told is None or source != now:
+                done += [(now, *told[:2], told[2].hexdigest())] if told else []
+                now, told = source, [None, 0, hashlib.sha256(), False]
+            told[0] = title if told[0] is None or (title is not None and title < told[0]) else told[0]
+            told[1] += 1
+            if text is not None:
+                told[2].update((b"\n" if told[3] else b"") + text.encode("utf-8", "surrogatepass"))
+                told[3] = True
+        yield _records(done)
+    yield _records([(now, *told[:2], told[2].hexdigest())] if told else [])
+
+
+def _records(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.string()))], ["source", "title", "chunk_count", "doc_hash"])
+
+
 def ledger(chunks: DataFrame) -> DataFrame:
     """One record per source: title, chunk count and SHA-256 of its texts in order, joined by line feeds.
 
-    The texts of one source meet in one task; a source is a file."""
-    return chunks.groupBy("source").agg(F.min("title").alias("title"), F.count("*").alias("chunk_count"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "\n"), 256).alias("doc_hash"))
+    A hash runs over a source from its first text to its last, so a task reads the sources it has one after another, a batch of sorted rows at a time; no source is held whole."""
+    rows = chunks.select("source", "title", "chunk_index", "text").repartition("source").sortWithinPartitions("source", "chunk_index", "text")
+    return rows.select("source", "title", "text").mapInArrow(_hashed, "source string, title string, chunk_count bigint, doc_hash string")
 
 
 def reconciled(records: DataFrame, chunks: DataFrame) -> DataFrame:
