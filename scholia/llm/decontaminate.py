@@ -1,6 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
-A text becomes typed tokens. Numbers (digits or words), units beside a number ("5 km", "5km"), names (a run of capitalised words inside a sentence is one) and the opening of a
+A text becomes typed tokens. Numbers (whatever begins with digits and goes on with digits and marks between them, as times and dates do; number words, also hyphenated), units beside a number ("5 km", "5km", "10-km", "20 km/h", "20°C"), names (words in capitals among words that aren't, and words with a
+capital first and small letters after it, whatever stands between them; a run of them inside a sentence is one) and the opening of a
 sentence (its first word if it has a capital, with the names that follow it) turn into placeholders and keep their spelling as the slot's value; other words are lower-cased without outer
 punctuation. Windows of ``window`` typed tokens of the benchmark are joined by hash to those of the documents: hashes and places first; the values of slots are
 fetched for matches alone. Joined windows on one diagonal (document place minus item place) are one alignment. Its slots must be consistent: one item value
@@ -31,12 +32,21 @@ from pyspark.sql import functions as F
 from .common import KeyFilter, key_filter, row_key, stored, with_keys, without_keys
 
 #: Units of measure and of quantity that stand for one another in a question, beside a number.
-UNITS = frozenset("mm cm m km inch inches ft foot feet yd yard yards mile miles mg g kg gram grams t ton tons lb lbs oz ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years % percent usd eur gbp dollar dollars euro euros pound pounds cent cents mph kmh kph hz khz mhz ghz w kw mw v j kj cal kcal".split())
+UNITS = frozenset(
+    "mm cm m km inch inches ft foot feet yd yard yards mile miles mg g kg gram grams t ton tons tonne tonnes lb lbs oz ounce ounces ml cl l liter liters litre litres gallon gallons pint pints cup cups s ms sec secs second seconds min mins minute minutes h hr hrs hour hours "
+    "day days week weeks month months year years decade decades century centuries % percent usd eur gbp jpy chf dollar dollars euro euros pound pounds cent cents yen mph kmh kph knots hz khz mhz ghz w kw mw kwh v kv a ma n kn j kj cal kcal pa kpa bar psi rpm k c f "
+    "degree degrees celsius fahrenheit kelvin meter meters metre metres kilometer kilometers kilometre kilometres centimeter centimeters centimetre centimetres millimeter millimeters kilogram kilograms milligram milligrams milliliter milliliters watt watts volt volts acre acres hectare hectares kb mb gb tb byte bytes".split()
+)
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
-NUMBER = re.compile(r"[$€£]?[+-]?\d[\d,.]*(?:/\d+)?%?")
-GLUED = re.compile(r"([$€£]?[+-]?\d[\d,.]*)([A-Za-z%]+)")
+#: Digits, with marks between them (fractions, times, dates, ranges, products), and what may stand around them.
+NUMBER = re.compile(r"[$€£¥]?[+\-−±~]?\d[\d,.]*(?:[:/\-–−x×^]\d[\d,.]*)*(?:%|st|nd|rd|th|s|am|pm)?", re.I)
+GLUED = re.compile(r"([$€£¥]?[+\-−]?\d[\d,.]*(?:[:/]\d+)*)-?([A-Za-zµμ°%][A-Za-zµμ°²³/]*)")
+#: Units by form: a degree, one unit for each of another, a power.
+UNIT_FORM = re.compile(r"°[A-Za-z]?|[A-Za-zµμ]{1,6}(?:/[A-Za-z]{1,6}[²³]?)+|[a-zµμ]{1,3}[²³]")
+#: A name: a capital first, small letters after it, and between them other capitals, apostrophes and hyphens.
+NAME_FORM = re.compile(r"(?=.*[^\W\d_A-Z])[^\W\d_](?:[^\W\d_]|['’\-](?=[^\W\d_]))*")
 EDGE = ".,;:!?\"'()[]{}<>«»“”‘’…*#$&%_-"
-PLAIN, NUMERAL, UNIT, NAME, OPENING = range(5)
+PLAIN, NUMERAL, UNIT, NAME, OPENING, CAPITALS = range(6)
 _KINDS = np.array([0, *[xxhash.xxh3_64_intdigest(f"\x00{k}") for k in ("number", "unit", "name", "opening")]], np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LINE = "\x02"
@@ -59,25 +69,29 @@ class _Words:
         low, kind = core.lower(), PLAIN
         end = word.rstrip("\"')]”’»")[-1:]
         ends, mark = end in (".", "!", "?"), end in tuple(".,;:!?")
+        name = core[:1].isupper() and not core.isupper()
         if core.isalpha():
             if low in NUMBER_WORDS:
                 kind = NUMERAL
             elif low in UNITS:
                 kind = UNIT
-            elif core[0].isupper() and core[1:].islower():
+            elif name:
                 kind = NAME
+            elif len(core) > 1 and core.isupper():
+                kind = CAPITALS
             return kind, xxhash.xxh3_64_intdigest(low), ends, mark, ""
         if word == _LINE or not word:
             return -1 if word else -2, 0, True, False, ""
         bare = word.rstrip(".,;:!?")
-        parts = GLUED.fullmatch(bare.lstrip("(\"'“‘").rstrip(")\"'”’"))
-        if NUMBER.fullmatch(bare) or NUMBER.fullmatch(core):
+        inner = bare.lstrip("(\"'“‘").rstrip(")\"'”’")
+        parts = GLUED.fullmatch(inner)
+        if NUMBER.fullmatch(bare) or NUMBER.fullmatch(core) or NUMBER.fullmatch(inner) or ("-" in core and all(x in NUMBER_WORDS for x in low.split("-"))):
             return NUMERAL, xxhash.xxh3_64_intdigest(low or word), ends, mark, ""
-        if parts and parts[2].lower() in UNITS:
+        if parts and (parts[2].lower() in UNITS or UNIT_FORM.fullmatch(parts[2])):
             return NUMERAL, xxhash.xxh3_64_intdigest(parts[1]), ends, mark, parts[2] + word[len(bare) :]
-        if word in ("%", "$", "€", "£"):
+        if word in ("%", "$", "€", "£") or UNIT_FORM.fullmatch(core):
             kind = UNIT
-        elif core[:1].isupper() and core[1:].islower():
+        elif name and (core[1:].islower() or NAME_FORM.fullmatch(core)):
             kind = NAME
         return kind, xxhash.xxh3_64_intdigest(low or word), ends, mark, ""
 
@@ -143,6 +157,10 @@ def typed_many(texts: pa.Array, first_inside: bool = False) -> tuple[np.ndarray,
     k, h, e, m, opens, doc = k[keep], h[keep], e[keep], m[keep], opens[keep], doc[keep]
     if len(k):
         begins = np.concatenate([[True], doc[1:] != doc[:-1]])
+        # a word in capitals among others is a name; where its neighbour is in capitals too, so is the text
+        beside = np.concatenate([[False], (k[1:] == CAPITALS) & (k[:-1] == CAPITALS)])
+        beside[:-1] |= beside[1:]
+        k[k == CAPITALS] = np.where(beside[k == CAPITALS], PLAIN, NAME)
         after_number = np.concatenate([[False], (k[:-1] == NUMERAL) & ~e[:-1]]) & ~begins
         k[(k == UNIT) & ~after_number] = PLAIN
         k[opens & (k == NAME)] = OPENING
