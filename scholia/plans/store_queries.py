@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scholia.operators import graph as G
 from scholia.operators import ingest as I
 from scholia.operators import source_store as S
+from scholia.operators import synthesis as Y
 from scholia.operators import vector_store as V
 from scholia.sources.tables import shared_folder, table, version
 from scholia.streaming import answers as N
@@ -142,3 +143,43 @@ def graph_rag(spark, sf_dir):
     hits = Q.keyword_hits(spark, sf_dir, 4).join(docs, "id").select(F.col("query_id").cast("long").alias("query_id"), "rank", "text")
     found = _explored(spark, sf_dir)[1].withColumn("query_id", F.col("query_id").cast("long"))
     return G.graph_rag_context(hits, found)
+
+
+ROWS = ", ".join(f"('{i}', '{d}', '{t}')" for i, d, t in Y.TEMPLATES)
+
+
+@R.add(f"""WITH sec AS (SELECT p_brand AS source, p_type AS section_title, list_sort(list_distinct(list(p_name)))[1:8] AS entities FROM part GROUP BY ALL), t(id, difficulty, form) AS (VALUES {ROWS}),
+o AS (SELECT source, section_title, entities, unnest(entities) AS one FROM sec), p AS (SELECT o.*, t.*, unnest(CASE WHEN contains(form, '{{entity1}}') THEN list_filter(entities, lambda e: e <> one) ELSE [''] END) AS two FROM o, t),
+m AS (SELECT source, section_title, id AS template_id, difficulty, replace(replace(replace(replace(form, '{{section_title}}', section_title), '{{entity1}}', one), '{{entity2}}', two), '{{entity}}', one) AS question FROM p),
+u AS (SELECT * FROM m WHERE question NOT IN (SELECT p_name || ' 是什么？' FROM part WHERE p_partkey % 3 = 0) QUALIFY row_number() OVER (PARTITION BY question ORDER BY source, section_title, template_id) = 1)
+SELECT source, section_title, template_id, difficulty, question FROM u QUALIFY row_number() OVER (PARTITION BY source, section_title, difficulty ORDER BY md5(concat_ws('|', '7', source, section_title, question)), question) <= CASE WHEN difficulty = 'easy' THEN 2 ELSE 3 END""")
+def question_synthesis(spark, sf_dir):
+    """Parts as entities of sections by brand and type; some questions are there already."""
+    part = table(spark, sf_dir, "part")
+    sections = part.groupBy(F.col("p_brand").alias("source"), F.col("p_type").alias("section_title")).agg(F.slice(F.array_sort(F.collect_set("p_name")), 1, 8).alias("entities"))
+    existing = part.where("p_partkey % 3 = 0").select(F.concat("p_name", F.lit(" 是什么？")).alias("question"))
+    return Y.questions(sections, 2, 3, 7, existing)
+
+
+SCHEMA = {"search": {"required": ["query", "top_k"], "properties": {"query": {"type": "string"}, "top_k": {"type": "integer"}, "filters": {"type": "object"}}}, "sum": {"required": ["values"], "properties": {"values": {"type": "array"}, "scale": {"type": "number"}, "strict": {"type": "boolean"}, "note": {"type": "text"}}}}
+#: A call for each order, as text: what it holds and of which type goes by the order's number.
+CALL = """CASE o_orderkey % 8 WHEN 0 THEN '{"query": "' || o_orderpriority || '", "top_k": ' || o_custkey || '}' WHEN 1 THEN '{"query": ' || o_custkey || ', "top_k": 2.5, "filters": [1]}' WHEN 2 THEN '{"top_k": null, "other": 1}'
+WHEN 3 THEN '{"values": [' || o_custkey || '], "scale": ' || o_custkey || '.25, "strict": true, "note": 3}' WHEN 4 THEN '{"values": {"a": 1}, "scale": "1", "strict": 0}' WHEN 5 THEN '[' || o_custkey || ']' WHEN 6 THEN 'no json {' ELSE '{}' END"""
+TOOL = "CASE WHEN o_orderkey % 8 IN (3, 4) OR o_orderkey % 16 = 7 THEN 'sum' WHEN o_orderkey % 16 = 15 THEN 'unknown' ELSE 'search' END"
+
+
+def _fault_sql(tool: str) -> str:
+    s = SCHEMA[tool]
+    kinds = {"integer": "IN ('BIGINT', 'UBIGINT')", "number": "IN ('BIGINT', 'UBIGINT', 'DOUBLE')", "string": "= 'VARCHAR'", "boolean": "= 'BOOLEAN'", "array": "= 'ARRAY'", "object": "= 'OBJECT'"}
+    found = [f"CASE WHEN json_type(params, '$.{k}') IS NULL THEN '缺少必填参数：{k}' END" for k in s["required"]]
+    found += [f"CASE WHEN json_type(params, '$.{k}') NOT {kinds[p['type']]} THEN '参数 {k} 应为 {p['type']}' END" if "IN" in kinds[p["type"]] else f"CASE WHEN json_type(params, '$.{k}') <> '{kinds[p['type']][3:-1]}' THEN '参数 {k} 应为 {p['type']}' END" for k, p in s["properties"].items() if p["type"] in kinds]
+    return f"list_filter([{', '.join(found)}], lambda x: x IS NOT NULL)"
+
+
+@R.add(f"""WITH c AS (SELECT o_orderkey AS call_id, {TOOL} AS tool, {CALL} AS params FROM orders),
+f AS (SELECT call_id, CASE WHEN NOT json_valid(params) THEN ['{Y.NO_OBJECT}'] WHEN json_type(params) <> 'OBJECT' THEN ['{Y.NO_OBJECT}'] WHEN tool = 'search' THEN {_fault_sql('search')} WHEN tool = 'sum' THEN {_fault_sql('sum')} ELSE [] END AS f FROM c)
+SELECT call_id, CAST(generate_subscripts(f, 1) - 1 AS INTEGER) AS place, unnest(f) AS violation FROM f""")
+def tool_call_faults(spark, sf_dir):
+    """Calls made from orders, against the schemas of two tools."""
+    calls = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS call_id", f"{TOOL} AS tool", f"{CALL} AS params")
+    return Y.violations(calls, SCHEMA)
