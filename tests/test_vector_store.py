@@ -56,3 +56,11 @@ def test_versions_and_empty_tables(spark, vectors, index, tmp_path):
     assert none.search(asked(vectors, 500), 5).count() == 0
     few = V.built(vectors.where("id < 3"), "id", "embedding", str(tmp_path / "few"))
     assert [r.id for r in few.search(vectors.where("id = 1").selectExpr("id AS query_id", "embedding"), 5).orderBy("rank").collect()][0] == 1
+
+
+def test_the_query_finds_most_of_what_the_exact_one_does(spark):
+    from scholia.plans import store_queries as Q
+
+    sf = "/root/testdata/sf0.01"
+    want, got = ({(r.query_id, r.id) for r in q(spark, sf).collect()} for q in (Q.vector_search_saved, Q.vector_search_probed))
+    assert len(want & got) / len(want) >= 0.9
