@@ -12,6 +12,7 @@ from scholia.operators import ingest as I
 from scholia.operators import source_store as S
 from scholia.operators import synthesis as Y
 from scholia.operators import vector_store as V
+from scholia.operators.graph_build import GraphTable
 from scholia.sources.tables import shared_folder, table, version
 from scholia.streaming import answers as N
 from scholia.streaming.folder import FolderTable
@@ -183,3 +184,19 @@ def tool_call_faults(spark, sf_dir):
     """Calls made from orders, against the schemas of two tools."""
     calls = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS call_id", f"{TOOL} AS tool", f"{CALL} AS params")
     return Y.violations(calls, SCHEMA)
+
+
+@R.add("""WITH c AS (SELECT c_custkey, n_name, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT 'c' || c_custkey AS name, 'Customer' AS type, c_mktsegment AS description, (SELECT count(*) FROM c AS o WHERE o.n_name = c.n_name) AS beside FROM c UNION ALL SELECT DISTINCT n_name, 'Other', '', 0 FROM c""")
+def graph_build(spark, sf_dir):
+    """Customers as what was extracted from their nation's file, in fences and with a comma too many: half of the files, then all of them."""
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    name = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
+    raw = F.concat(F.lit('It says:\n```json\n{"entities": [{"name": "'), name, F.lit('", "type": "Customer", "description": "'), F.col("c_mktsegment"), F.lit('"},], "relations": [{"source": "'), name, F.lit('", "target": "'), F.col("n_name"), F.lit('", "type": "LIVES_IN"}]}\n```'))
+    outputs = c.select(F.col("n_name").alias("source"), F.col("c_custkey").alias("seq"), raw.alias("raw"), "n_nationkey")
+    built = GraphTable(spark, f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}", 8)
+    built.add(outputs.where("n_nationkey < 12").drop("n_nationkey"))
+    built.add(outputs.drop("n_nationkey"))
+    beside = built.relations().groupBy("target").agg(F.count("*").alias("beside"))
+    ends = built.relations().select(F.col("source").alias("name"), "target").join(beside, "target").select("name", "beside")
+    return built.entities().join(ends, "name", "left").select("name", "type", "description", F.coalesce("beside", F.lit(0)).alias("beside"))
