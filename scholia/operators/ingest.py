@@ -9,6 +9,11 @@ from pyspark.sql import Window as W
 from scholia.functions import splitting as X
 from scholia.functions import text as T
 
+#: The wordings of a list's note, of questions about a section and about a whole text, and of the graph's piece of context.
+NOTE = ("本节为编号条目列表，共", "条（[", "]-[", "]）")
+ABOUT = ("请用一句话介绍「", "」的内容。", "请用一句话介绍本文的主题。")
+GRAPH_TITLE, GRAPH_HEAD = "知识图谱", "以下是知识图谱中与问题相关的实体关系（供参考；与文档片段冲突时以文档片段为准）：\n"
+
 
 def breadcrumb(title: Column, path: Column) -> Column:
     """Title and headings down to a section, the title once where the first heading repeats it."""
@@ -32,7 +37,7 @@ def entry_note(c: Column, least: int = 5) -> Column:
     """For a section that lists entries numbered [n] without a gap: how many there are and from which to which; else empty."""
     numbers = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?m)^\[(\d{1,3})\]"), F.lit(1)), lambda x: x.cast("int"))
     n, text = T.entry_count(c, least), lambda x: x.cast("string")
-    return F.when(n.isNull(), "").otherwise(F.concat(F.lit("本节为编号条目列表，共"), text(n), F.lit("条（["), text(F.array_min(numbers)), F.lit("]-["), text(F.array_max(numbers)), F.lit("]）")))
+    return F.when(n.isNull(), "").otherwise(F.concat(F.lit(NOTE[0]), text(n), F.lit(NOTE[1]), text(F.array_min(numbers)), F.lit(NOTE[2]), text(F.array_max(numbers)), F.lit(NOTE[3])))
 
 
 def enriched(files: DataFrame, default_acl: str = "*", default_status: str = "active") -> DataFrame:
@@ -58,7 +63,7 @@ def demo_questions(sections: DataFrame, keywords: int = 4) -> DataFrame:
     CJK characters of it, or the title, are expected."""
     first = F.substring_index("content", "\n\n", 1)
     words = F.array_distinct(F.regexp_extract_all(first, F.lit("[一-鿿]{2,6}"), F.lit(0)))
-    question = F.when(F.col("page") > 1, F.concat(F.lit("请用一句话介绍「"), "title", F.lit("」的内容。"))).otherwise("请用一句话介绍本文的主题。")
+    question = F.when(F.col("page") > 1, F.concat(F.lit(ABOUT[0]), "title", F.lit(ABOUT[1]))).otherwise(ABOUT[2])
     expected = F.when(F.size(words) > 0, F.slice(words, 1, keywords)).otherwise(F.array("title"))
     return sections.select("source", "page", question.alias("question"), F.substring(first, 1, 200).alias("reference_answer"), F.array("source").alias("expected_sources"), expected.alias("expected_keywords"))
 
@@ -143,13 +148,23 @@ def recalled(memory: DataFrame, most: int = 20, order: str = "ts") -> DataFrame:
     return memory.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n")
 
 
+def _grams(text: Column) -> Column:
+    """The distinct runs of three characters; none of a shorter text."""
+    runs = F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substr(text, i, F.lit(3)))
+    return F.array_distinct(F.when(F.length(text) >= 3, runs).otherwise(F.array().cast("array<string>")))
+
+
 def seeds(queries: DataFrame, entities: DataFrame, most: int = 5) -> DataFrame:
-    """(query_id, name, place): for each query (query_id, text) the entities whose name or description holds it, shortest names first. Texts are matched by their first three
-    characters, which the entities' names and descriptions list, and then compared: no query is held against every entity."""
+    """(query_id, name, place): for each query (query_id, text) the entities whose name or description holds it, shortest names first. Runs of three characters lead from a query to names: of the query's runs the one
+    that the fewest entities have. Only for the names found that way are the texts fetched and compared; no query is held against every entity. Names are distinct."""
     low = entities.select("name", F.lower(F.concat_ws("\n", "name", F.coalesce("description", F.lit("")))).alias("all"))
-    grams = low.select("name", "all", F.explode(F.array_distinct(F.when(F.length("all") >= 3, F.transform(F.sequence(F.lit(1), F.length("all") - 2), lambda i: F.substr(F.col("all"), i, F.lit(3)))).otherwise(F.array().cast("array<string>")))).alias("gram"))
-    asked = queries.select("query_id", F.lower("text").alias("text")).where(F.length("text") >= 3).withColumn("gram", F.substring("text", 1, 3))
-    found = asked.join(grams, "gram").where(F.contains("all", F.col("text"))).select("query_id", "name")
+    listed = low.select("name", F.explode(_grams(F.col("all"))).alias("gram"))
+    asked = queries.select("query_id", F.lower("text").alias("text")).where(F.length("text") >= 3)
+    runs = asked.select("query_id", "text", F.explode(_grams(F.col("text"))).alias("gram"))
+    counts = listed.join(runs.select(F.col("gram").alias("g")).distinct(), F.col("gram") == F.col("g"), "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = runs.join(counts, "gram", "left").groupBy("query_id", "text").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    near = rarest.select("query_id", "text", F.col("gram").alias("g")).join(listed, F.col("g") == F.col("gram")).select("query_id", "text", "name")
+    found = near.join(low, "name").where(F.contains("all", F.col("text"))).select("query_id", "name")
     w = W.partitionBy("query_id").orderBy(F.length("name"), "name")
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
 
@@ -163,8 +178,7 @@ def graph_context(queries: DataFrame, entities: DataFrame, relations: DataFrame,
     w = W.partitionBy("query_id").orderBy("place", "line")
     top = lines.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most_triples)
     content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
-    head = "以下是知识图谱中与问题相关的实体关系（供参考；与文档片段冲突时以文档片段为准）：\n"
-    return top.groupBy("query_id").agg(F.concat(F.lit(head), content).alias("content")).select("query_id", F.lit("知识图谱").alias("title"), "content")
+    return top.groupBy("query_id").agg(F.concat(F.lit(GRAPH_HEAD), content).alias("content")).select("query_id", F.lit(GRAPH_TITLE).alias("title"), "content")
 
 
 def version_summary(chunks: DataFrame) -> DataFrame:
