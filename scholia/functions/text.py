@@ -199,6 +199,12 @@ def snippet(c: Column, most: int = 200) -> Column:
     return F.when(F.length(s) <= most, s).when(F.length(whole) > 1, whole).otherwise(cut)
 
 
+def estimate_answer_tokens(c: Column) -> Column:
+    """Tokens of an answer without a tokenizer at hand: two for three CJK characters, one for four others (one at least); none for an empty text."""
+    cjk = F.length(F.regexp_replace(c, "[^一-鿿]", ""))
+    return F.when(F.coalesce(F.length(c), F.lit(0)) == 0, 0).otherwise(F.floor(cjk / 1.5 + F.greatest(F.lit(1), F.floor((F.length(c) - cjk) / 4))))
+
+
 def estimate_tokens(c: Column) -> Column:
     """One token per CJK, kana or hangul character, and one for four others (one at least)."""
     wide = F.length(c) - F.length(F.regexp_replace(c, "[一-鿿㐀-䶿぀-ヿ가-힯]", ""))

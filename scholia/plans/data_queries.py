@@ -159,6 +159,13 @@ def gate_reasons(spark, sf_dir):
     return Y.gate_report(_gate(spark, sf_dir))
 
 
+@R.add(f"""SELECT CAST(row_number() OVER (ORDER BY doc_id) AS INTEGER) AS place, source || '::' || lang || ' — ' || reason AS detail FROM (SELECT doc_id, source, lang, {REJECT} AS reason FROM documents) WHERE reason IS NOT NULL ORDER BY doc_id LIMIT 50""")
+def gate_details(spark, sf_dir):
+    """The first fifty rejected documents; the report asks for no more."""
+    told = _gate(spark, sf_dir).select("doc_id", "reason").join(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "doc_id")
+    return Y.gate_details(told, "source", "lang", ["doc_id"])
+
+
 @R.add("SELECT documents.doc_id, CASE WHEN toxic = 1 THEN 'suspicious' WHEN quality < 0.5 THEN 'low_quality' END AS flag FROM documents LEFT JOIN labels USING (doc_id)")
 def ingest_guard(spark, sf_dir):
     """Labels stand for a model's scores; documents without a label pass."""

@@ -134,6 +134,14 @@ def text_token_estimate(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.estimate_tokens(F.col("text")).cast("long").alias("tokens"))
 
 
+@R.add(r"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN translate(text, 'aeo', '爱额哦') ELSE text END AS t FROM documents), n AS (SELECT *, length(regexp_replace(t, '[^一-鿿]', '', 'g')) AS k FROM d)
+SELECT doc_id, CAST(CASE WHEN length(t) = 0 THEN 0 ELSE floor(k / 1.5 + greatest(1, (length(t) - k) // 4)) END AS BIGINT) AS tokens FROM n""")
+def text_answer_token_estimate(spark, sf_dir):
+    """A third of the texts with some letters as CJK characters."""
+    t = F.when(F.col("doc_id") % 3 == 0, F.translate("text", "aeo", "爱额哦")).otherwise(F.col("text"))
+    return documents(spark, sf_dir).select("doc_id", T.estimate_answer_tokens(t).cast("long").alias("tokens"))
+
+
 @R.add(r"""SELECT doc_id, regexp_replace(text[1:60], '^\s+|\s+$', '', 'g') AS bare FROM documents WHERE NOT regexp_matches(text[1:60], '^\s*(?:[（(]|[-•·*]|\d)')""")
 def text_strip_markers(spark, sf_dir):
     head = F.substring("text", 1, 60)
