@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from scholia.functions import text
 from scholia.operators import answers as A
 from scholia.operators import changes, evaluation, graph, quality, retrieval, sessions, store
 from scholia.operators import predicates as P
@@ -183,3 +184,10 @@ def test_urls(spark):
     rows = [("http://a.example/x", True), ("ftp://a.example", False), ("http://127.0.0.1/", False), ("http://user@10.0.0.1:80/", False), ("https://172.32.0.1", True), ("http://localhost", False)]
     df = spark.createDataFrame([(u, "<title>A &amp; B</title>", w) for u, w in rows], "url string, html string, want boolean")
     assert web.pages(df).where("allowed <> want or title <> 'A & B'").count() == 0
+
+
+def test_heads_are_cut_before_they_are_folded(spark):
+    """ß in full capitals is two characters, which would move the end of a head and meet a plain ss."""
+    rows = [("Größe über Maß und Ziel.", "GRÖẞE ÜBER MASS", 1.0), ("Größe über M.", "Größe über X", 0.0), ("die Maße.", "die masse", 0.0), ("ᾳ b", "ᾼ B", 1.0)]
+    df = spark.createDataFrame(rows, "a string, c string, want double")
+    assert df.where(evaluation.faithfulness(F.col("a"), F.col("c"), text.upper) != F.col("want")).count() == 0
