@@ -17,9 +17,13 @@ def is_private(h: Column) -> Column:
     return h.rlike(r"^(?:localhost|.*\.local|.*\.internal|0\..*|10\..*|127\..*|169\.254\..*|192\.168\..*|172\.(?:1[6-9]|2\d|3[01])\..*|100\.(?:6[4-9]|[7-9]\d|1[01]\d|12[0-7])\..*|\[?::1\]?|\[?f[cd][0-9a-f]{2}:.*|\[?fe80:.*)$") | (h == "")
 
 
-def title(html: Column) -> Column:
+#: Character references of titles; that of & comes last, so that nothing is decoded twice.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
+def title(html: Column, entities: tuple[tuple[str, str], ...] = ENTITIES) -> Column:
     t = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    for entity, char in entities:
         t = F.replace(t, F.lit(entity), F.lit(char))
     return strip(t)
 

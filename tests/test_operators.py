@@ -191,3 +191,16 @@ def test_heads_are_cut_before_they_are_folded(spark):
     rows = [("Größe über Maß und Ziel.", "GRÖẞE ÜBER MASS", 1.0), ("Größe über M.", "Größe über X", 0.0), ("die Maße.", "die masse", 0.0), ("ᾳ b", "ᾼ B", 1.0)]
     df = spark.createDataFrame(rows, "a string, c string, want double")
     assert df.where(evaluation.faithfulness(F.col("a"), F.col("c"), text.upper) != F.col("want")).count() == 0
+
+
+def test_titles_of_pages_as_their_sql_has_them(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from scholia.plans import data_queries
+
+    rows = [(1, "https://a.example/x", "<title> A &amp; &quot;B&quot; &amp;lt; </title>"), (2, "https://b.example/", "<title></title>"), (3, "https://c.example", "no title")]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(tuple(r) for r in data_queries.web_pages(spark, str(tmp_path)).collect())
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(c.sql(data_queries.R.oracles["web_pages"]).fetchall())
+    assert web.pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).where("page_id = 1").first().title == 'A & "B" &lt;'
