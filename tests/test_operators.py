@@ -204,3 +204,25 @@ def test_titles_of_pages_as_their_sql_has_them(spark, tmp_path):
     c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     assert got == sorted(c.sql(data_queries.R.oracles["web_pages"]).fetchall())
     assert web.pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).where("page_id = 1").first().title == 'A & "B" &lt;'
+
+
+def test_changes_are_counted_without_texts(spark):
+    """Many documents at once, as one after the other; texts aren't carried along where no similarity is asked for."""
+    import difflib
+    import random
+
+    rng, old, new, want = random.Random(5), [], [], []
+    for d in range(40):
+        a = [rng.choice("abcd") * 3 for _ in range(rng.randint(0, 6))]
+        b = a if d % 3 == 0 else [rng.choice("abcd") * 3 for _ in range(rng.randint(0, 6))]
+        old += [(f"d{d}", i, x) for i, x in enumerate(a)]
+        new += [(f"d{d}", i, x) for i, x in enumerate(b)]
+        n = dict.fromkeys(("insert", "delete", "replace", "equal"), 0)
+        for tag, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+            n[tag] += m - k if tag == "insert" else j - i
+        want += [(f"d{d}", n["insert"], n["delete"], n["replace"], n["equal"])] if a or b else []
+    o, w = (spark.createDataFrame(x, "doc string, chunk_pos int, text string") for x in (old, new))
+    got = changes.chunk_changes(o, w).select("doc", "added", "removed", "modified", "unchanged")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan and not [line for line in plan.split("\n") if "collect_list" in line and "text#" in line]
