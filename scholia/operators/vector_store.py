@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.sources.tables import Folder, written
+from scholia.sources.tables import Folder, spread, written_path
 
-from .retrieval import _best, _unit_rows, ranked
+from .retrieval import _unit_rows, best_rows, ranked
 
 BLOCK = 2048
 
@@ -95,16 +95,20 @@ def _probes(centroids: np.ndarray, sizes: np.ndarray, share: float, least: int):
     return run
 
 
-def _scored(dims: int, most: int):
+def _scored(dims: int, most: int, folder: str, block: int):
+    """Blocks (cell, ids, vectors) with the queries that ask for their cell, which lie in ``folder`` by cell and are read in slices."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import dataset, fs
+
+        store, root = fs.FileSystem.from_uri(folder)
         for b in batches:
             for i in range(b.num_rows):
-                ids, queries = b.column("ids")[i].values, b.column("queries")[i].values
-                q = _unit_rows(queries.field("v"))
-                s = np.round(q @ _matrix(b.column("vectors")[i].as_py(), dims).T, 12)
-                order = pa.compute.sort_indices(ids).to_numpy()  # ties go to the smaller id
-                at = order[_best(s[:, order], most)]
-                yield pa.record_batch([queries.field("query_id").take(pa.array(np.repeat(np.arange(len(q)), at.shape[1]))), ids.take(pa.array(at.reshape(-1))), pa.array(np.take_along_axis(s, at, 1).reshape(-1))], ["query_id", "id", "score"])
+                ids = b.column("ids")[i].values
+                order = pa.compute.sort_indices(ids)  # ties go to the smaller id
+                vectors = _matrix(b.column("vectors")[i].as_py(), dims)[order.to_numpy()]
+                asked = dataset.dataset(f"{root}/cell={b.column('cell')[i].as_py()}", filesystem=store, format="parquet", exclude_invalid_files=True)
+                yield from best_rows(asked.to_batches(batch_size=block, batch_readahead=1, fragment_readahead=1), ids.take(order), vectors, most)
 
     return run
 
@@ -126,7 +130,9 @@ class SavedVectors:
         """(cell, query_id, v): the cells that each query (query_id, embedding) asks for."""
         centroids, sizes = self._centroids()
         kind = queries.schema["query_id"].dataType.simpleString()
-        return queries.select("query_id", F.col("embedding").cast("array<double>").alias("v")).mapInArrow(_probes(centroids, sizes, share, least), f"cell int, query_id {kind}, v array<double>")
+        vector = queries.schema["embedding"].dataType.simpleString()
+        queries = queries if sizes.sum() else queries.where("false")  # an empty index has no length of vectors
+        return queries.select("query_id", F.col("embedding").alias("v")).mapInArrow(_probes(centroids, sizes, share, least), f"cell int, query_id {kind}, v {vector}")
 
     def share_read(self, queries: DataFrame, share: float = 0.1, least: int = 3) -> float:
         """The mean part of the index's rows that is scored for a query."""
@@ -135,14 +141,14 @@ class SavedVectors:
         return float(sum(int(sizes[r.cell]) * r.q for r in counts)) / max(1, queries.count() * int(sizes.sum()))
 
     def search(self, queries: DataFrame, most: int, share: float = 0.1, least: int = 3, group: int = 512) -> DataFrame:
-        """(query_id, id, rank, score) of the ``most`` best by cosine among the cells that each query asks for."""
-        asked = written(self.asked(queries, share, least), "asked")
-        cells = [r.cell for r in asked.select("cell").distinct().collect()]  # no more than the index has
-        salt = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // group))))
-        groups = asked.groupBy("cell", salt.alias("__salt")).agg(F.collect_list(F.struct("query_id", "v")).alias("queries"))
+        """(query_id, id, rank, score) of the ``most`` best by cosine among the cells that each query asks for. The asking queries are written by cell to the shared folder;
+        a task takes them from there for each of its blocks, ``group`` at a time, so that neither is copied for the other."""
+        asked = self.asked(queries, share, least)
+        folder = written_path(asked, "asked", "cell")
+        cells = [r.cell for r in self.spark.read.schema(asked.schema).parquet(folder).select("cell").distinct().collect()]  # no more than the index has
         schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {self.manifest['id']}, score double"
-        pairs = self._blocks().where(F.col("cell").isin(cells)).join(groups, "cell").select("ids", "vectors", "queries")
-        return ranked(pairs.mapInArrow(_scored(self.manifest["dims"], most), schema), most)
+        blocks = spread(self._blocks().where(F.col("cell").isin(cells)).select("cell", "ids", "vectors"))
+        return ranked(blocks.mapInArrow(_scored(self.manifest["dims"], most, folder, group), schema), most)
 
 
 def built(df: DataFrame, id_col: str, vector_col: str, path: str, version: str = "", cells: int | None = None, sample: int = 20_000, most_cells: int = 4096) -> SavedVectors:

@@ -64,3 +64,24 @@ def test_the_query_finds_most_of_what_the_exact_one_does(spark):
     sf = "/root/testdata/sf0.01"
     want, got = ({(r.query_id, r.id) for r in q(spark, sf).collect()} for q in (Q.vector_search_saved, Q.vector_search_probed))
     assert len(want & got) / len(want) >= 0.9
+
+
+def test_a_task_holds_few_scores_and_small_batches(spark, vectors, monkeypatch):
+    """However many queries meet however many rows, and however long rows are."""
+    import numpy as np
+    import pyarrow as pa
+
+    seen, plain = [], S._best
+    monkeypatch.setattr(S, "_best", lambda s, most: seen.append(s.size) or plain(s, most))
+    monkeypatch.setattr(S, "MOST_SCORES", 1000)
+    rng = np.random.default_rng(3)
+    rows, asks = rng.normal(size=(300, 8)), rng.normal(size=(50, 8))
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    q = pa.record_batch([pa.array(range(50)), pa.array(asks.tolist(), pa.list_(pa.float64()))], ["query_id", "v"])
+    got = pa.Table.from_batches(S.best_rows(iter([q]), pa.array(range(300)), unit, 4)).column("id").to_pylist()
+    want = np.argsort(-np.round(S._unit_rows(q.column("v")) @ unit.T, 12), axis=1, kind="stable")[:, :4]
+    assert got == want.reshape(-1).tolist() and max(seen) <= 1000
+    from scholia.sources.tables import table
+
+    table(spark, "/root/testdata/sf0.001", "embeddings")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 400
