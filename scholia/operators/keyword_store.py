@@ -30,7 +30,7 @@ from scholia.sources.tables import Folder, spread, written
 from .retrieval import B, K1, ranked
 
 #: Lists of a bucket, about, and documents of a shard, at most and (while there are few shards) at least.
-BUCKET_LISTS, SHARD_MOST, SHARD_LEAST, FEW_SHARDS = 500_000, 20_000, 1_000, 64
+BUCKET_LISTS, SHARD_MOST, SHARD_LEAST, FEW_SHARDS = 500_000, 5_000, 1_000, 64
 #: As many terms of a batch of queries at most are handed to the scan as values; with more, the scan takes whole buckets.
 MOST_VALUES = 5000
 #: Queries that a task takes at a time.
