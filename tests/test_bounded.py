@@ -106,3 +106,26 @@ def test_a_context_of_hits_and_relations(spark):
         2: "[文档片段 1]\nalone",
         3: "[知识图谱]\nx -[T]-> y",
     }
+
+
+def test_subgraphs_of_seeds_with_one_and_with_many_neighbours(spark, monkeypatch):
+    rng = random.Random(7)
+    edges = {(f"n{rng.randint(0, 30)}", f"n{rng.randint(0, 30)}") for _ in range(40)} | {(f"leaf{i}", "hub") for i in range(50)} | {("hub", "n1"), ("n2", "n2")}
+    seeds = ["leaf1", "leaf2", "hub", "n1", "n2", "n5", "alone"]
+    near: dict = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = set()
+    for s in seeds:
+        met, front = {s: 0}, {s}
+        for hop in (1, 2, 3):
+            front = {y for x in front for y in near.get(x, ())} - set(met)
+            met |= dict.fromkeys(front, hop)
+        want |= {(s, n, h) for n, h in met.items()}
+    rel = spark.createDataFrame([(a, b, "t") for a, b in edges], "source string, target string, type string")
+    names = spark.createDataFrame([(s,) for s in seeds], "name string")
+    for few in (64, 1):
+        monkeypatch.setattr(G, "FEW", few)
+        rows = [tuple(r) for r in G.subgraph(names, rel, 3).collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want
