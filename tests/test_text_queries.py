@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from scholia.functions import text as T
 from scholia.plans import text_queries as Q
 
@@ -71,3 +73,17 @@ def test_markers_and_markup_of_whole_texts(spark, tmp_path):
     folder = saved(spark, tmp_path, [(i, t, "s") for i, t in enumerate(texts)])
     assert {r.doc_id: r.bare for r in Q.text_strip_markers_whole(spark, folder).collect()} == {i: None if t is None else bare(t) for i, t in enumerate(texts)}
     assert {r.doc_id: r.plain_md5 for r in Q.text_markdown_whole(spark, folder).collect()} == {i: hashlib.md5(plain(t or "").encode()).hexdigest() for i, t in enumerate(texts)}
+
+
+def test_shingles_are_taken_in_one_pass(spark):
+    rows = ["", " ", "abc", "abcdefgh", "ab cd\nefghi", "😀a😀b😀c😀d😀e", "ab" * 30, None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "id int, t string").select("id", T.shingles(F.col("t")).alias("s"))
+    plain = lambda t: {t[i : i + 8] for i in range(max(1, len(t) - 7))} if t else set()
+    for r in df.collect():
+        assert len(r.s) == len(set(r.s)) and set(r.s) == plain("".join((rows[r.id] or "").split()))
+    assert "slice(" not in df._jdf.queryExecution().optimizedPlan().toString()  # a slice for each place took twice as long
+
+
+def test_neighbours_are_found_without_a_window_over_a_source(spark):
+    plan = Q.text_bigram_cosine(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lead(" not in plan
