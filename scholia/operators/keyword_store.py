@@ -21,6 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,9 +91,9 @@ def _cell(avgdl: float, most: int):
         void, seen = asks.column("void").combine_chunks()[0].values, asks.column("seen").combine_chunks()[0].values
         may = None if void is None and seen is None else np.ones(len(known), bool)
         if void is not None:
-            may &= ~pa.compute.is_in(known, value_set=void).to_numpy(zero_copy_only=False)
+            may &= ~pc.is_in(known, value_set=void).to_numpy(zero_copy_only=False)
         if seen is not None:
-            may &= pa.compute.is_in(known, value_set=seen).to_numpy(zero_copy_only=False)
+            may &= pc.is_in(known, value_set=seen).to_numpy(zero_copy_only=False)
         out: list[list] = [[], [], []]
         for q in (x for column in asks.column("queries").to_pylist() for x in column):
             mine = [(places[s], t["idf"] * part[s], t["idf"] * float(part[s.start])) for t in q["terms"] if (s := of.get(t["term"])) is not None]
@@ -209,8 +210,10 @@ def _write(df: DataFrame, path: str, buckets: bool = False) -> str:
 
 
 def _inverted(key: tuple, docs: pa.Table) -> pa.Table:
-    """The lists of a shard's documents (id, dl, terms)."""
-    terms, dl = docs.column("terms").combine_chunks(), docs.column("dl").to_numpy()
+    """The lists of a shard's documents (id, dl, and ``words``: their terms in lines)."""
+    docs = docs.filter(pc.greater(docs.column("dl"), 0))
+    words, dl = docs.column("words").cast(pa.large_string()).combine_chunks(), docs.column("dl").to_numpy()
+    terms = pc.split_pattern(words, "\n").cast(pa.large_list(pa.string()))
     coded = terms.flatten().dictionary_encode()
     code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     row = np.repeat(np.arange(docs.num_rows), terms.value_lengths().to_numpy(zero_copy_only=False))
@@ -229,20 +232,18 @@ def _segment(docs: DataFrame, folder: Folder, name: str) -> tuple[dict, int, int
     own = docs.sparkSession.read.schema(schemas["documents"]).parquet(f"{at}/documents")
     size = own.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("terms")).first()
     shards = max(1, min(size.n // SHARD_LEAST, FEW_SHARDS), -(-size.n // SHARD_MOST))
-    lists = own.withColumn("shard", _shard(F.col("id"), shards)).groupBy("shard").applyInArrow(_inverted, f"term string, shard int, n int, ids array<{id_type}>, lengths array<int>")
-    lists = docs.sparkSession.read.schema(lists.schema).parquet(_written(lists, f"{at}/lists"))
-    buckets = max(1, -(-lists.count() // BUCKET_LISTS))
-    dealt = lists.withColumn("bucket", _bucket(F.col("term"), buckets)).repartitionByRange("bucket", "term", "shard").sortWithinPartitions("bucket", "term", "shard")
+    shard = _shard(F.col("id"), shards).alias("shard")
+    # about as many lists as there are; they are made once, go to their buckets and are written there
+    number = own.select(shard, F.explode("terms").alias("term")).agg(F.approx_count_distinct(F.xxhash64("shard", "term"), 0.02).alias("n")).first().n
+    buckets = max(1, -(-number // BUCKET_LISTS))
+    # a row of one string is half of a row of an array of them
+    lines = own.select("id", "dl", F.array_join("terms", "\n").alias("words"), shard)
+    lists = lines.groupBy("shard").applyInArrow(_inverted, f"term string, shard int, n int, ids array<{id_type}>, lengths array<int>")
+    dealt = lists.withColumn("bucket", _bucket(F.col("term"), buckets)).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "term", "shard")
     schemas["postings"] = _write(dealt, f"{at}/postings", buckets=True)
-    folder.delete(f"{name}/lists")
     return {"folder": name, "buckets": buckets, "shards": shards, "schemas": schemas}, size.n, size.terms
 
 
-def _written(df: DataFrame, path: str) -> str:
-    df.write.parquet(path)
-    return path
-
-
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select("id", T.tokens(F.col("text")).alias("terms"))
 

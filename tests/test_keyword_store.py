@@ -119,3 +119,15 @@ def test_lists_that_cannot_lift_a_document_find_none():
         at, score = K.best_of(lists, docs, most, may)
         assert sorted(at.tolist(), key=lambda i: (-round(whole[i], 9), i))[:most] == want
         assert np.allclose(score[np.isin(at, want)], whole[at[np.isin(at, want)]])
+
+
+def test_lists_are_written_once(spark, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrameWriter
+
+    written, plain = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: (written.append(path.rsplit("/", 1)[1]), plain(self, path, *a, **k))[1])
+    docs = spark.createDataFrame([(1, "one two"), (2, None), (3, ""), (4, "two 三四五 two")], "id bigint, text string")
+    index = K.built(docs, "id", "text", str(tmp_path / "index"))
+    assert written == ["documents", "postings"]
+    rows = {r.term: sorted(r.ids) for r in index.lists(spark.createDataFrame([("one",), ("two",), ("三四",)], "term string")).collect()}
+    assert rows == {"one": [1], "two": [1, 4], "三四": [4]}
