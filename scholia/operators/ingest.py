@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from scholia.functions import splitting as X
 from scholia.functions import text as T
+from scholia.sources.tables import spread, written
 
 #: The wordings of a list's note, of questions about a section and about a whole text, and of the graph's piece of context.
 NOTE = ("本节为编号条目列表，共", "条（[", "]-[", "]）")
@@ -148,23 +149,31 @@ def recalled(memory: DataFrame, most: int = 20, order: str = "ts") -> DataFrame:
     return memory.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n")
 
 
-def _grams(text: Column) -> Column:
-    """The distinct runs of three characters; none of a shorter text."""
-    runs = F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substr(text, i, F.lit(3)))
-    return F.array_distinct(F.when(F.length(text) >= 3, runs).otherwise(F.array().cast("array<string>")))
+#: Runs of characters that lead from a query to names: as long as the query, within these bounds.
+SHORTEST, LONGEST = 3, 6
+
+
+def _grams(text: Column, width: int) -> Column:
+    """The distinct runs of ``width`` characters; none of a shorter text."""
+    runs = F.transform(F.sequence(F.lit(1), F.length(text) - (width - 1)), lambda i: F.substr(text, i, F.lit(width)))
+    return F.array_distinct(F.when(F.length(text) >= width, runs).otherwise(F.array().cast("array<string>")))
 
 
 def seeds(queries: DataFrame, entities: DataFrame, most: int = 5) -> DataFrame:
-    """(query_id, name, place): for each query (query_id, text) the entities whose name or description holds it, shortest names first. Runs of three characters lead from a query to names: of the query's runs the one
-    that the fewest entities have. Only for the names found that way are the texts fetched and compared; no query is held against every entity. Names are distinct."""
-    low = entities.select("name", F.lower(F.concat_ws("\n", "name", F.coalesce("description", F.lit("")))).alias("all"))
-    listed = low.select("name", F.explode(_grams(F.col("all"))).alias("gram"))
-    asked = queries.select("query_id", F.lower("text").alias("text")).where(F.length("text") >= 3)
-    runs = asked.select("query_id", "text", F.explode(_grams(F.col("text"))).alias("gram"))
-    counts = listed.join(runs.select(F.col("gram").alias("g")).distinct(), F.col("gram") == F.col("g"), "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    """(query_id, name, place): for each query (query_id, text) the entities whose name or description holds it, shortest names first. Runs of characters lead from a query to names: the query itself, or where it is
+    longer than ``LONGEST``, that of its runs of this length that the fewest entities have. The runs that queries have are written first; of all entities' runs only these go any further, with the text that is then compared. So
+    what a query meets follows the entities that hold it (or its rarest run), not all that share three characters with it. Names are distinct."""
+    asked = queries.select("query_id", F.lower("text").alias("text")).where(F.length("text") >= SHORTEST)
+    own = F.when(F.length("text") <= LONGEST, F.array("text")).otherwise(_grams(F.col("text"), LONGEST))
+    runs = written(asked.select("query_id", "text", F.explode(own).alias("gram")), "runs")
+    wanted = written(runs.select("gram").distinct(), "wanted")
+    widths = [r.n for r in wanted.select(F.length("gram").alias("n")).distinct().collect()]  # few: from SHORTEST to LONGEST
+    low = spread(entities.select("name", F.lower(F.concat_ws("\n", "name", F.coalesce("description", F.lit("")))).alias("all")))
+    every = F.flatten(F.array(*[_grams(F.col("all"), n) for n in sorted(widths)])) if widths else F.array().cast("array<string>")
+    listed = written(low.select("name", "all", F.explode(every).alias("gram")).join(wanted, "gram", "left_semi"), "listed")
+    counts = listed.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = runs.join(counts, "gram", "left").groupBy("query_id", "text").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    near = rarest.select("query_id", "text", F.col("gram").alias("g")).join(listed, F.col("g") == F.col("gram")).select("query_id", "text", "name")
-    found = near.join(low, "name").where(F.contains("all", F.col("text"))).select("query_id", "name")
+    found = rarest.join(listed, "gram").where(F.contains("all", F.col("text"))).select("query_id", "name")
     w = W.partitionBy("query_id").orderBy(F.length("name"), "name")
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
 

@@ -135,3 +135,22 @@ def test_repeated_lines_of_pages(spark):
         often = {x for x in lines if len(x) >= 4 and sum(x in p for p in pages) >= 3} if len(pages) >= 3 else set()
         want = [x for p in pages for x in p if x not in often]
         assert out.split() == " ".join(want).split()
+
+
+def test_seeds_meet_only_entities_that_hold_the_query(spark, monkeypatch):
+    """Names of many digits share runs of three characters with very many others; only holders of the whole query, or of its rarest six characters, are listed."""
+    from scholia.operators import ingest as M
+
+    sizes, plain = {}, M.written
+
+    def counted(df, name):
+        out = plain(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(M, "written", counted)
+    names = [f"s{i}" for i in range(10000, 12000)]
+    entities = spark.createDataFrame([(n, "") for n in names] + [("Long Named Place", "with S11111 inside")], "name string, description string")
+    asked = spark.createDataFrame([(1, "s1111"), (2, "S11999"), (3, "named place"), (4, "zzzz"), (5, "s1")], "query_id int, text string")
+    got = sorted((r.query_id, r.place, r.name) for r in M.seeds(asked, entities, 3).collect())
+    assert got == [(1, 1, "s11110"), (1, 2, "s11111"), (1, 3, "s11112"), (2, 1, "s11999"), (3, 1, "Long Named Place")] and sizes["listed"] <= 20
