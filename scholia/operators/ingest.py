@@ -159,15 +159,15 @@ def _grams(text: Column, width: int) -> Column:
     return F.array_distinct(F.when(F.length(text) >= width, runs).otherwise(F.array().cast("array<string>")))
 
 
-def seeds(queries: DataFrame, entities: DataFrame, most: int = 5) -> DataFrame:
+def seeds(queries: DataFrame, entities: DataFrame, most: int = 5, shortest: int = SHORTEST) -> DataFrame:
     """(query_id, name, place): for each query (query_id, text) the entities whose name or description holds it, shortest names first. Runs of characters lead from a query to names: the query itself, or where it is
     longer than ``LONGEST``, that of its runs of this length that the fewest entities have. The runs that queries have are written first; of all entities' runs only these go any further, with the text that is then compared. So
-    what a query meets follows the entities that hold it (or its rarest run), not all that share three characters with it. Names are distinct."""
-    asked = queries.select("query_id", F.lower("text").alias("text")).where(F.length("text") >= SHORTEST)
+    what a query meets follows the entities that hold it (or its rarest run), not all that share three characters with it. Queries under ``shortest`` characters meet nothing. Names are distinct."""
+    asked = queries.select("query_id", F.lower("text").alias("text")).where(F.length("text") >= shortest)
     own = F.when(F.length("text") <= LONGEST, F.array("text")).otherwise(_grams(F.col("text"), LONGEST))
     runs = written(asked.select("query_id", "text", F.explode(own).alias("gram")), "runs")
     wanted = written(runs.select("gram").distinct(), "wanted")
-    widths = [r.n for r in wanted.select(F.length("gram").alias("n")).distinct().collect()]  # few: from SHORTEST to LONGEST
+    widths = [r.n for r in wanted.select(F.length("gram").alias("n")).distinct().collect()]  # few: LONGEST at most
     low = spread(entities.select("name", F.lower(F.concat_ws("\n", "name", F.coalesce("description", F.lit("")))).alias("all")))
     every = F.flatten(F.array(*[_grams(F.col("all"), n) for n in sorted(widths)])) if widths else F.array().cast("array<string>")
     listed = written(low.select("name", "all", F.explode(every).alias("gram")).join(wanted, "gram", "left_semi"), "listed")

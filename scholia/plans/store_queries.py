@@ -100,7 +100,7 @@ def stream_answers(spark, sf_dir):
     return N.events(spark, f"{root}/events")
 
 
-GRAPH_HOPS = f"""{D.ENTITIES}, {D.RELATIONS}, q AS (SELECT n_nationkey AS query_id, n_name AS t FROM nation UNION ALL SELECT 100 + r_regionkey, r_name FROM region UNION ALL SELECT 1000 + s_suppkey, 's' || s_suppkey FROM supplier WHERE s_suppkey % 5 = 0),
+GRAPH_HOPS = f"""{D.ENTITIES}, {D.RELATIONS}, q AS (SELECT n_nationkey AS query_id, n_name AS t FROM nation UNION ALL SELECT 100 + r_regionkey, r_name FROM region UNION ALL SELECT 1000 + s_suppkey, 's' || s_suppkey FROM supplier),
 sd AS (SELECT * FROM (SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY length(name), name) AS place FROM q JOIN en ON contains(lower(name || chr(10) || description), lower(t))) WHERE place <= 4),
 ed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY source, target, type) AS n FROM (SELECT DISTINCT source, target, type, source AS name FROM re UNION SELECT DISTINCT source, target, type, target FROM re)) WHERE n <= 200),
 e0 AS (SELECT query_id, name, 0 AS hop, row_number() OVER (PARTITION BY query_id ORDER BY place, name) AS place FROM sd),
@@ -122,18 +122,17 @@ def _explored(spark, sf_dir):
     entities, relations = D.graph(spark, sf_dir)
     nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), F.col("n_name").alias("text"))
     regions = table(spark, sf_dir, "region").select((100 + F.col("r_regionkey")).alias("query_id"), F.col("r_name").alias("text"))
-    suppliers = table(spark, sf_dir, "supplier").where("s_suppkey % 5 = 0").select((1000 + F.col("s_suppkey")).alias("query_id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("text"))
-    asked = nations.unionByName(regions).unionByName(suppliers).where(F.length("text") >= 3)
-    return G.explored(I.seeds(asked, entities, 4), relations)
+    suppliers = table(spark, sf_dir, "supplier").select((1000 + F.col("s_suppkey")).alias("query_id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("text"))
+    return G.explored(I.seeds(nations.unionByName(regions).unionByName(suppliers), entities, 4, shortest=1), relations)
 
 
-@R.add(f"""WITH {GRAPH_HOPS.replace("FROM supplier WHERE s_suppkey % 5 = 0", "FROM supplier WHERE s_suppkey % 5 = 0 AND length('s' || s_suppkey) >= 3")} SELECT query_id, name, CAST(hop AS INTEGER) AS hop, CAST(place AS INTEGER) AS place FROM (SELECT * FROM ee UNION ALL SELECT * FROM e2)""")
+@R.add(f"""WITH {GRAPH_HOPS} SELECT query_id, name, CAST(hop AS INTEGER) AS hop, CAST(place AS INTEGER) AS place FROM (SELECT * FROM ee UNION ALL SELECT * FROM e2)""")
 def graph_exploration(spark, sf_dir):
     """Nations, regions and suppliers as questions, all at once, two hops from their seeds: what each meets, 50 entities and 200 relations at most."""
     return _explored(spark, sf_dir)[0].select("query_id", "name", "hop", F.col("place").cast("int").alias("place"))
 
 
-@R.add(f"""WITH {GRAPH_HOPS.replace("FROM supplier WHERE s_suppkey % 5 = 0", "FROM supplier WHERE s_suppkey % 5 = 0 AND length('s' || s_suppkey) >= 3")}, {Q.BM25},
+@R.add(f"""WITH {GRAPH_HOPS}, {Q.BM25},
 tx AS (SELECT query_id, string_agg('[文档片段 ' || (rank + 1) || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS texts FROM kw JOIN documents ON doc_id = id WHERE rank < 4 GROUP BY query_id),
 rr AS (SELECT query_id, source, target, type, place FROM r1 UNION ALL SELECT query_id, source, target, type, place FROM r2),
 ln AS (SELECT query_id, string_agg(source || ' -[' || type || ']-> ' || target, chr(10) ORDER BY place) AS lines FROM rr WHERE place <= 40 GROUP BY query_id)

@@ -129,3 +129,31 @@ def test_subgraphs_of_seeds_with_one_and_with_many_neighbours(spark, monkeypatch
         monkeypatch.setattr(G, "FEW", few)
         rows = [tuple(r) for r in G.subgraph(names, rel, 3).collect()]
         assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+def test_every_nation_region_and_supplier_explores_the_graph(spark):
+    from scholia.plans import store_queries as Q
+
+    folder = "/root/testdata/sf0.001"
+    ids = lambda t, c, add=0: {r[0] + add for r in spark.read.parquet(f"{folder}/{t}.parquet").select(c).collect()}
+    want = ids("nation", "n_nationkey") | ids("region", "r_regionkey", 100) | ids("supplier", "s_suppkey", 1000)
+    assert {r.query_id for r in Q.graph_exploration(spark, folder).select("query_id").distinct().collect()} == want
+    assert {r.query_id for r in Q.graph_rag(spark, folder).select("query_id").collect()} >= want
+
+
+def test_relations_of_a_hop_are_dealt_out_by_query(spark, monkeypatch):
+    """A task takes the hubs of some of the queries, not those of all."""
+    monkeypatch.setattr(G, "AT_ONCE", 1000, raising=False)
+    sizes, plain = {}, G.written
+
+    def counted(df, name):
+        out = plain(df, name)
+        if name == "relations":
+            sizes[name] = max(r.n for r in out.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect())
+        return out
+
+    monkeypatch.setattr(G, "written", counted)
+    seeds = spark.createDataFrame([(q, f"hub{q % 3}", 1) for q in range(300)], "query_id bigint, name string, place int")
+    relations = spark.createDataFrame([(f"m{i}", f"hub{h}", "x") for i in range(40) for h in range(3)], "source string, target string, type string")
+    _, found = G.explored(seeds, relations, 1, None, 50, 20)
+    assert found.count() == 300 * 20 and sizes["relations"] <= 2000
