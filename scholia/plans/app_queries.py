@@ -70,7 +70,8 @@ SELECT doc_id, round(len(list_filter(s, lambda x: contains(upper(c[1:1000]), upp
 def answer_faithfulness(spark, sf_dir):
     """Each text as an answer, its first thousand characters as the context."""
     t = F.replace("text", F.lit("."), F.lit("。"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(V.faithfulness(t, F.substring(t, 1, 1000), T.upper), 6).alias("faithfulness")).where("faithfulness is not null")
+    share = F.round(V.faithfulness(t, F.substring(t, 1, 1000), T.upper), 6)
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_compact(F.array(share))).alias("faithfulness"))  # a filter would work it out twice
 
 
 @R.add("""SELECT doc_id, CASE WHEN st = 'refused' THEN 'refused' WHEN quality = 0 THEN CASE st WHEN 'verified' THEN 'partial' ELSE 'unverified' END WHEN st = 'partial' AND toxic = 0 THEN 'verified' ELSE st END AS status

@@ -87,3 +87,13 @@ def test_shingles_are_taken_in_one_pass(spark):
 def test_neighbours_are_found_without_a_window_over_a_source(spark):
     plan = Q.text_bigram_cosine(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "lead(" not in plan
+
+
+def test_a_context_is_folded_once_for_a_text_not_for_each_sentence(spark, tmp_path):
+    from scholia.plans import app_queries as A
+
+    rows = [(0, "Abc def ghi. strasse. nowhere to be found" + " x" * 600, "s"), (1, "x" * 1200 + ". Abc. xxxxxxxxxxxxy", "s"), (2, None, "s"), (3, " . ", "s"), (4, "", "s")]
+    df = A.answer_faithfulness(spark, saved(spark, tmp_path, rows))
+    assert {r.doc_id: r.faithfulness for r in df.collect()} == {0: 1.0, 1: round(2 / 3, 6)}
+    plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("contains(lambda") == 1 and "contains(upper(" not in plan
